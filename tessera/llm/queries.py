@@ -11,6 +11,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(spark, table(spark, sf_dir, "documents"), shingle=3, threshold=85)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -43,5 +49,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_report(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_exact_dedup, op6_substring_dedup, op7_packing, op8_secret_scans, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op5_exact_dedup, op6_substring_dedup, op7_packing, op8_secret_scans, op10_suffix_dedup)}
 ORACLES: dict[str, str] = {}
