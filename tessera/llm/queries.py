@@ -17,6 +17,12 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"), shingle=3, threshold=85)
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_scoring import score_documents
+
+    return score_documents(spark, table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_dedup
 
@@ -49,5 +55,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_report(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op5_exact_dedup, op6_substring_dedup, op7_packing, op8_secret_scans, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op3_lm_scoring, op5_exact_dedup, op6_substring_dedup, op7_packing, op8_secret_scans, op10_suffix_dedup)}
 ORACLES: dict[str, str] = {}
