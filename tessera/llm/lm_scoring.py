@@ -131,7 +131,7 @@ def train(docs: DataFrame, vocab: Vocabulary, hidden: int, lanes: int, window: i
     return _unpack(mean.astype("<f4").tobytes(), start)
 
 
-def score_documents(spark: SparkSession, docs: DataFrame, fold: int = 0, folds: int = 10, vocabulary: int = 1024, classes: int = 32, hidden: int = 16, head: int = 1 << 18, lanes: int = 256, window: int = 32, rate: float = 0.05, flush: int = 4_000_000) -> DataFrame:
+def score_documents(spark: SparkSession, docs: DataFrame, fold: int = 0, folds: int = 10, vocabulary: int = 1024, classes: int = 32, hidden: int = 16, head: int = 1 << 18, lanes: int = 256, window: int = 32, rate: float = 0.2, flush: int = 4_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row for each input row.
 
     Documents of the fold are not learnt from; a null doc_id is in no fold. Null and empty texts are the end alone.
