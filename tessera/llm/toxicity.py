@@ -80,7 +80,7 @@ def grader(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample: int
     a, b = F.col("tox") + 0.5, F.col("n") - F.col("tox") + 0.5
     odds = F.log(a / (n_tox + 1)) - F.log(b / (n_all - n_tox + 1))
     chi = (a - F.col("n") * (n_tox / n_all)) ** 2 / (F.col("n") * (n_tox / n_all) + 1)
-    best = tallies.filter((F.col("tox") >= least) & (odds > 1)).orderBy(chi.desc(), "f").limit(keep).select("f").collect()  # at most ``keep`` rows
+    best = tallies.filter((F.col("tox") >= least) & (odds > 1) & (chi > 12)).orderBy(chi.desc(), "f").limit(keep).select("f").collect()  # at most ``keep`` rows
     if not best:
         return None
     keys = np.sort(np.array([r["f"] for r in best], np.int64).view(np.uint64))
