@@ -6,10 +6,10 @@ ones, corrected for chance, estimates the similarity of candidates. Those not fa
 are confirmed on the full shingle sets, and confirmed links joined to components.
 
 Scale: documents with one and the same shingle set are a class with one representative from the
-start, so that copies cost one row each. Within a bucket not all pairs are tried: a spanning forest of
-the highest estimates between parts that are not yet connected is tried; then, round by round, for
-each member the best pairs that still join two components, more each time, until none is untried. Large buckets are dealt
-as pairs of blocks. Components are found by large-star and small-star steps in Spark.
+start, so that copies cost one row each. Within a bucket not all pairs become rows: a spanning forest of
+the highest estimates is tried first; then the full sets of members that may still be linked across
+components meet in their bucket, and only links that join components leave it. Large buckets are dealt
+as pairs of blocks. Many links are joined by large-star and small-star steps in Spark.
 """
 
 from __future__ import annotations
@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix, rolling, runs_of, tune
+from .common import Scratch, mix, rolling, tune
 from .repeats import NONE, keyed
-from .words import words
+from .words import ragged, words
 
 #: Odd multipliers and offsets of the permutations: a fixed sequence.
 SEEDS = mix(np.arange(1, 513, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -96,84 +96,123 @@ def estimates(a: np.ndarray, b: np.ndarray, perms: int, bits: int) -> np.ndarray
     return ((1 - differ / perms) - chance) / (1 - chance)
 
 
-def forest(perms: int, bits: int, least: float, each: int):
-    """Rows of buckets, sorted by bucket, to pairs with an estimate of ``least`` or more between different components, without
-    those that were tried: for each bucket a spanning forest of the highest (each = 0), or the ``each`` highest of each member."""
-
-    def trees(rep, comp, sig, tried):
-        m = len(rep)
-        part = np.unique(comp, return_inverse=True)[1]
-        if part.max() == 0:
-            return
-        place = {r: k for k, r in enumerate(rep.tolist())}
-        bad = [np.array([place[x] for x in t if x in place], np.int64) if t else None for t in tried]
-        if each:
-            for i in range(m):
-                e = estimates(sig[i], sig, perms, bits)
-                e[part == part[i]] = -1
-                if bad[i] is not None:
-                    e[bad[i]] = -1
-                k = np.flatnonzero(e >= least)
-                if len(k) > each:
-                    k = k[np.argpartition(-e[k], each)[:each]]
-                yield from ((rep[i], rep[j]) for j in k)
-            return
-        best, by = np.full(m, -1.0), np.zeros(m, np.int64)
-        left = np.ones(m, bool)
-
-        def reach(k):
-            for i in np.flatnonzero(left & (part == part[k])):
-                left[i] = False
-                e = estimates(sig[i], sig, perms, bits)
-                if bad[i] is not None:
-                    e[bad[i]] = -1
-                better = e > best
-                best[better], by[better] = e[better], i
-
-        reach(0)
-        while left.any():
+def whole(batches):
+    """Tables of whole groups of one (bucket, block), from rows sorted by these."""
+    held = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        t = pa.concat_tables([held, t]) if held is not None else t
+        bucket, block = t["bucket"].to_numpy(), t["block"].to_numpy()
+        edge = np.flatnonzero((bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1])) + 1
+        last = int(edge[-1]) if len(edge) else 0
+        if last:
+            yield t.slice(0, last).combine_chunks()
+        held = t.slice(last)  # its group may go on
+    if held is not None and held.num_rows:
+        yield held.combine_chunks()
+
+
+def groups(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and sizes of the groups of one (bucket, block)."""
+    bucket, block = t["bucket"].to_numpy(), t["block"].to_numpy()
+    start = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (block[1:] != block[:-1]))))
+    return start, np.diff(np.append(start, len(bucket)))
+
+
+def signature_words(t: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint64).reshape(t.num_rows, -1)
+
+
+def forest(perms: int, bits: int, least: float):
+    """For each group a spanning forest of the highest estimates of ``least`` or more, as pairs."""
+
+    def tree(rep, sig):
+        best, by, left = np.full(len(rep), -1.0), np.zeros(len(rep), np.int64), np.ones(len(rep), bool)
+        k = 0
+        while True:
+            left[k] = False
+            if not left.any():
+                return
+            e = estimates(sig[k], sig, perms, bits)
+            better = e > best
+            best[better], by[better] = e[better], k
             k = int(np.argmax(np.where(left, best, -2)))
             if best[k] >= least:
-                yield rep[by[k]], rep[k]
-            reach(k)
+                yield int(rep[by[k]]), int(rep[k])
 
     def pairs(batches):
-        held = None
-        done: set[tuple[int, int]] = set()
-        for b in batches:
-            cols = [b.column("bucket").to_numpy(), b.column("block").to_numpy(), b.column("rep").to_numpy(), b.column("comp").to_numpy(), np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint64).reshape(len(b.column(0)), -1), b.column("tried").to_pylist()]
-            if not len(cols[0]):
-                continue
-            if held is not None:
-                cols = [np.concatenate([x, y]) if not isinstance(x, list) else x + y for x, y in zip(held, cols, strict=True)]
-            edge = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) + 1
-            last = int(edge[-1]) if len(edge) else 0
-            held = [x[last:] for x in cols]  # its bucket may go on
-            yield from solve([x[:last] for x in cols], done)
-        if held is not None:
-            yield from solve(held, done)
-
-    def solve(cols, done):
-        bucket, block, rep, comp, sig, tried = cols
-        if not len(rep):
-            return
-        start, size = runs_of(bucket ^ (block * 0x9E3779B1))
-        found: list[tuple[int, int]] = []
-        two = start[size == 2]
-        two = two[comp[two] != comp[two + 1]]
-        good = two[estimates(sig[two], sig[two + 1], perms, bits) >= least]
-        found += [(int(rep[k]), int(rep[k + 1])) for k in good if not (tried[k] and int(rep[k + 1]) in tried[k])]
-        for a, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            own = slice(a, a + n)
-            found += [(int(x), int(y)) for x, y in trees(rep[own], comp[own], sig[own], tried[a : a + n])]
-        new = [p for p in {(min(p), max(p)) for p in found} if p not in done]
-        done.update(new)
-        if new:
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in new], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        for t in whole(batches):
+            rep, sig = t["rep"].to_numpy(), signature_words(t)
+            start, size = groups(t)
+            two = start[size == 2]
+            two = two[estimates(sig[two], sig[two + 1], perms, bits) >= least]
+            found = {(int(rep[k]), int(rep[k + 1])) for k in two}
+            for a, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+                found.update((min(p), max(p)) for p in tree(rep[a : a + n], sig[a : a + n]))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     return pairs
 
 
+def candidates(n: np.ndarray, comp: np.ndarray, sig: np.ndarray, threshold: int, perms: int, bits: int, least: float):
+    """For each member of a group outside its largest component, those of other components that may be linked with it; each
+    pair once. ``comp`` may change on the way."""
+    names, count = np.unique(comp, return_counts=True)
+    minor = comp != names[count.argmax()]
+    order = np.arange(len(n))
+    for i in np.flatnonzero(minor):
+        may = (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= threshold * np.maximum(n, n[i])) & (~minor | (order > i))
+        k = np.flatnonzero(may)
+        k = k[estimates(sig[i], sig[k], perms, bits) >= least]
+        if len(k):
+            yield i, k
+
+
+def undecided(threshold: int, perms: int, bits: int, least: float):
+    """The rows of groups that have a candidate in another component."""
+
+    def rows(batches):
+        for t in whole(batches):
+            n, comp, sig = t["n"].to_numpy(), t["comp"].to_numpy(), signature_words(t)
+            stays = np.zeros(t.num_rows, bool)
+            for a, m in zip(*(x.tolist() for x in groups(t)), strict=True):
+                for i, k in candidates(n[a : a + m], comp[a : a + m], sig[a : a + m], threshold, perms, bits, least):
+                    stays[a + i] = stays[a + k] = True
+            yield from t.filter(pa.array(stays)).to_batches()
+
+    return rows
+
+
+def confirmed(threshold: int, perms: int, bits: int, least: float):
+    """The links of each group that join its components, found on the full sets where the group is: no pair becomes a row but these."""
+
+    def links(batches):
+        for t in whole(batches):
+            rep, n, comp, sig = t["rep"].to_numpy(), t["n"].to_numpy(), t["comp"].to_numpy().copy(), signature_words(t)
+            lists = t["shingles"].combine_chunks()
+            lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+            values, cuts = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(n)))
+            found: set[tuple[int, int]] = set()
+            for a, m in zip(*(x.tolist() for x in groups(t)), strict=True):
+                ids = np.unique(values[cuts[a] : cuts[a + m]], return_inverse=True)[1]
+                mark = np.zeros(len(ids), bool)
+                first, size, part = cuts[a : a + m] - cuts[a], n[a : a + m], comp[a : a + m]
+                for i, k in candidates(size, part, sig[a : a + m], threshold, perms, bits, least):
+                    own = ids[first[i] : first[i] + size[i]]
+                    mark[own] = True
+                    common = np.add.reduceat(mark[ids[ragged(first[k], size[k])]], np.cumsum(size[k]) - size[k], dtype=np.int64)
+                    mark[own] = False
+                    for j in k[100 * common >= threshold * (size[i] + size[k] - common)]:
+                        if part[j] != part[i]:
+                            part[part == part[j]] = part[i]
+                            found.add((min(int(rep[a + i]), int(rep[a + j])), max(int(rep[a + i]), int(rep[a + j]))))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return links
+
+
 #: Edges that one task joins by itself, in a few dozen megabytes.
 FEW = 500_000
 
@@ -238,61 +277,53 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, thre
     classes = sigs.filter("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     classes = scratch.write(classes)
     bucketed = classes.select("rep", F.explode("bands").alias("bucket"))
-    often = bucketed.groupBy("bucket").count().filter("count > 1")
-    members = bucketed.join(often, "bucket").join(classes.select("rep", "sig"), "rep")
-    members = scratch.write(members.select("bucket", F.col("count").alias("holders"), "rep", "sig").distinct())
+    often = bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    members = bucketed.join(often, "bucket").join(classes.select("rep", "n", "sig"), "rep")
+    members = scratch.write(members.select("bucket", "m", "rep", "n", "sig").distinct())
     scratch.free_shuffles()
     # four and a half standard deviations of the estimate below the threshold
     t, c = threshold / 100, 1 / (1 << bits)
     e = c + (1 - c) * t
     least = t - 4.5 * (e * (1 - e) / perms) ** 0.5 / (1 - c)
-    tries = (0, 4, 32, 512, 1 << 30)
-    links: list[DataFrame] = []
-    failed: DataFrame | None = None
-    sets: DataFrame | None = None
+
+    # first the forest of each block in itself
+    n_blocks = F.ceil(F.col("m") / block)
+    own = F.pmod(F.xxhash64("rep"), n_blocks)
+    found = members.select("bucket", own.alias("block"), "rep", "sig").repartition("bucket", "block").sortWithinPartitions("bucket", "block", "rep")
+    found = scratch.write(found.mapInArrow(forest(perms, bits, least), "a long, b long").distinct())
     comp: DataFrame | None = None
-    while True:
-        now = members
-        now = now.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")) if comp is not None else now.withColumn("comp", F.col("rep"))
-        if comp is not None:  # only buckets that meet more than one component
-            ends = now.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 != c1").select("bucket")
-            now = now.join(ends, "bucket", "left_semi")
-        if failed is not None:
-            both = failed.union(failed.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            now = now.join(both.groupBy(F.col("a").alias("rep")).agg(F.collect_set("b").alias("tried")), "rep", "left")
-        else:
-            now = now.withColumn("tried", F.lit(None).cast("array<long>"))
-        n_blocks = F.ceil(F.col("holders") / block)
-        own = F.pmod(F.xxhash64("rep"), n_blocks)
-        pair = F.transform(F.sequence(F.lit(0).cast("long"), n_blocks - 1), lambda j: F.least(own, j) * n_blocks + F.greatest(own, j))
-        if comp is None:  # first each block in itself
-            pair = F.array(own * n_blocks + own)
-        now = now.select("bucket", F.explode(pair).alias("block"), "rep", "comp", "sig", "tried")
-        found = now.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "rep").mapInArrow(forest(perms, bits, least, tries[min(len(links), len(tries) - 1)]), "a long, b long").distinct()
-        found = scratch.write(found)
-        if found.limit(1).count() == 0:
-            break
-        if sets is None:
-            # later rounds join other members of the same buckets, so that all members count
-            nodes = members.select(F.col("rep").alias("doc_id")).distinct()
-
-            def full(batches):
-                for b in batches:
-                    got = list(shingle_sets(b.column(1), shingle))
-                    keys = [set_key(s) for s in got]
-                    yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([k[i] for k in keys], pa.int64()) for i in range(3)), pa.array([s.view(np.int64) for s in got], pa.list_(pa.int64()))], names=["doc_id", "n", "s1", "s2", "shingles"])
-
-            own_sets = docs.join(nodes, "doc_id", "left_semi").mapInArrow(full, "doc_id long, n long, s1 long, s2 long, shingles array<long>")
-            sets = scratch.write(own_sets.join(classes.select(F.col("rep").alias("doc_id"), *key), ["doc_id", *key]).dropDuplicates(["doc_id"]).select("doc_id", "shingles"))
-            scratch.free_shuffles()
-        tested = found.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+    if found.limit(1).count():
+
+        def full(batches):
+            for b in batches:
+                got = list(shingle_sets(b.column(1), shingle))
+                keys = [set_key(s) for s in got]
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([k[i] for k in keys], pa.int64()) for i in range(3)), pa.array([s.view(np.int64) for s in got], pa.list_(pa.int64()))], names=["doc_id", "n", "s1", "s2", "shingles"])
+
+        nodes = members.select(F.col("rep").alias("doc_id")).distinct()
+        sets = docs.join(nodes, "doc_id", "left_semi").mapInArrow(full, "doc_id long, n long, s1 long, s2 long, shingles array<long>")
+        sets = scratch.write(sets.join(classes.select(F.col("rep").alias("doc_id"), *key), ["doc_id", *key]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "shingles"))
+        scratch.free_shuffles()
+        tested = found.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
         tested = tested.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("all"))
-        tested = scratch.write(tested.select("a", "b", (100 * F.col("common") >= threshold * (F.col("all") - F.col("common"))).alias("linked")))
-        links.append(tested.filter("linked").select("a", "b"))
-        bad = tested.filter("not linked").select("a", "b")
-        failed = bad if failed is None else failed.union(bad)
-        if comp is None or links[-1].limit(1).count():
-            comp = scratch.write(components(scratch, reduce(DataFrame.union, links)))
+        links = scratch.write(tested.filter(100 * F.col("common") >= threshold * (F.col("all") - F.col("common"))).select("a", "b"))
+        comp = scratch.write(components(scratch, links))
+
+        # then all that may still be linked, in buckets that meet more than one component
+        now = members.drop("m").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        met = now.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("all"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+        met = met.filter("c0 != c1 and m > 2").select("bucket", F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("all") / (1024 * block))).alias("n_blocks"))
+        own, n_blocks = F.pmod(F.xxhash64("rep"), F.col("n_blocks")), F.col("n_blocks")
+        dealt = F.transform(F.sequence(F.lit(0).cast("long"), n_blocks - 1), lambda j: F.least(own, j) * n_blocks + F.greatest(own, j))
+        now = now.join(met, "bucket").select("bucket", F.explode(dealt).alias("block"), "rep", "n", "comp", "sig")
+        now = now.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "rep")
+        now = scratch.write(now.mapInArrow(undecided(threshold, perms, bits, least), now.schema))
+        scratch.free_shuffles()
+        now = now.join(sets, "rep").select("bucket", "block", "rep", "n", "comp", "sig", "shingles")
+        now = now.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "rep")
+        more = scratch.write(now.mapInArrow(confirmed(threshold, perms, bits, least), "a long, b long").distinct())
+        if more.limit(1).count():
+            comp = scratch.write(components(scratch, links.union(more)))
         scratch.free_shuffles()
     out = sigs.select("doc_id", *key).join(classes.select(*key, "rep"), key, "left")
     out = out.join(comp.withColumnRenamed("node", "rep"), "rep", "left") if comp is not None else out.withColumn("comp", F.lit(None).cast("long"))
