@@ -88,6 +88,32 @@ def test_near(spark, docs, empty):
     assert near_duplicates(spark, empty).count() == 0
 
 
+def test_near_copies_of_unlike_closeness(spark):
+    """One base with few to many words changed: most candidates aren't links, and links join them through others."""
+    from tessera.llm.minhash import near_duplicates
+
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(120)]
+    texts = []
+    for k in range(90):
+        w = list(base)
+        for j in rng.sample(range(len(w)), k % 9):
+            w[j] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    sets = [{tuple(t.split()[k : k + 3]) for k in range(118)} for t in texts]
+    want = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]) and want[a] != want[b]:
+                low, high = sorted((want[a], want[b]))
+                want = [low if x == high else x for x in want]
+    assert len(set(want)) > 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for block in (1024, 16):
+        got = {r.doc_id: r.component_id for r in near_duplicates(spark, docs, 3, 85, block=block).collect()}
+        assert [got[k] for k in range(len(texts))] == want
+
+
 def test_components(spark):
     from tessera.llm.common import Scratch
     from tessera.llm.minhash import components
