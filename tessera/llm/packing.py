@@ -163,7 +163,10 @@ def shortest_pack_first(histogram: dict[int, int], limit: int) -> list[tuple[tup
         while left:
             if not sizes or sizes[0] + length > limit:
                 # no pack has room: new ones, several pieces to a pack where they fit
-                put(length, (length,), left)
+                each = limit // length
+                for many, count in ((each, left // each), (left % each, 1)):
+                    if many and count:
+                        put(many * length, (length,) * many, count)
                 break
             content = sizes[0]
             groups = open_[content]

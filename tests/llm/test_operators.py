@@ -187,6 +187,26 @@ def test_packing(spark, docs, empty):
     assert collections.Counter(n for p, c in packs for n in p * c) == {5: 3, 3: 4, 2: 9} and all(sum(p) <= 8 for p, _ in packs)
 
 
+def test_packing_fill_with_a_hot_length():
+    from tessera.llm.packing import placed, shortest_pack_first
+
+    rng = random.Random(5)
+    limit = 4096
+    spread = collections.Counter(min(limit, max(1, int(rng.lognormvariate(5.5, 1)))) for _ in range(20000))
+    for hot in (1, 60, 150, 600, 1000):
+        for base in (spread, collections.Counter()):
+            histogram = base + collections.Counter({hot: 10001})
+            packs = shortest_pack_first(histogram, limit)
+            assert all(sum(p) <= limit for p, _ in packs)
+            assert sum((collections.Counter({n: c}) for p, c in packs for n in p), collections.Counter()) == histogram
+            total = sum(n * c for n, c in histogram.items())
+            best = -(-10001 // (limit // hot)) if not base else total / limit / 0.98
+            assert sum(c for _, c in packs) <= best
+            # each rank of a length has one slot
+            slots = placed(packs)
+            assert len({*zip(slots["length"].tolist(), slots["rank"].tolist())}) == len(slots["rank"])
+
+
 def test_secrets(spark, docs, empty):
     from tessera.llm.secrets import secret_report
 
