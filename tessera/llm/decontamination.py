@@ -1,7 +1,7 @@
 """Operator 2, benchmark decontamination by latent semantic retrieval.
 
 TF-IDF vectors (hashed words, document frequencies over all documents) of the benchmark's passages are
-decomposed by a distributed randomised SVD. Windows of the documents, of three widths, are folded into
+decomposed by a distributed randomised SVD. Windows of the documents, of widths up to that of the longest passage, are folded into
 the latent space; passages whose cosine is high enough are candidates. A candidate is a leak if the longest
 common subsequence of words covers enough of the passage and of its answer: so are verbatim and
 reworded copies found.
@@ -24,13 +24,21 @@ from .common import need, tune
 from .words import ragged, words
 
 FEATURES = 1 << 14
-WIDTHS = (16, 32, 64)
+WIDTHS = (16, 32, 64)  # and on, for longer items
 
 
 def feature(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(50)).astype(np.int64)
 
 
+def widths_for(longest: int) -> tuple[int, ...]:
+    """Widths of windows, doubled until one holds the longest item: each item meets windows from a quarter of its length up."""
+    out = list(WIDTHS)
+    while out[-1] < longest:
+        out.append(2 * out[-1])
+    return tuple(out)
+
+
 def frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     """Number of documents; of those with each feature; of those with each word of the vocabulary (ascending hashes)."""
     size = FEATURES + len(vocabulary)
@@ -129,6 +137,7 @@ def finder(spark: SparkSession, docs: DataFrame, items: list[tuple[int, np.ndarr
     n_rare = [int(np.isin(h, rare).sum()) for _, h, _ in items]
     least = min(2, max(1, min(n_rare)))
     sizes = np.array([len(h) for _, h, _ in items])
+    widths = widths_for(int(sizes.max()))
     lists = [(h.tolist(), a.tolist()) for _, h, a in items]
     sets = [frozenset(h) for h, _ in lists]
     # words that may be missing are at most (1 - share) of all, the least frequent of the item at that
@@ -142,7 +151,7 @@ def finder(spark: SparkSession, docs: DataFrame, items: list[tuple[int, np.ndarr
             hit = rare[k] == w.hash if k is not None else np.zeros(len(w.hash), bool)
             seen = np.concatenate(([0], np.cumsum(hit)))
             tried: dict[tuple[int, int], tuple] = {}
-            for width in WIDTHS:
+            for width in widths:
                 step = width // 4
                 many = np.maximum(1, -(-(w.count - width) // step) + 1) * (w.count > 0)
                 doc = np.repeat(np.arange(w.n), many)

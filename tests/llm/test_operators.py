@@ -270,3 +270,19 @@ def test_leaks(spark, docs, empty):
     left = {r.doc_id for r in clean(spark, docs, items).collect()}
     assert left == {r[0] for r in corpus()} - {i for i, _ in want}
     assert leaks(spark, empty, items).count() == 0
+
+
+def test_leaks_of_long_items(spark):
+    """Items of more than four times the widest basic window, copied verbatim."""
+    from tessera.llm.decontamination import clean, leaks
+
+    rng = random.Random(6)
+    long = {m: " ".join(rng.choices(W, k=m)) for m in (20, 300, 2000)}
+    filler = [" ".join(rng.choices(W, k=500)) for _ in range(20)]
+    texts = [*filler, *(f"{filler[0]} {t} {filler[1]}" for t in long.values()), *long.values()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame(list(long.items()), "item_id long, text string")
+    want = {(20, 20), (21, 300), (22, 2000), (23, 20), (24, 300), (25, 2000)}
+    got = {(r.doc_id, r.item_id): r for r in leaks(spark, docs, items).collect()}
+    assert set(got) == want and all(r.lcs_share == 1 for r in got.values())
+    assert {r.doc_id for r in clean(spark, docs, items).collect()} == set(range(20))
