@@ -8,11 +8,12 @@ reworded copies found.
 
 Scale: two narrow scans of the documents, without a shuffle of them. The benchmark goes with the
 tasks in blocks of at most ``block`` items, each of which scans again; matrices have a fixed number of rows. A window is
-only folded in if it holds some of the benchmark's rare words, without which the check could not pass.
+only folded in if the words around it hold as many of one item's rarest as any copy that passes the check must.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import need, tune
-from .words import ragged, words
+from .words import Words, ragged, words
 
 FEATURES = 1 << 14
 WIDTHS = (16, 32, 64)  # and on, for longer items
@@ -118,6 +119,55 @@ def lcs(a: list[int], b: list[int]) -> int:
     return len(a) - bin(v).count("1")
 
 
+class Markers:
+    """The rarest words of each item: ``least[i]`` of those of item i stand in every text whose LCS with it is large enough."""
+
+    def __init__(self, words_: np.ndarray, cut: np.ndarray, items: np.ndarray, least: np.ndarray):
+        self.words, self.cut, self.items, self.least = words_, cut, items, least
+
+    def hits(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and items of all markers among word hashes, ascending by item and position."""
+        k = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+        at = np.flatnonzero(self.words[k] == h)
+        k = k[at]
+        many = self.cut[k + 1] - self.cut[k]
+        at, item = np.repeat(at, many), self.items[ragged(self.cut[k], many)]
+        order = np.argsort(item, kind="stable")
+        return at[order], item[order]
+
+    def reach(self, at: np.ndarray, item: np.ndarray, w: Words, width: int, sizes: np.ndarray) -> np.ndarray:
+        """Sums over words, to be compared at the ends of a window: more at its end if, for an item that windows of this width are compared with, the window and half the item's length on either side may hold enough markers."""
+        fits = (sizes <= 4 * width) & (sizes * 4 >= width)
+        last = np.arange(len(at)) + self.least[item] - 1
+        first = np.flatnonzero(fits[item] & (last < len(at)))
+        last = last[first]
+        a, b, i = at[first], at[last], item[first]
+        half = sizes[i] // 2
+        doc = np.searchsorted(w.cut, a, side="right")
+        ok = (item[last] == i) & (b - a < width + 2 * half) & (b < w.cut[doc])
+        a, b, half, doc = a[ok], b[ok], half[ok], doc[ok]
+        # such a window begins at a + half or before and ends behind b - half
+        low, high = np.minimum(a + half, b - half), np.maximum(a + half, b - half)
+        low, high = np.maximum(low, w.cut[doc - 1]), np.minimum(high, w.cut[doc] - 1)
+        edge = np.bincount(low, minlength=len(w.hash) + 1) - np.bincount(high + 1, minlength=len(w.hash) + 1)
+        return np.concatenate(([0], np.cumsum(np.cumsum(edge[:-1]) > 0)))
+
+
+def markers(items: list[np.ndarray], vocabulary: np.ndarray, known: np.ndarray, share: float) -> Markers:
+    """A text that passes lacks at most (1 - share) of an item's words, so that of so many and ``least`` more it holds ``least``; the rarest are chosen."""
+    pairs, least = [], []
+    for i, h in enumerate(items):
+        k = np.searchsorted(vocabulary, h)
+        lost = len(h) - max(1, math.ceil(share * len(h) - 1e-9))
+        least.append(min(len(h) - lost, max(4, len(h) // 8)))
+        own = np.unique(k[np.argsort(known[k], kind="stable")[: lost + least[-1]]])
+        pairs.append(np.stack([own, np.full(len(own), i)]))
+    word, item = np.concatenate(pairs, axis=1)
+    order = np.argsort(word, kind="stable")
+    unique, many = np.unique(word, return_counts=True)
+    return Markers(vocabulary[unique], np.concatenate(([0], np.cumsum(many))), item[order], np.array(least))
+
+
 def finder(spark: SparkSession, docs: DataFrame, items: list[tuple[int, np.ndarray, np.ndarray]], passages: DataFrame, rank: int, cosine: float, share: float, answer_share: float) -> Callable:
     """A function from an Arrow text column to the leaks (row, item, first word, cosine, share, answer share). items: (item_id, word hashes, answer hashes)."""
     vocabulary = np.unique(np.concatenate([h for _, h, _ in items]))
@@ -126,18 +176,11 @@ def finder(spark: SparkSession, docs: DataFrame, items: list[tuple[int, np.ndarr
     rank = min(rank, len(items))
     space = latent_space(passages, idf, rank)
     loaded = (space * idf[:, None]).astype(np.float32)
-    # rare words, and at least the four rarest of each item
-    few = known <= max(2, 0.005 * n_docs)
-    for _, h, _ in items:
-        own = np.unique(np.searchsorted(vocabulary, h))
-        few[own[np.argsort(known[own], kind="stable")[:4]]] = True
-    rare = vocabulary[few]
     fold = np.stack([loaded[feature(h)].sum(axis=0) for _, h, _ in items])
     fold /= np.maximum(np.linalg.norm(fold, axis=1, keepdims=True), 1e-9)
-    n_rare = [int(np.isin(h, rare).sum()) for _, h, _ in items]
-    least = min(2, max(1, min(n_rare)))
     sizes = np.array([len(h) for _, h, _ in items])
     widths = widths_for(int(sizes.max()))
+    marks = markers([h for _, h, _ in items], vocabulary, known, share)
     lists = [(h.tolist(), a.tolist()) for _, h, a in items]
     sets = [frozenset(h) for h, _ in lists]
     # words that may be missing are at most (1 - share) of all, the least frequent of the item at that
@@ -147,9 +190,7 @@ def finder(spark: SparkSession, docs: DataFrame, items: list[tuple[int, np.ndarr
         for w in words(col, lower=True):
             if not len(w.hash):
                 continue
-            k = np.minimum(np.searchsorted(rare, w.hash), len(rare) - 1) if len(rare) else None
-            hit = rare[k] == w.hash if k is not None else np.zeros(len(w.hash), bool)
-            seen = np.concatenate(([0], np.cumsum(hit)))
+            held, of = marks.hits(w.hash)
             tried: dict[tuple[int, int], tuple] = {}
             for width in widths:
                 step = width // 4
@@ -157,7 +198,8 @@ def finder(spark: SparkSession, docs: DataFrame, items: list[tuple[int, np.ndarr
                 doc = np.repeat(np.arange(w.n), many)
                 start = w.cut[doc] + ragged(np.zeros(w.n, np.int64), many) * step
                 stop = np.minimum(start + width, w.cut[doc + 1])
-                ok = seen[stop] - seen[start] >= least
+                seen = marks.reach(held, of, w, width, sizes)
+                ok = seen[stop] > seen[start]
                 if not ok.any():
                     continue
                 doc, start, stop = doc[ok], start[ok], stop[ok]
@@ -170,7 +212,7 @@ def finder(spark: SparkSession, docs: DataFrame, items: list[tuple[int, np.ndarr
                     m, d = int(sizes[i]), int(doc[r])
                     lo, hi = max(int(w.cut[d]), int(start[r]) - m // 2), min(int(w.cut[d + 1]), int(stop[r]) + m // 2)
                     here = w.hash[lo:hi].tolist()
-                    if len(sets[i].intersection(here)) < share * distinct[i]:
+                    if len(sets[i].intersection(here)) < share * distinct[i] - 1e-9:
                         continue  # too few of its words in any order
                     got = lcs(lists[i][0], here) / m
                     if got < share or ((d, i) in tried and got <= tried[d, i][2]):

@@ -286,3 +286,22 @@ def test_leaks_of_long_items(spark):
     got = {(r.doc_id, r.item_id): r for r in leaks(spark, docs, items).collect()}
     assert set(got) == want and all(r.lcs_share == 1 for r in got.values())
     assert {r.doc_id for r in clean(spark, docs, items).collect()} == set(range(20))
+
+
+def test_leaks_without_the_rarest_words(spark):
+    """Rewordings of items of common words that replace just the words the corpus doesn't know; any window is as good as the check."""
+    from tessera.llm.decontamination import lcs, leaks
+
+    rng = random.Random(7)
+    common = W[:60]
+    filler = [" ".join(rng.choices(common, k=60)) for _ in range(60)]
+    own = {i: rng.choices(common, k=36) for i in range(5)}
+    for i, w in own.items():
+        w[3:19:4] = [f"u{i}_{k}" for k in range(4)]
+    copies = [" ".join(f"v{k}" if x.startswith("u") else x for k, x in enumerate(w)) for w in own.values()]
+    texts = [*filler, *(f"{a} {c} {b}" for a, c, b in zip(filler, copies, filler[1:]))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(i, " ".join(w)) for i, w in own.items()], "item_id long, text string")
+    assert all(lcs(w, c.split()) == 32 for w, c in zip(own.values(), copies))
+    got = {(r.doc_id, r.item_id) for r in leaks(spark, docs, items).collect()}
+    assert got >= {(60 + i, i) for i in own}
