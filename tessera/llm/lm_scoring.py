@@ -1,6 +1,7 @@
 """Operator 3, language-model scoring: a gated recurrent model (gru.py) over the most frequent words, with exact counts for all others.
 
-The model's vocabulary is the ``vocabulary`` most frequent training tokens, the end among them, and one
+The model's vocabulary is the most frequent training tokens, the end among them, as many as cover the share
+``coverage`` of the training text, so that it grows with the input (``vocabulary`` sets a number instead), and one
 token for all others, which then get their share of the additively smoothed unigram distribution: the
 model is a distribution over all texts. Every training document is learnt from: each task trains from
 the same initial weights on its own documents, and the weights are averaged by tokens.
@@ -81,6 +82,12 @@ class Vocabulary:
         return np.where(self.own[k] == h, self.number[k], self.other).astype(np.int32)
 
 
+def size_for(counts: np.ndarray, total: int, coverage: float, least: int = 1024) -> int:
+    """Size of a model vocabulary that covers a share of the training tokens. counts: of the head, most frequent first."""
+    words_ = int(np.searchsorted(np.cumsum(counts), coverage * total)) + 1
+    return max(least, min(words_, len(counts)) + 2)
+
+
 def _pack(params: dict[str, np.ndarray]) -> bytes:
     return b"".join(params[n].astype("<f4").tobytes() for n in NAMES)
 
@@ -131,7 +138,7 @@ def train(docs: DataFrame, vocab: Vocabulary, hidden: int, lanes: int, window: i
     return _unpack(mean.astype("<f4").tobytes(), start)
 
 
-def score_documents(spark: SparkSession, docs: DataFrame, fold: int = 0, folds: int = 10, vocabulary: int = 1024, classes: int = 32, hidden: int = 16, head: int = 1 << 18, lanes: int = 256, window: int = 32, rate: float = 0.2, flush: int = 4_000_000) -> DataFrame:
+def score_documents(spark: SparkSession, docs: DataFrame, fold: int = 0, folds: int = 10, vocabulary: int | None = None, classes: int | None = None, coverage: float = 0.6, hidden: int = 16, head: int = 1 << 18, lanes: int = 256, window: int = 32, rate: float = 0.2, flush: int = 4_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row for each input row.
 
     Documents of the fold are not learnt from; a null doc_id is in no fold. Null and empty texts are the end alone.
@@ -143,7 +150,10 @@ def score_documents(spark: SparkSession, docs: DataFrame, fold: int = 0, folds:
     counts = scratch.write(token_counts(docs.filter("not held_out")))
     total, distinct = (x or 0 for x in counts.agg(F.sum("c"), F.count(F.lit(1))).first())
     top = counts.orderBy(F.desc("c"), "h").limit(head).toPandas()
-    vocab = Vocabulary(top["h"].to_numpy(np.int64).view(np.uint64), top["c"].to_numpy(np.int64), int(total), int(distinct), vocabulary, classes)
+    c = top["c"].to_numpy(np.int64)
+    vocabulary = vocabulary or size_for(c, int(total), coverage)
+    classes = classes or round(vocabulary**0.5)
+    vocab = Vocabulary(top["h"].to_numpy(np.int64).view(np.uint64), c, int(total), int(distinct), vocabulary, classes)
     weights = train(docs.filter("not held_out"), vocab, hidden, lanes, window, rate, flush)
     bounds = vocab.bounds
 

@@ -305,3 +305,20 @@ def test_leaks_without_the_rarest_words(spark):
     assert all(lcs(w, c.split()) == 32 for w, c in zip(own.values(), copies))
     got = {(r.doc_id, r.item_id) for r in leaks(spark, docs, items).collect()}
     assert got >= {(60 + i, i) for i in own}
+
+
+def test_model_vocabulary_grows_with_the_input(spark, monkeypatch):
+    from tessera.llm import lm_scoring
+
+    seen = []
+
+    class Seen(lm_scoring.Vocabulary):
+        def __init__(self, *args):
+            super().__init__(*args)
+            seen.append((self.count(self.own).sum() / self.total, self.size))
+
+    monkeypatch.setattr(lm_scoring, "Vocabulary", Seen)
+    for n in (10, 50):
+        docs = spark.createDataFrame([(None, " ".join(f"q{100 * k + j}" for j in range(100))) for k in range(n)], "doc_id long, text string")
+        assert all(r.score < 0 for r in lm_scoring.score_documents(spark, docs).collect())
+    assert all(covered >= 0.6 for covered, _ in seen) and seen[1][1] > 2900 > seen[0][1]
