@@ -1,4 +1,8 @@
-"""Explainable multi-stage search: exact identity, all terms, trigrams and vectors, fused by reciprocal rank."""
+"""Explainable multi-stage search: exact identity, all terms and trigrams, fused by reciprocal rank.
+
+There is no vector stage, and the full-text stage has no score: documents that hold all terms are ranked by stable_key
+among themselves. So with many of them the order, and what passes the cutoff or the limit, is partly that of the keys.
+"""
 
 from __future__ import annotations
 
