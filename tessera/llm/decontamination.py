@@ -3,7 +3,7 @@
 TF-IDF vectors (hashed words, document frequencies over all documents) of the benchmark's passages are
 decomposed by a distributed randomised SVD. Windows of the documents, of widths up to that of the longest passage, are folded into
 the latent space; passages whose cosine is high enough are candidates. A candidate is a leak if the longest
-common subsequence of words covers enough of the passage and of its answer: so are verbatim and
+common subsequence of words covers enough of the passage and, where one is given, of its answer: so are verbatim and
 reworded copies found.
 
 Scale: two narrow scans of the documents, without a shuffle of them. The benchmark goes with the
@@ -217,8 +217,8 @@ def finder(spark: SparkSession, docs: DataFrame, items: list[tuple[int, np.ndarr
                     got = lcs(lists[i][0], here) / m
                     if got < share or ((d, i) in tried and got <= tried[d, i][2]):
                         continue
-                    answer = lcs(lists[i][1], here) / max(1, len(lists[i][1]))
-                    if answer >= answer_share:
+                    answer = lcs(lists[i][1], here) / len(lists[i][1]) if lists[i][1] else None
+                    if answer is None or answer >= answer_share:
                         tried[d, i] = (lo - int(w.cut[d]), float(close[r, i]), got, answer)
             for (d, i), (at, c, share_, x) in sorted(tried.items()):
                 yield w.first + d, items[i][0], at, c, share_, x
@@ -240,7 +240,7 @@ def _blocks(benchmark: DataFrame, block: int):
         items = []
         for r in rows:
             h = np.concatenate([w.hash for w in words(pa.array([r["text"]]), lower=True)] or [np.zeros(0, np.uint64)])
-            a = np.concatenate([w.hash for w in words(pa.array([r["answer"]]), lower=True)]) if r["answer"] else h[len(h) - max(3, len(h) // 4) :]
+            a = np.concatenate([w.hash for w in words(pa.array([r["answer"]]), lower=True)]) if r["answer"] else h[:0]
             if len(h) >= 4:
                 items.append((r["item_id"], h, a))
         if items:
@@ -251,7 +251,7 @@ def _blocks(benchmark: DataFrame, block: int):
 def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, rank: int = 96, cosine: float = 0.35, share: float = 0.6, answer_share: float = 0.5, block: int = 5000) -> DataFrame:
     """doc_id, item_id, first_word, cosine, lcs_share, answer_share: a row for each document and item that it leaks; clean documents have none.
 
-    ``answer`` of the benchmark is the item's answer; without it the last quarter of its words is. Items with a null or
+    ``answer`` of the benchmark is the item's answer; without it answer_share is null and the passage alone decides. Items with a null or
     repeated item_id, null text or fewer than four words are left out. Null and empty documents are clean. Repeated rows are found each.
     """
     tune(spark, 1024)

@@ -322,3 +322,14 @@ def test_model_vocabulary_grows_with_the_input(spark, monkeypatch):
         docs = spark.createDataFrame([(None, " ".join(f"q{100 * k + j}" for j in range(100))) for k in range(n)], "doc_id long, text string")
         assert all(r.score < 0 for r in lm_scoring.score_documents(spark, docs).collect())
     assert all(covered >= 0.6 for covered, _ in seen) and seen[1][1] > 2900 > seen[0][1]
+
+
+def test_leaks_without_an_answer(spark):
+    """The first three quarters of an item are a leak unless its answer is known and missing."""
+    from tessera.llm.decontamination import leaks
+
+    w = PASSAGE.split()[:40]
+    docs = spark.createDataFrame([(1, " ".join(w[:30])), (2, " ".join(w[:16]))], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(w), None), (2, " ".join(w), " ".join(w[30:])), (3, " ".join(w), " ".join(w[20:30]))], "item_id long, text string, answer string")
+    assert {(r.doc_id, r.item_id, r.lcs_share, r.answer_share) for r in leaks(spark, docs, items).collect()} == {(1, 1, 0.75, None), (1, 3, 0.75, 1.0)}
+    assert {(r.doc_id, r.item_id) for r in leaks(spark, docs, items.drop("answer")).collect()} == {(1, 1), (1, 2), (1, 3)}
