@@ -21,9 +21,11 @@ def tune(spark: SparkSession, rows: int = 1024) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it; a local one only where none is named (tests)."""
+    """The folder that all executors share, as the session names it; a local one only where none is named and the master is local (tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = getattr(spark.sparkContext, "_tessera_dir", None) or tempfile.mkdtemp(prefix="tessera_")
         spark.sparkContext._tessera_dir = named
     return named.rstrip("/")
@@ -62,6 +64,78 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+class Bloom:
+    """A bit table of 64-bit ids that goes with the tasks: an id that is not ``among`` them is certainly none of them.
+
+    It has about 12 bits an id, 2**27 bits (16 MB) at most, and is put together by words of 64 bits. It only spares the shuffle of rows that are not
+    wanted; an exact join follows. Beyond some 13 million ids more and more rows pass it, until they all are shuffled.
+    """
+
+    PROBES, MOST = 4, 1 << 27
+
+    def __init__(self, ids: DataFrame):
+        """ids: a DataFrame whose first column is of 64-bit numbers."""
+        ids = ids.select(F.col(ids.columns[0]).cast("long").alias("id"))
+        n = ids.count()
+        self.bits = bits = max(1 << 12, min(self.MOST, 1 << (12 * n).bit_length()))
+        places = self.places
+
+        def mark(batches):
+            table = np.zeros(bits // 64, np.uint64)
+            for b in batches:
+                at = places(b.column(0).to_numpy()).ravel()
+                np.bitwise_or.at(table, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
+            k = np.flatnonzero(table)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(table[k].view(np.int64))], names=["k", "w"])
+
+        self.table = np.zeros(bits // 64, np.uint64)
+        got = ids.mapInArrow(mark, "k long, w long").groupBy("k").agg(F.bit_or("w").alias("w")).toArrow()  # bits / 64 rows at most
+        self.table[got["k"].to_numpy()] = got["w"].to_numpy().view(np.uint64)
+
+    def places(self, ids: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            a = mix(ids.view(np.uint64))
+            step = mix(a ^ np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+            return (a[:, None] + step[:, None] * np.arange(self.PROBES, dtype=np.uint64)) & np.uint64(self.bits - 1)
+
+    def among(self, ids: np.ndarray) -> np.ndarray:
+        at = self.places(np.ascontiguousarray(ids, np.int64))
+        return ((self.table[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)).all(axis=1)
+
+    def wanted(self, df: DataFrame) -> DataFrame:
+        """The rows of df whose first column may be among the ids."""
+
+        def some(batches, among=self.among):
+            for b in batches:
+                yield b.filter(pa.array(among(b.column(0).to_numpy())))
+
+        return df.mapInArrow(some, df.schema)
+
+
+#: Stands for a null doc_id where ids order last.
+LAST = 2**63 - 1
+
+
+def row_key() -> list[F.Column]:
+    """What tells a row of documents from others: its doc_id (LAST for null) and a hash of its text."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), F.xxhash64(F.coalesce(F.col("text"), F.lit("")))]
+
+
+def staying(scratch: Scratch, docs: DataFrame, verdict: DataFrame) -> DataFrame:
+    """docs, with all their columns, without the rows that do not stay. verdict: doc_id, text_key (as row_key has them) and ``stays`` for
+    each row of docs. Of rows that stay and are equal in doc_id and text, one does."""
+    per = verdict.groupBy("doc_id", "text_key").agg(F.bool_or("stays").alias("stays"), F.count(F.lit(1)).alias("n")).filter("not stays or n > 1")
+    per = scratch.write(per.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "stays"))
+    ident, key = row_key()
+    on = ["__id", "__key"]
+    told = docs.withColumn("__id", ident).withColumn("__key", key)
+    out = told.join(per.select(*on), on, "left_anti")
+    many = per.filter("stays")
+    if many.limit(1).count():
+        out = out.unionByName(told.join(many.select(*on), on, "left_semi").dropDuplicates(on))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def need(df: DataFrame, *cols: str) -> DataFrame:
     """Only the named columns: extra columns of the input, whatever their names, play no part."""
     return df.select(*[F.col(f"`{c}`") for c in cols])

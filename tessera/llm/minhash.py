@@ -21,8 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix, rolling, tune
-from .repeats import NONE, keyed
+from .common import LAST, Bloom, Scratch, mix, need, rolling, row_key, staying, tune
 from .words import ragged, words
 
 #: Odd multipliers and offsets of the permutations: a fixed sequence.
@@ -80,7 +79,7 @@ def signatures(size: int, perms: int, bits: int, rows: int, bands: int):
             sig = pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), n, [None, pa.py_buffer(packed.tobytes())]).cast(pa.binary())
             cuts = pa.array(np.arange(n + 1, dtype=np.int32) * bands)
             count, s1, s2 = (pa.array([k[i] for k in keys], pa.int64()) for i in range(3))
-            yield pa.RecordBatch.from_arrays([b.column(0), count, s1, s2, sig, pa.ListArray.from_arrays(cuts, pa.array(band.view(np.int64).ravel()))], names=["doc_id", "n", "s1", "s2", "sig", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), count, s1, s2, sig, pa.ListArray.from_arrays(cuts, pa.array(band.view(np.int64).ravel()))], names=["doc_id", "text_key", "n", "s1", "s2", "sig", "bands"])
 
     return made
 
@@ -126,8 +125,8 @@ def signature_words(t: pa.Table) -> np.ndarray:
 def forest(perms: int, bits: int, least: float):
     """For each group a spanning forest of the highest estimates of ``least`` or more, as pairs."""
 
-    def tree(rep, sig):
-        best, by, left = np.full(len(rep), -1.0), np.zeros(len(rep), np.int64), np.ones(len(rep), bool)
+    def tree(cid, sig):
+        best, by, left = np.full(len(cid), -1.0), np.zeros(len(cid), np.int64), np.ones(len(cid), bool)
         k = 0
         while True:
             left[k] = False
@@ -138,17 +137,17 @@ def forest(perms: int, bits: int, least: float):
             best[better], by[better] = e[better], k
             k = int(np.argmax(np.where(left, best, -2)))
             if best[k] >= least:
-                yield int(rep[by[k]]), int(rep[k])
+                yield int(cid[by[k]]), int(cid[k])
 
     def pairs(batches):
         for t in whole(batches):
-            rep, sig = t["rep"].to_numpy(), signature_words(t)
+            cid, sig = t["cid"].to_numpy(), signature_words(t)
             start, size = groups(t)
             two = start[size == 2]
             two = two[estimates(sig[two], sig[two + 1], perms, bits) >= least]
-            found = {(int(rep[k]), int(rep[k + 1])) for k in two}
+            found = {(int(cid[k]), int(cid[k + 1])) for k in two}
             for a, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                found.update((min(p), max(p)) for p in tree(rep[a : a + n], sig[a : a + n]))
+                found.update((min(p), max(p)) for p in tree(cid[a : a + n], sig[a : a + n]))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
@@ -170,15 +169,21 @@ def candidates(n: np.ndarray, comp: np.ndarray, sig: np.ndarray, threshold: int,
 
 
 def undecided(threshold: int, perms: int, bits: int, least: float):
-    """The rows of groups that have a candidate in another component."""
+    """The rows of groups that have a candidate in another component. Their bucket is named by the rows themselves, so that
+    those who meet in several bands are one group afterwards (groups whose names clash are joined, which loses no link)."""
 
     def rows(batches):
         for t in whole(batches):
-            n, comp, sig = t["n"].to_numpy(), t["comp"].to_numpy(), signature_words(t)
+            cid, n, comp, sig = t["cid"].to_numpy(), t["n"].to_numpy(), t["comp"].to_numpy(), signature_words(t)
             stays = np.zeros(t.num_rows, bool)
+            name = np.zeros(t.num_rows, np.uint64)
+            own = mix(cid.view(np.uint64))
             for a, m in zip(*(x.tolist() for x in groups(t)), strict=True):
                 for i, k in candidates(n[a : a + m], comp[a : a + m], sig[a : a + m], threshold, perms, bits, least):
                     stays[a + i] = stays[a + k] = True
+                name[a : a + m] = own[a : a + m][stays[a : a + m]].sum(dtype=np.uint64)
+            at = t.column_names.index
+            t = t.set_column(at("bucket"), "bucket", pa.array(name.view(np.int64))).set_column(at("block"), "block", pa.array(np.zeros(t.num_rows, np.int64)))
             yield from t.filter(pa.array(stays)).to_batches()
 
     return rows
@@ -189,7 +194,7 @@ def confirmed(threshold: int, perms: int, bits: int, least: float):
 
     def links(batches):
         for t in whole(batches):
-            rep, n, comp, sig = t["rep"].to_numpy(), t["n"].to_numpy(), t["comp"].to_numpy().copy(), signature_words(t)
+            cid, n, comp, sig = t["cid"].to_numpy(), t["n"].to_numpy(), t["comp"].to_numpy().copy(), signature_words(t)
             lists = t["shingles"].combine_chunks()
             lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
             values, cuts = lists.flatten().to_numpy(), np.concatenate(([0], np.cumsum(n)))
@@ -206,7 +211,7 @@ def confirmed(threshold: int, perms: int, bits: int, least: float):
                     for j in k[100 * common >= threshold * (size[i] + size[k] - common)]:
                         if part[j] != part[i]:
                             part[part == part[j]] = part[i]
-                            found.add((min(int(rep[a + i]), int(rep[a + j])), max(int(rep[a + i]), int(rep[a + j]))))
+                            found.add((min(int(cid[a + i]), int(cid[a + j])), max(int(cid[a + i]), int(cid[a + j]))))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
@@ -262,24 +267,22 @@ def components(scratch: Scratch, edges: DataFrame, few: int = FEW) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).union(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, threshold: int = 80, perms: int = 128, bits: int = 4, block: int = 1024) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each input row. Documents are linked if 100 * intersection >= threshold * union.
-
-    Null and empty texts, and those of white space alone, have no shingles and are linked with nothing. Rows that share a
-    doc_id and their shingles share a component. A null doc_id orders before all others and is never kept.
-    """
+def grouped(spark: SparkSession, docs: DataFrame, shingle: int, threshold: int, perms: int = 128, bits: int = 4, block: int = 1024) -> DataFrame:
+    """doc_id and text_key (as row_key has them), n, least (the smallest doc_id of the component), grp (a number of the component; null without shingles): one row for each input row."""
     tune(spark, 1024)
     scratch = Scratch(spark, "minhash")
     rows, bands = bands_for(threshold / 100, perms)
-    docs = keyed(docs)
-    sigs = scratch.write(docs.mapInArrow(signatures(shingle, perms, bits, rows, bands), "doc_id long, n long, s1 long, s2 long, sig binary, bands array<long>"))
+    ident, text_key = row_key()
+    docs = need(docs, "doc_id", "text").select(ident.alias("doc_id"), "text", text_key.alias("text_key"))
+    sigs = scratch.write(docs.mapInArrow(signatures(shingle, perms, bits, rows, bands), "doc_id long, text_key long, n long, s1 long, s2 long, sig binary, bands array<long>"))
+    # a class: all documents with one shingle set; its number is fixed by the written table
     key = ["n", "s1", "s2"]
     classes = sigs.filter("n > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    classes = scratch.write(classes)
-    bucketed = classes.select("rep", F.explode("bands").alias("bucket"))
+    classes = scratch.write(classes.withColumn("cid", F.monotonically_increasing_id()))
+    bucketed = classes.select("cid", F.explode("bands").alias("bucket"))
     often = bucketed.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    members = bucketed.join(often, "bucket").join(classes.select("rep", "n", "sig"), "rep")
-    members = scratch.write(members.select("bucket", "m", "rep", "n", "sig").distinct())
+    members = bucketed.join(often, "bucket").join(classes.select("cid", "n", "sig"), "cid")
+    members = scratch.write(members.select("bucket", "m", "cid", "n", "sig").distinct())
     scratch.free_shuffles()
     # four and a half standard deviations of the estimate below the threshold
     t, c = threshold / 100, 1 / (1 << bits)
@@ -288,45 +291,81 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, thre
 
     # first the forest of each block in itself
     n_blocks = F.ceil(F.col("m") / block)
-    own = F.pmod(F.xxhash64("rep"), n_blocks)
-    found = members.select("bucket", own.alias("block"), "rep", "sig").repartition("bucket", "block").sortWithinPartitions("bucket", "block", "rep")
+    own = F.pmod(F.xxhash64("cid"), n_blocks)
+    found = members.select("bucket", own.alias("block"), "cid", "sig").repartition("bucket", "block").sortWithinPartitions("bucket", "block", "cid")
     found = scratch.write(found.mapInArrow(forest(perms, bits, least), "a long, b long").distinct())
     comp: DataFrame | None = None
-    if found.limit(1).count():
+    # classes with no candidate in their own block of a bucket may have one only in another block of it
+    nodes = found.select(F.explode(F.array("a", "b")).alias("cid")).union(members.filter(F.col("m") > block).select("cid")).distinct()
+    nodes = scratch.write(nodes.join(classes.select("cid", F.col("rep").alias("doc_id"), *key), "cid").select("doc_id", *key, "cid"))
+    if nodes.limit(1).count():
+        wanted = Bloom(nodes)
 
-        def full(batches):
+        def full(batches, among=wanted.among):
             for b in batches:
+                b = b.filter(pa.array(among(b.column(0).to_numpy())))
                 got = list(shingle_sets(b.column(1), shingle))
                 keys = [set_key(s) for s in got]
                 yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([k[i] for k in keys], pa.int64()) for i in range(3)), pa.array([s.view(np.int64) for s in got], pa.list_(pa.int64()))], names=["doc_id", "n", "s1", "s2", "shingles"])
 
-        nodes = members.select(F.col("rep").alias("doc_id")).distinct()
-        sets = docs.join(nodes, "doc_id", "left_semi").mapInArrow(full, "doc_id long, n long, s1 long, s2 long, shingles array<long>")
-        sets = scratch.write(sets.join(classes.select(F.col("rep").alias("doc_id"), *key), ["doc_id", *key]).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("rep"), "shingles"))
+        sets = docs.select("doc_id", "text").mapInArrow(full, "doc_id long, n long, s1 long, s2 long, shingles array<long>").join(nodes, ["doc_id", *key])
+        sets = scratch.write(sets.groupBy("doc_id", *key, "cid").agg(F.first("shingles").alias("shingles")).select("cid", "shingles"))
         scratch.free_shuffles()
-        tested = found.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b")
+        tested = found.join(sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y")), "b")
         tested = tested.select("a", "b", F.size(F.array_intersect("x", "y")).alias("common"), (F.size("x") + F.size("y")).alias("all"))
         links = scratch.write(tested.filter(100 * F.col("common") >= threshold * (F.col("all") - F.col("common"))).select("a", "b"))
         comp = scratch.write(components(scratch, links))
+        scratch.free_shuffles()
 
         # then all that may still be linked, in buckets that meet more than one component
-        now = members.drop("m").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        now = members.drop("m").join(comp.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
         met = now.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("all"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
         met = met.filter("c0 != c1 and m > 2").select("bucket", F.greatest(F.ceil(F.col("m") / block), F.ceil(F.col("all") / (1024 * block))).alias("n_blocks"))
-        own, n_blocks = F.pmod(F.xxhash64("rep"), F.col("n_blocks")), F.col("n_blocks")
+        own, n_blocks = F.pmod(F.xxhash64("cid"), F.col("n_blocks")), F.col("n_blocks")
         dealt = F.transform(F.sequence(F.lit(0).cast("long"), n_blocks - 1), lambda j: F.least(own, j) * n_blocks + F.greatest(own, j))
-        now = now.join(met, "bucket").select("bucket", F.explode(dealt).alias("block"), "rep", "n", "comp", "sig")
-        now = now.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "rep")
-        now = scratch.write(now.mapInArrow(undecided(threshold, perms, bits, least), now.schema))
+        now = now.join(met, "bucket").select("bucket", F.explode(dealt).alias("block"), "cid", "n", "comp", "sig")
+        now = now.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "cid")
+        now = scratch.write(now.mapInArrow(undecided(threshold, perms, bits, least), now.schema).distinct())
         scratch.free_shuffles()
-        now = now.join(sets, "rep").select("bucket", "block", "rep", "n", "comp", "sig", "shingles")
-        now = now.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "rep")
-        more = scratch.write(now.mapInArrow(confirmed(threshold, perms, bits, least), "a long, b long").distinct())
+        left = now.join(sets, "cid").select("bucket", "block", "cid", "n", "comp", "sig", "shingles")
+        left = left.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "cid")
+        more = scratch.write(left.mapInArrow(confirmed(threshold, perms, bits, least), "a long, b long").distinct())
         if more.limit(1).count():
             comp = scratch.write(components(scratch, links.union(more)))
-        scratch.free_shuffles()
-    out = sigs.select("doc_id", *key).join(classes.select(*key, "rep"), key, "left")
-    out = out.join(comp.withColumnRenamed("node", "rep"), "rep", "left") if comp is not None else out.withColumn("comp", F.lit(None).cast("long"))
-    ident = F.coalesce("comp", "rep", "doc_id")
-    real = lambda c: F.when(c != NONE, c)
-    return out.select(real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(ident).alias("component_id"), ((F.col("doc_id") == ident) & (F.col("doc_id") != NONE)).alias("kept"))
+        for done in (sets, now):
+            scratch.drop(done)
+    for done in (members, found, nodes):
+        scratch.drop(done)
+    scratch.free_shuffles()
+    out = sigs.select("doc_id", "text_key", *key).join(classes.select(*key, "cid", "rep"), key, "left")
+    if comp is None:
+        out = out.withColumn("least", F.lit(None).cast("long")).withColumn("comp", F.lit(None).cast("long"))
+    else:
+        of = comp.join(classes.select(F.col("cid").alias("node"), "rep"), "node")
+        of = of.select(F.col("node").alias("cid"), "comp").join(of.groupBy("comp").agg(F.min("rep").alias("least")), "comp")
+        out = out.join(of.select("cid", "comp", "least"), "cid", "left")
+    return out.select("doc_id", "text_key", "n", F.coalesce("least", "rep", "doc_id").alias("least"), F.coalesce("comp", "cid").alias("grp"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, shingle: int = 5, threshold: int = 80, block: int = 1024) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row for each input row. Documents are linked if 100 * intersection >= threshold * union.
+
+    Null and empty texts, and those of white space alone, have no shingles and are linked with nothing. Rows that share a doc_id are
+    documents of their own. A null doc_id orders behind all others; component_id is null only where no document of the component has an id, and a
+    null doc_id is never kept. Texts of any length are read whole; a text's shingles must fit in one task. An empty table gives an empty result.
+    Columns but doc_id and text play no part.
+    """
+    out = grouped(spark, docs, shingle, threshold, block=block)
+    real = lambda c: F.when(F.col(c) != LAST, F.col(c))
+    return out.select(real("doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), real("least").alias("component_id"), ((F.col("doc_id") == F.col("least")) & (F.col("doc_id") != LAST)).alias("kept"))
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, shingle: int = 5, threshold: int = 80) -> DataFrame:
+    """The documents of which one of each group stays, with all their columns: that of the smallest doc_id (null
+    orders last; of several texts with that id, the one of the least hash). Texts without shingles stay, equal rows of them once."""
+    scratch = Scratch(spark, "near")
+    found = scratch.write(grouped(spark, docs, shingle, threshold))
+    # one row a group, with the least of its rows
+    first = found.filter("grp is not null").groupBy("grp").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    told = found.join(first, "grp", "left")
+    return staying(scratch, docs, told.select("doc_id", "text_key", F.coalesce(F.struct("doc_id", "text_key") == F.col("first"), F.lit(True)).alias("stays")))

@@ -3,7 +3,7 @@
 Each window of a fixed length holds an anchor: the smallest hash of the short grams within it. Equal
 windows have equal anchors, so that windows whose anchor occurs once in the corpus do not repeat.
 Successive windows mostly share an anchor, so that few rows are counted. This is lossless; what is
-left is examined exactly. No side is broadcast, and all tables grow in proportion to the input.
+left is examined exactly. All tables grow in proportion to the input, and nothing but bit tables of bounded size is broadcast.
 """
 
 from __future__ import annotations
@@ -12,10 +12,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, runs_of
+from .common import Bloom, Scratch, need, runs_of
 from .words import ragged
 
 #: The runs of windows with one anchor, of the texts of a batch: (rows, anchors, starts, lengths, whether the anchor is in the run's windows more than once)
@@ -23,25 +23,37 @@ Runs = Callable[[pa.Array], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, n
 NONE = -(2**63)
 
 
-def candidates(docs: DataFrame, runs: Runs) -> DataFrame:
-    """doc_id and a list of packed PLACE records: the runs of windows whose anchor is not alone, with the number of runs that have it.
+def candidates(scratch: Scratch, docs: DataFrame, runs: Runs, kept: bool) -> DataFrame:
+    """doc_id, text and a list of packed PLACE records, written: the runs of windows whose anchor is not alone, with the number of runs that have it.
 
-    Within one run windows repeat only if the anchor is there twice (periodic texts). A task
-    emits one row an anchor, with all places packed, so that a frequent anchor is one row a task.
+    Within one run windows repeat only if the anchor is there twice (periodic texts). A task emits one row an anchor and batch, with all
+    places packed. Anchors are counted with map-side sums and joined back, so that Spark can split a frequent one; only
+    rows of repeated anchors, and texts that hold one, are shuffled as long as the bit tables hold. kept: the rows of runs are written, for runs that are few and
+    costly; else they are found once more.
     """
 
-    def emit(batches):
-        for b in batches:
-            got = [x for x in runs(b.column(1)) if len(x[0])]
-            if not got:
-                continue
-            rows, anchors, start, length, twice = (np.concatenate(x) for x in zip(*got, strict=True))
-            order = np.argsort(anchors, kind="stable")
-            first, count = runs_of(anchors[order])
-            weight = np.add.reduceat(1 + twice[order], first)
-            place = np.zeros(len(order), LOCAL)
-            place["doc"], place["start"], place["length"] = b.column(0).to_numpy()[rows[order]], start[order], length[order]
-            yield pa.RecordBatch.from_arrays([pa.array(anchors[order][first].view(np.int64)), pa.array(weight.astype(np.int64)), blobs(place, first)], names=["anchor", "n", "places"])
+    def emit(places: bool, among=None):
+        def rows(batches):
+            for b in batches:
+                got = [x for x in runs(b.column(1)) if len(x[0])]
+                if not got:
+                    continue
+                rows, anchors, start, length, twice = (np.concatenate(x) for x in zip(*got, strict=True))
+                if among is not None:
+                    some = among(anchors.view(np.int64))
+                    rows, anchors, start, length, twice = (x[some] for x in (rows, anchors, start, length, twice))
+                    if not len(rows):
+                        continue
+                order = np.argsort(anchors, kind="stable")
+                first, count = runs_of(anchors[order])
+                cols = {"anchor": pa.array(anchors[order][first].view(np.int64)), "n": pa.array(np.add.reduceat(1 + twice[order], first).astype(np.int64))}
+                if places:
+                    place = np.zeros(len(order), LOCAL)
+                    place["doc"], place["start"], place["length"] = b.column(0).to_numpy()[rows[order]], start[order], length[order]
+                    cols["places"] = blobs(place, first)
+                yield pa.RecordBatch.from_pydict(cols)
+
+        return docs.mapInArrow(rows, "anchor long, n long" + ", places binary" * places)
 
     def spread(batches):
         for b in batches:
@@ -58,9 +70,21 @@ def candidates(docs: DataFrame, runs: Runs) -> DataFrame:
             first, _ = runs_of(ids)
             yield pa.RecordBatch.from_arrays([pa.array(ids[first]), blobs(place[order], first)], names=["doc_id", "runs"])
 
-    found = docs.mapInArrow(emit, "anchor long, n long, places binary")
-    often = found.withColumn("all", F.sum("n").over(Window.partitionBy("anchor"))).filter("all > 1").select("anchor", "all", "places")
-    return often.mapInArrow(spread, "doc_id long, runs binary").groupBy("doc_id").agg(F.collect_list("runs").alias("runs"))
+    table = scratch.write(emit(True)) if kept else None
+    counted = (table if kept else emit(False)).groupBy("anchor").agg(F.sum("n").alias("all")).filter("all > 1")
+    often = scratch.write(counted)
+    scratch.free_shuffles()
+    anchors = Bloom(often)
+    found = anchors.wanted(table) if kept else emit(True, anchors.among)
+    found = found.join(often, "anchor").select("anchor", "all", "places").mapInArrow(spread, "doc_id long, runs binary")
+    found = scratch.write(found.groupBy("doc_id").agg(F.collect_list("runs").alias("runs")))
+    for done in (table, often) if kept else (often,):
+        scratch.drop(done)
+    scratch.free_shuffles()
+    some = scratch.write(Bloom(found).wanted(docs).filter("text is not null").join(found, "doc_id"))
+    scratch.drop(found)
+    scratch.free_shuffles()
+    return some
 
 
 LOCAL = np.dtype([("doc", "<i8"), ("start", "<i4"), ("length", "<i4")])

@@ -4,16 +4,16 @@ Windows that repeat are removed but for the first (smallest doc_id, then earlies
 that go merge into maximal intervals of words. Windows that cannot repeat, as a short gram in each of
 them occurs once in the corpus, are told first (repeats.py), so that only the rest is shuffled.
 
-Scale: texts are shuffled once, and only documents that may hold a repeat go on. A task sends each
-window hash once, with its first place and, packed, the places that are later than that, so that a
-passage in a third of all documents is one row a task.
+Scale: only documents that may hold a repeat are shuffled. A batch sends each window hash (128 bits) once, with its first
+place and, packed, the places that are later than that, so that a passage in a third of all documents is one row a batch; the
+first places of all are found with map-side minima and joined back.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, mix, rolling, runs_of, sliding_min, tune
@@ -21,18 +21,18 @@ from .exact_dedup import normalised
 from .repeats import LOCAL, NONE, blobs, candidates, held_twice, keyed, merged, unpacked
 from .words import Words, ragged, words
 
-GRAM = 4
 
 
 def word_runs(window: int):
-    span = window - GRAM + 1
+    gram = max(1, window // 2)  # half a window: shorter ones are common phrases, longer ones give more anchors
+    span = window - gram + 1
 
     def runs(col):
         for w in words(col):
             n = len(w.hash) - window + 1
             if n <= 0:
                 continue
-            grams = mix(rolling(w.hash, GRAM))
+            grams = mix(rolling(w.hash, gram))
             anchors = sliding_min(grams, span)[:n]
             doc = w.doc[:n]
             ok = w.cut[doc + 1] - np.arange(n) >= window
@@ -56,11 +56,11 @@ def window_rows(window: int):
     def rows(batches):
         for b in batches:
             ids, runs = b.column(0).to_numpy(), b.column(2).to_pylist()
-            hashes, docs, at = [], [], []
+            hashes, more, docs, at = [], [], [], []
             for w in words(b.column(1)):
                 if len(w.hash) < window:
                     continue
-                h = mix(rolling(w.hash, window))
+                h, g = mix(rolling(w.hash, window)), mix(rolling(mix(w.hash ^ np.uint64(0x5851F42D4C957F2D)), window))
                 for d in range(w.n):
                     n = int(w.cut[d + 1] - w.cut[d]) - window + 1
                     if n <= 0:
@@ -69,27 +69,29 @@ def window_rows(window: int):
                     k = np.unique(ragged(place["start"].astype(np.int64), place["length"].astype(np.int64)))
                     k = k[k < n]
                     hashes.append(h[w.cut[d] + k])
+                    more.append(g[w.cut[d] + k])
                     at.append(k)
                     docs.append(np.full(len(k), ids[w.first + d]))
             if not hashes:
                 continue
-            hashes, docs, at = map(np.concatenate, (hashes, docs, at))
+            hashes, more, docs, at = map(np.concatenate, (hashes, more, docs, at))
             if not len(hashes):
                 continue
-            order = np.lexsort((at, docs, hashes))
-            hashes, docs, at = hashes[order], docs[order], at[order]
-            first, count = runs_of(hashes)
+            order = np.lexsort((at, docs, more, hashes))
+            hashes, more, docs, at = hashes[order], more[order], docs[order], at[order]
+            first = np.flatnonzero(np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (more[1:] != more[:-1]))))
+            count = np.diff(np.append(first, len(hashes)))
             later = np.ones(len(hashes), bool)
             later[first] = False
             # a repeated row of the input is the same place, not a later one
             same = np.zeros(len(hashes), bool)
-            same[1:] = (hashes[1:] == hashes[:-1]) & (docs[1:] == docs[:-1]) & (at[1:] == at[:-1])
+            same[1:] = (hashes[1:] == hashes[:-1]) & (more[1:] == more[:-1]) & (docs[1:] == docs[:-1]) & (at[1:] == at[:-1])
             head = np.repeat(first, count)
             later &= ~same & ~((docs == docs[head]) & (at == at[head]))
             place = np.zeros(int(later.sum()), LOCAL)
             place["doc"], place["start"] = docs[later], at[later]
             begins = np.concatenate(([0], np.cumsum(later)))[first]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[first].view(np.int64)), pa.array(docs[first]), pa.array(at[first].astype(np.int32)), blobs(place, begins)], names=["h", "doc_id", "at", "later"])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[first].view(np.int64)), pa.array(more[first].view(np.int64)), pa.array(docs[first]), pa.array(at[first].astype(np.int32)), blobs(place, begins)], names=["h", "g", "doc_id", "at", "later"])
 
     return rows
 
@@ -126,15 +128,13 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, window: int = 20) -> D
     tune(spark, 2048)
     scratch = Scratch(spark, "substring")
     docs = keyed(docs)
-    found = candidates(docs, word_runs(window))
-    some = scratch.write(docs.filter("text is not null").join(found, "doc_id"))
-    del found
-    scratch.free_shuffles()
-    rows = some.select("doc_id", "text", "runs").mapInArrow(window_rows(window), "h long, doc_id long, at int, later binary")
-    first = F.min(F.struct("doc_id", "at")).over(Window.partitionBy("h"))
-    marked = rows.withColumn("own", F.struct("doc_id", "at") != first).filter("own or length(later) > 0").select("doc_id", "at", "later", "own")
+    some = candidates(scratch, docs, word_runs(window), kept=False)
+    rows = scratch.write(some.select("doc_id", "text", "runs").mapInArrow(window_rows(window), "h long, g long, doc_id long, at int, later binary"))
+    first = rows.groupBy("h", "g").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n"), F.max(F.length("later")).alias("more")).filter("n > 1 or more > 0")
+    marked = rows.join(first, ["h", "g"]).withColumn("own", F.struct("doc_id", "at") != F.col("first")).filter("own or length(later) > 0").select("doc_id", "at", "later", "own")
     starts = scratch.write(marked.mapInArrow(gone, "doc_id long, starts binary"))
-    del rows, marked
+    scratch.drop(rows)
+    del rows, first, marked
     scratch.free_shuffles()
     starts = starts.groupBy("doc_id").agg(F.collect_list("starts").alias("starts"))
 

@@ -188,10 +188,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, limit: int = 400, size: i
     tune(spark, 1024)
     scratch = Scratch(spark, "suffix")
     docs = keyed(docs)
-    found = candidates(docs, byte_runs(limit))
-    some = scratch.write(docs.filter("text is not null").join(found, "doc_id"))
-    del found
-    scratch.free_shuffles()
+    some = candidates(scratch, docs, byte_runs(limit), kept=True)
     rows = some.select("doc_id", "text", "runs").mapInArrow(segment_rows(limit), "key long, segment binary, places binary")
     rows = rows.repartition("key").sortWithinPartitions("key")
     starts = scratch.write(rows.mapInArrow(expand(limit, size), "doc_id long, starts binary"))
