@@ -26,10 +26,9 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Five words a shingle, a similarity of 0.8 or more; one document of each group stays."""
-    from tessera.llm.minhash import near_duplicates
+    from tessera.llm.minhash import keep_one
 
-    gone = near_duplicates(spark, docs, shingle=5, threshold=80).filter("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return keep_one(spark, docs, shingle=5, threshold=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
