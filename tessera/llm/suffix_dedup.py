@@ -129,34 +129,33 @@ def expand(limit: int, size: int):
             else:
                 at[k, s] = [p]
                 groups[k] = groups.get(k, 0) + 1
-        whole, texts, weights, own = [], [], [], []
+        texts, weights, own = [], [], []
+        ids, pairs = [], []  # the runs of windows that repeat
+
+        def mark(place: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
+            ids.append(np.repeat(place["doc"], len(begin)))
+            pairs.append(np.column_stack([(place["start"].astype(np.int64)[:, None] + begin).ravel(), np.tile(size, len(place))]).astype(np.int32))
+
         for (k, s), ps in at.items():
             place = np.unique(np.frombuffer(b"".join(ps), LOCAL))  # a repeated row of the input is one place
-            if groups[k] == 1 and len(place) == 1 and not k & 1:
-                continue  # a block that is alone; no two windows of a block are equal
-            texts.append(s)
-            weights.append(len(place))
-            own.append(place)
-        if not texts:
-            return None
-        flags = repeated(texts, np.array(weights), limit)
-        docs, starts = [], []
-        for flag, place in zip(flags, own, strict=True):
-            k = np.flatnonzero(flag)
-            if len(k):
-                docs.append(np.repeat(place["doc"], len(k)))
-                starts.append((place["start"].astype(np.int64)[:, None] + k).ravel())
-        if not docs:
+            if groups[k] == 1 and len(place) > 1:  # nothing else has the key, and the segment as a whole repeats
+                mark(place, np.zeros(1, np.int64), np.array([len(s) - limit + 1]))
+            elif groups[k] > 1 or k & 1:  # no two windows of one block are equal
+                texts.append(s)
+                weights.append(len(place))
+                own.append(place)
+        if texts:
+            for flag, place in zip(repeated(texts, np.array(weights), limit), own, strict=True):
+                edge = np.flatnonzero(np.diff(np.concatenate(([0], flag.astype(np.int8), [0]))))
+                if len(edge):
+                    mark(place, edge[::2], edge[1::2] - edge[::2])
+        if not ids:
             return None
-        docs, starts = np.concatenate(docs), np.concatenate(starts).astype(np.int32)
-        order = np.lexsort((starts, docs))
-        docs, starts = docs[order], starts[order]
-        # successive starts as (first, length)
-        first = np.flatnonzero(np.concatenate(([True], (docs[1:] != docs[:-1]) | (starts[1:] != starts[:-1] + 1))))
-        pair = np.column_stack([starts[first], np.diff(np.append(first, len(starts)))]).astype(np.int32)
-        ids = docs[first]
-        cut, _ = runs_of(ids)
-        return pa.RecordBatch.from_arrays([pa.array(ids[cut]), blobs(np.ascontiguousarray(pair).view([("a", "<i4"), ("n", "<i4")]).ravel(), cut)], names=["doc_id", "starts"])
+        docs, pair = np.concatenate(ids), np.concatenate(pairs)
+        order = np.argsort(docs, kind="stable")
+        docs, pair = docs[order], pair[order]
+        cut, _ = runs_of(docs)
+        return pa.RecordBatch.from_arrays([pa.array(docs[cut]), blobs(np.ascontiguousarray(pair).view([("a", "<i4"), ("n", "<i4")]).ravel(), cut)], names=["doc_id", "starts"])
 
     def rows(batches):
         keys: list[int] = []
@@ -188,7 +187,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, limit: int = 400, size: i
     tune(spark, 1024)
     scratch = Scratch(spark, "suffix")
     docs = keyed(docs)
-    some = candidates(scratch, docs, byte_runs(limit), kept=True)
+    some, _ = candidates(scratch, docs, byte_runs(limit), kept=True)
     rows = some.select("doc_id", "text", "runs").mapInArrow(segment_rows(limit), "key long, segment binary, places binary")
     rows = rows.repartition("key").sortWithinPartitions("key")
     starts = scratch.write(rows.mapInArrow(expand(limit, size), "doc_id long, starts binary"))
