@@ -23,8 +23,8 @@ Runs = Callable[[pa.Array], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, n
 NONE = -(2**63)
 
 
-def candidates(scratch: Scratch, docs: DataFrame, runs: Runs, kept: bool) -> DataFrame:
-    """doc_id, text and a list of packed PLACE records, written: the runs of windows whose anchor is not alone, with the number of runs that have it.
+def candidates(scratch: Scratch, docs: DataFrame, runs: Runs, kept: bool) -> tuple[DataFrame, int]:
+    """doc_id, text and a list of packed PLACE records, written: the runs of windows whose anchor is not alone, with the number of runs that have it; and the highest of these numbers.
 
     Within one run windows repeat only if the anchor is there twice (periodic texts). A task emits one row an anchor and batch, with all
     places packed. Anchors are counted with map-side sums and joined back, so that Spark can split a frequent one; only
@@ -74,6 +74,7 @@ def candidates(scratch: Scratch, docs: DataFrame, runs: Runs, kept: bool) -> Dat
     counted = (table if kept else emit(False)).groupBy("anchor").agg(F.sum("n").alias("all")).filter("all > 1")
     often = scratch.write(counted)
     scratch.free_shuffles()
+    most = often.agg(F.max("all")).first()[0] or 0
     anchors = Bloom(often)
     found = anchors.wanted(table) if kept else emit(True, anchors.among)
     found = found.join(often, "anchor").select("anchor", "all", "places").mapInArrow(spread, "doc_id long, runs binary")
@@ -84,7 +85,7 @@ def candidates(scratch: Scratch, docs: DataFrame, runs: Runs, kept: bool) -> Dat
     some = scratch.write(Bloom(found).wanted(docs).filter("text is not null").join(found, "doc_id"))
     scratch.drop(found)
     scratch.free_shuffles()
-    return some
+    return some, most
 
 
 LOCAL = np.dtype([("doc", "<i8"), ("start", "<i4"), ("length", "<i4")])

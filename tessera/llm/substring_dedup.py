@@ -5,15 +5,16 @@ that go merge into maximal intervals of words. Windows that cannot repeat, as a
 them occurs once in the corpus, are told first (repeats.py), so that only the rest is shuffled.
 
 Scale: only documents that may hold a repeat are shuffled. A batch sends each window hash (128 bits) once, with its first
-place and, packed, the places that are later than that, so that a passage in a third of all documents is one row a batch; the
-first places of all are found with map-side minima and joined back.
+place and, packed, the places that are later than that. Windows with an anchor that more than ``hot`` runs have (a passage in a third
+of all documents) get their first places by map-side minima joined back, which Spark can split; the others, with no more places than
+that, by a window function.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, mix, rolling, runs_of, sliding_min, tune
@@ -50,13 +51,13 @@ def word_runs(window: int):
     return runs
 
 
-def window_rows(window: int):
+def window_rows(window: int, hot: int):
     """For each hash and batch: its first place and the packed later ones."""
 
     def rows(batches):
         for b in batches:
             ids, runs = b.column(0).to_numpy(), b.column(2).to_pylist()
-            hashes, more, docs, at = [], [], [], []
+            hashes, more, docs, at, frequent = [], [], [], [], []
             for w in words(b.column(1)):
                 if len(w.hash) < window:
                     continue
@@ -66,19 +67,21 @@ def window_rows(window: int):
                     if n <= 0:
                         continue
                     place = unpacked(runs[w.first + d])
-                    k = np.unique(ragged(place["start"].astype(np.int64), place["length"].astype(np.int64)))
+                    k, at_run = np.unique(ragged(place["start"].astype(np.int64), place["length"].astype(np.int64)), return_index=True)
+                    often = (np.repeat(place["all"], place["length"]) > hot)[at_run][k < n]
                     k = k[k < n]
+                    frequent.append(often)
                     hashes.append(h[w.cut[d] + k])
                     more.append(g[w.cut[d] + k])
                     at.append(k)
                     docs.append(np.full(len(k), ids[w.first + d]))
             if not hashes:
                 continue
-            hashes, more, docs, at = map(np.concatenate, (hashes, more, docs, at))
+            hashes, more, docs, at, frequent = map(np.concatenate, (hashes, more, docs, at, frequent))
             if not len(hashes):
                 continue
             order = np.lexsort((at, docs, more, hashes))
-            hashes, more, docs, at = hashes[order], more[order], docs[order], at[order]
+            hashes, more, docs, at, frequent = hashes[order], more[order], docs[order], at[order], frequent[order]
             first = np.flatnonzero(np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (more[1:] != more[:-1]))))
             count = np.diff(np.append(first, len(hashes)))
             later = np.ones(len(hashes), bool)
@@ -91,7 +94,7 @@ def window_rows(window: int):
             place = np.zeros(int(later.sum()), LOCAL)
             place["doc"], place["start"] = docs[later], at[later]
             begins = np.concatenate(([0], np.cumsum(later)))[first]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[first].view(np.int64)), pa.array(more[first].view(np.int64)), pa.array(docs[first]), pa.array(at[first].astype(np.int32)), blobs(place, begins)], names=["h", "g", "doc_id", "at", "later"])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[first].view(np.int64)), pa.array(more[first].view(np.int64)), pa.array(docs[first]), pa.array(at[first].astype(np.int32)), blobs(place, begins), pa.array(frequent[first])], names=["h", "g", "doc_id", "at", "later", "hot"])
 
     return rows
 
@@ -118,7 +121,7 @@ def kept_words(w: Words, d: int, begin: np.ndarray, end: np.ndarray) -> bytes:
     return b" ".join([w.text(i) for i in k])
 
 
-def substring_dedup(spark: SparkSession, docs: DataFrame, window: int = 20) -> DataFrame:
+def substring_dedup(spark: SparkSession, docs: DataFrame, window: int = 20, hot: int = 100_000) -> DataFrame:
     """The documents from which something goes: doc_id, text, kept, begins array<int>, ends array<int> (in words, end exclusive).
 
     Null and empty texts, and those with fewer words than a window, lose nothing. A null doc_id orders
@@ -128,13 +131,20 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, window: int = 20) -> D
     tune(spark, 2048)
     scratch = Scratch(spark, "substring")
     docs = keyed(docs)
-    some = candidates(scratch, docs, word_runs(window), kept=False)
-    rows = scratch.write(some.select("doc_id", "text", "runs").mapInArrow(window_rows(window), "h long, g long, doc_id long, at int, later binary"))
-    first = rows.groupBy("h", "g").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n"), F.max(F.length("later")).alias("more")).filter("n > 1 or more > 0")
-    marked = rows.join(first, ["h", "g"]).withColumn("own", F.struct("doc_id", "at") != F.col("first")).filter("own or length(later) > 0").select("doc_id", "at", "later", "own")
+    some, most = candidates(scratch, docs, word_runs(window), kept=False)
+    rows = some.select("doc_id", "text", "runs").mapInArrow(window_rows(window, hot), "h long, g long, doc_id long, at int, later binary, hot boolean")
+    key, place = ["h", "g"], F.struct("doc_id", "at")
+    if most > hot:
+        rows = scratch.write(rows)
+        first = rows.filter("hot").groupBy(*key).agg(F.min(place).alias("first"))
+        marked = rows.filter("not hot").withColumn("first", F.min(place).over(Window.partitionBy(*key))).select(*rows.columns, "first").unionByName(rows.filter("hot").join(first, key).select(*rows.columns, "first"))
+    else:
+        marked = rows.withColumn("first", F.min(place).over(Window.partitionBy(*key)))
+    marked = marked.withColumn("own", place != F.col("first")).filter("own or length(later) > 0").select("doc_id", "at", "later", "own")
     starts = scratch.write(marked.mapInArrow(gone, "doc_id long, starts binary"))
-    scratch.drop(rows)
-    del rows, first, marked
+    if most > hot:
+        scratch.drop(rows)
+    del rows, marked
     scratch.free_shuffles()
     starts = starts.groupBy("doc_id").agg(F.collect_list("starts").alias("starts"))
 

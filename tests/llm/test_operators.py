@@ -123,8 +123,12 @@ def test_components(spark):
     assert one == many
 
 
-def test_substring(spark, docs, empty):
-    from tessera.llm.substring_dedup import substring_report
+@pytest.mark.parametrize("hot", [0, 3, 100_000])
+def test_substring(spark, docs, empty, hot, monkeypatch):
+    from tessera.llm import substring_dedup
+
+    substring_report, real = substring_dedup.substring_report, substring_dedup.substring_dedup
+    monkeypatch.setattr(substring_dedup, "substring_dedup", lambda spark, docs, window: real(spark, docs, window, hot))
 
     seen, want = set(), {}
     for i, t in sorted(rows().items()):
