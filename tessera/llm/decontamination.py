@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import need, tune
+from .common import mix, need, tune
 from .words import Words, ragged, words
 
 FEATURES = 1 << 14
@@ -168,6 +168,17 @@ def markers(items: list[np.ndarray], vocabulary: np.ndarray, known: np.ndarray,
     return Markers(vocabulary[unique], np.concatenate(([0], np.cumsum(many))), item[order], np.array(least))
 
 
+def _membership(items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.uint64]:
+    """A table of marks for the (word, item) pairs of the items, a number of each item, and the shift that gives the place of a pair: unmarked pairs are certainly none."""
+    salt = mix(np.arange(1, len(items) + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    pairs = np.concatenate([h ^ s for h, s in zip(items, salt, strict=True)])
+    bits = max(12, (16 * len(pairs)).bit_length())
+    table, shift = np.zeros(1 << bits, np.uint8), np.uint64(64 - bits)
+    with np.errstate(over="ignore"):
+        table[(pairs * np.uint64(0x9E3779B97F4A7C15)) >> shift] = 1
+    return table, salt, shift
+
+
 def finder(spark: SparkSession, docs: DataFrame, items: list[tuple[int, np.ndarray, np.ndarray]], passages: DataFrame, rank: int, cosine: float, share: float, answer_share: float) -> Callable:
     """A function from an Arrow text column to the leaks (row, item, first word, cosine, share, answer share). items: (item_id, word hashes, answer hashes)."""
     vocabulary = np.unique(np.concatenate([h for _, h, _ in items]))
@@ -183,6 +194,8 @@ def finder(spark: SparkSession, docs: DataFrame, items: list[tuple[int, np.ndarr
     marks = markers([h for _, h, _ in items], vocabulary, known, share)
     lists = [(h.tolist(), a.tolist()) for _, h, a in items]
     sets = [frozenset(h) for h, _ in lists]
+    needed = np.array([max(1, math.ceil(share * len(h) - 1e-9)) for h, _ in lists])
+    held_by, salt, shift = _membership([h for _, h, _ in items])
     # words that may be missing are at most (1 - share) of all, the least frequent of the item at that
     distinct = [max(0.0, (len(t) - (1 - share) * len(h)) / share) for t, (h, _) in zip(sets, lists, strict=True)]
 
@@ -208,9 +221,19 @@ def finder(spark: SparkSession, docs: DataFrame, items: list[tuple[int, np.ndarr
                 own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-9)
                 close = own @ fold.T
                 close[:, (sizes > 4 * width) | (sizes * 4 < width)] = 0
-                for r, i in zip(*(x.tolist() for x in np.nonzero(close >= cosine)), strict=True):
+                row, item = np.nonzero(close >= cosine)
+                begin = np.maximum(w.cut[doc[row]], start[row] - sizes[item] // 2)
+                end = np.minimum(w.cut[doc[row] + 1], stop[row] + sizes[item] // 2)
+                # the words around that are words of the item are no fewer than the common subsequence
+                many = np.zeros(len(row), np.int64)
+                parts = np.flatnonzero(np.diff(np.cumsum(end - begin) >> 20, prepend=-1))
+                for a, b in zip(parts, np.append(parts[1:], len(row)), strict=True):
+                    size = end[a:b] - begin[a:b]
+                    slot = ((w.hash[ragged(begin[a:b], size)] ^ np.repeat(salt[item[a:b]], size)) * np.uint64(0x9E3779B97F4A7C15)) >> shift
+                    many[a:b] = np.add.reduceat(held_by[slot], np.cumsum(size) - size, dtype=np.int64)
+                near = np.flatnonzero(many >= needed[item])
+                for r, i, lo, hi in zip(*(x[near].tolist() for x in (row, item, begin, end)), strict=True):
                     m, d = int(sizes[i]), int(doc[r])
-                    lo, hi = max(int(w.cut[d]), int(start[r]) - m // 2), min(int(w.cut[d + 1]), int(stop[r]) + m // 2)
                     here = w.hash[lo:hi].tolist()
                     if len(sets[i].intersection(here)) < share * distinct[i] - 1e-9:
                         continue  # too few of its words in any order
