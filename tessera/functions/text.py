@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .rules import unaccent
+
 
 def slugify(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(c)), "[^a-z0-9]+", "-"), "^-+|-+$", "")
@@ -20,8 +22,13 @@ def first_non_blank(*cols: Column) -> Column:
 
 
 def tokens(c: Column) -> Column:
-    """Words of ASCII letters and digits, lower case."""
-    return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda x: x != "")
+    """Words of letters and digits of any script, lower case."""
+    return F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+
+
+def terms(c: Column) -> Column:
+    """Search terms: words without accents."""
+    return tokens(unaccent(c))
 
 
 def trigrams(c: Column) -> Column:
@@ -40,6 +47,13 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def normalised_vector(v: Column) -> Column:
+    """Of length 1, in doubles; null for a zero vector."""
+    x = F.transform(v, lambda e: e.cast("double"))
+    norm = F.sqrt(dot(v, v))
+    return F.when(norm > 0, F.transform(x, lambda e: e / norm))
+
+
 def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graph import cyclic_nodes, neighbourhood
+from ..functions.rules import from_test
+from ..operators.graph import KINDS, cyclic_nodes, edge_problem, evidence_gap, neighbourhood
 from ..sources.cards import table
 from .registry import register
 
@@ -27,33 +28,49 @@ def graph_neighborhood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    """WITH RECURSIVE e AS (SELECT DISTINCT n_nationkey AS src, (n_nationkey * 7 + 3) % 25 AS dst FROM nation WHERE n_nationkey % 4 <> 0 UNION SELECT n_regionkey + 100, n_nationkey FROM nation),
+    """WITH RECURSIVE e AS (SELECT DISTINCT user_id AS src, (event_id * 7) % 1000 AS dst FROM events WHERE user_id < 1000 AND event_id % 3 = 0),
     r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT DISTINCT src AS node FROM r WHERE src = dst""",
     cards=False,
 )
 def graph_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = table(spark, sf_dir, "nation")
-    e = n.filter("n_nationkey % 4 <> 0").select(F.col("n_nationkey").alias("src"), ((F.col("n_nationkey") * 7 + 3) % 25).alias("dst")).union(n.select(F.col("n_regionkey") + 100, "n_nationkey"))
+    """Users on a cycle of the edges that every third event of the first thousand users stands for."""
     from .lifecycle import with_checkpoints
 
     with_checkpoints(spark)
-    return cyclic_nodes(e)
+    e = table(spark, sf_dir, "events").filter("user_id < 1000 AND event_id % 3 = 0")
+    return cyclic_nodes(e.select(F.col("user_id").alias("src"), ((F.col("event_id") * 7) % 1000).alias("dst")))
 
 
-KINDS = ("prerequisite", "follow_up", "related", "contrast", "variant", "duplicate_of", "part_of")
+#: How the events of the tables stand for edges: their types are kinds, their values confidences.
+_KINDS = {"click": "related", "view": "prerequisite", "purchase": "follow_up"}
+
+
+def proposed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.coalesce(*[F.when(F.col("event_type") == t, k) for t, k in _KINDS.items()], F.col("event_type"))
+    return table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("src"), ((F.col("event_id") * 7) % 100).cast("string").alias("dst"), kind.alias("kind"),
+        F.least(F.floor(F.col("value")) / 50, F.lit(2.0)).alias("confidence"), F.when(F.col("event_id") % 3 == 0, "why").otherwise("").alias("rationale"), F.when(F.col("event_id") % 11 == 0, "Smoke run").otherwise("editor").alias("source"),
+    )
+
+
+_PROPOSED = """e AS (SELECT event_id AS id, user_id::VARCHAR AS src, ((event_id * 7) % 100)::VARCHAR AS dst, CASE event_type WHEN 'click' THEN 'related' WHEN 'view' THEN 'prerequisite' WHEN 'purchase' THEN 'follow_up' ELSE event_type END AS kind,
+  least(floor(value) / 50, 2.0) AS confidence, CASE WHEN event_id % 3 = 0 THEN 'why' ELSE '' END AS rationale, CASE WHEN event_id % 11 = 0 THEN 'Smoke run' ELSE 'editor' END AS source FROM events)"""
+_KNOWN = ", ".join(f"'{k}'" for k in KINDS)
 
 
 @register(
-    """WITH e AS (SELECT event_id, user_id AS src, (event_id * 7) % 100 AS dst, event_type AS kind, value / 100 AS confidence, CASE WHEN event_id % 3 = 0 THEN 'why' END AS rationale FROM events)
-    SELECT event_id, concat_ws(',', CASE WHEN src = dst THEN 'self_edge' END, CASE WHEN kind NOT IN ('click', 'view') THEN 'unknown_kind' END, CASE WHEN confidence < 0 OR confidence > 1 THEN 'confidence_range' END, CASE WHEN confidence >= 1 AND rationale IS NULL THEN 'needs_rationale' END) AS problems FROM e""",
+    f"WITH {_PROPOSED} SELECT id, CASE WHEN src = dst THEN 'distinct_ends' WHEN kind NOT IN ({_KNOWN}) THEN 'unknown_kind' WHEN confidence < 0 OR confidence > 1 THEN 'confidence_range' WHEN confidence = 1 AND rationale = '' THEN 'needs_evidence' WHEN contains(lower(source), 'smoke') THEN 'test_provenance' END AS problem FROM e",
     cards=False,
 )
 def edge_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("src"), ((F.col("event_id") * 7) % 100).alias("dst"), F.col("event_type").alias("kind"), (F.col("value") / 100).alias("confidence"), F.when(F.col("event_id") % 3 == 0, "why").alias("rationale"))
-    return e.select("event_id", F.array_join(edge_problems(("click", "view")), ",").alias("problems"))
+    return proposed(spark, sf_dir).select("id", edge_problem(production=F.lit(True)).alias("problem"))
 
 
-def edge_problems(kinds: tuple[str, ...] = KINDS) -> F.Column:
-    c = F.col("confidence")
-    rules = [(F.col("src") == F.col("dst"), "self_edge"), (~F.col("kind").isin(*kinds), "unknown_kind"), ((c < 0) | (c > 1), "confidence_range"), ((c >= 1) & F.col("rationale").isNull(), "needs_rationale")]
-    return F.array_compact(F.array(*[F.when(x, F.lit(n)) for x, n in rules]))
+@register(
+    f"WITH {_PROPOSED}, a AS (SELECT * FROM e WHERE kind IN ({_KNOWN}) AND src <> dst) SELECT kind, count(*) AS n, count(*) FILTER (WHERE confidence = 1 AND rationale = '') AS gaps, count(*) FILTER (WHERE contains(lower(source), 'smoke')) AS test_origin, round(avg(confidence), 6) AS mean_confidence FROM a GROUP BY kind",
+    cards=False,
+)
+def edge_kind_census(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = proposed(spark, sf_dir).filter(F.col("kind").isin(*KINDS) & (F.col("src") != F.col("dst")))
+    c = {k: F.col(k) for k in ("kind", "confidence", "rationale", "source")}
+    return a.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_if(evidence_gap(**c)).alias("gaps"), F.count_if(from_test(F.col("source"))).alias("test_origin"), F.round(F.avg("confidence"), 6).alias("mean_confidence"))

@@ -18,13 +18,17 @@ def with_checkpoints(spark: SparkSession) -> None:
     """checkpoint() needs a folder: the one the session names, else (tests) one of our own."""
     import tempfile
 
-    if not spark.sparkContext.getConf().get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera_"))
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        return
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="tessera_"))
 
 
 def _halves(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A state and a change that overlap: documents not divisible by five; those not divisible by three, with every seventh changed."""
-    c = cards(spark, sf_dir).select("doc_id", "content_hash", "topic")
+    c = cards(spark, sf_dir, "doc_id", "content_hash", "topic")
     return c.filter("doc_id % 5 <> 0"), c.filter("doc_id % 3 <> 0").withColumn("content_hash", F.when(F.col("doc_id") % 7 == 0, "changed").otherwise(F.col("content_hash")))
 
 
@@ -49,7 +53,7 @@ def mapping_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("SELECT c.doc_id, CASE WHEN c.doc_id % 2 = 0 AND c.doc_id % 3 = 0 THEN 'archived' WHEN c.doc_id % 2 = 0 THEN 'published' ELSE 'draft' END AS status FROM cards c")
 def archive_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = cards(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 2 == 0, "published").otherwise("draft").alias("status"))
+    c = cards(spark, sf_dir, "doc_id").select("doc_id", F.when(F.col("doc_id") % 2 == 0, "published").otherwise("draft").alias("status"))
     return state.archive_missing(c, c.filter("doc_id % 3 <> 0"), "doc_id")
 
 
@@ -68,7 +72,7 @@ def review_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def binding_coverage_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dispositions by every dimension at once."""
-    c = cards(spark, sf_dir)
+    c = cards(spark, sf_dir, "topic", "locale", "content_kind", "level")
     disposition = F.when(F.col("level").isNull(), "needs_new").when(F.col("content_kind") == "fixture", "theory_only").otherwise("bound").alias("disposition")
     dims = F.array(*[F.struct(F.lit(d).alias("dim"), F.coalesce(v, F.lit("unmapped")).alias("key")) for d, v in (("topic", "topic"), ("locale", "locale"), ("kind", "content_kind"), ("level", "level"))])
     return c.select(disposition, F.inline(dims)).groupBy("dim", "key", "disposition").agg(F.count(F.lit(1)).alias("n"))

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from ..functions.text import comparable, cosine, fingerprint, jaccard, trigrams
 from ..sources.cards import cards, table
+from ..operators import review
+from ..operators.review import nearest_pairs
 from .registry import register
 from .search import _GRAMS
 
 
 @register("SELECT 'prompt-' || substr(sha256(p), 1, 16) AS group_id, count(*) AS n, min(stable_key) AS first_key FROM (SELECT stable_key, lower(trim(regexp_replace(prompt, '[ \\t\\n\\r]+', ' ', 'g'))) AS p FROM cards) WHERE p <> '' GROUP BY p HAVING count(*) >= 2")
 def dup_exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = cards(spark, sf_dir).select("stable_key", comparable(F.col("prompt")).alias("p")).filter("p <> ''")
+    c = cards(spark, sf_dir, "stable_key", "prompt").select("stable_key", comparable(F.col("prompt")).alias("p")).filter("p <> ''")
     g = c.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min("stable_key").alias("first_key")).filter("n >= 2")
     return g.select(fingerprint("prompt-", F.col("p")).alias("group_id"), "n", "first_key")
 
@@ -24,24 +26,40 @@ def dup_exact_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def dup_open_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A group is resolved once all of its members carry a terminal decision (those of every third document stand in)."""
-    c = cards(spark, sf_dir).select("doc_id", comparable(F.col("prompt")).alias("prompt"), (F.col("doc_id") % 3 == 0).alias("done")).filter("prompt <> ''")
+    c = cards(spark, sf_dir, "doc_id", "prompt").select("doc_id", comparable(F.col("prompt")).alias("prompt"), (F.col("doc_id") % 3 == 0).alias("done")).filter("prompt <> ''")
     return c.groupBy("prompt").agg(F.count(F.lit(1)).alias("n"), F.count_if("done").alias("decided"), F.bool_and("done").alias("resolved")).filter("n >= 2")
 
 
-def similar_prompts(prompts: DataFrame, threshold: float = 0.55) -> DataFrame:
-    """a, b, similarity of distinct prompts (key, prompt) whose trigram sets have a Jaccard similarity of ``threshold`` or more.
+def prefixes(prompts: DataFrame, counts: DataFrame, threshold: float) -> DataFrame:
+    """key, n, i, gram: the first n - ceil(t n) + 1 trigrams of each prompt, the rarest first, with their places."""
+    grams = prompts.select("key", trigrams(F.col("prompt")).alias("g")).select("key", F.explode("g").alias("gram")).join(counts, "gram", "left").fillna(0, ["count"])
+    ordered = grams.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("count", "gram"))).alias("o"))
+    n = F.size("o")
+    return ordered.select("key", n.alias("n"), F.posexplode(F.slice("o", 1, (n - F.ceil(n * threshold) + 1).cast("int"))).alias("i", "x")).select("key", "n", "i", "x.gram")
+
+
+def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, itself: bool = False) -> DataFrame:
+    """a, b, similarity of the prompts (key, prompt) of both sides whose trigram sets have a Jaccard similarity of ``threshold`` or more; with ``itself`` both sides are one table, and a < b.
 
-    Lossless prefix filtering: with trigrams ordered from rare to frequent, similar sets share one of their first n - ceil(t n) + 1.
+    Lossless prefix filtering: with trigrams ordered from rare to frequent, similar sets share one of their first ones; at the place of the first that they share, enough
+    others must be left on both sides for the overlap that their sizes ask for. Sizes and places are conditions of the join, so that pairs that fail them are never rows.
     """
-    p = prompts.select("key", trigrams(F.col("prompt")).alias("g")).filter(F.size("g") > 0)
-    grams = p.select("key", F.explode("g").alias("gram"))
-    ordered = grams.join(grams.groupBy("gram").count(), "gram").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("count", "gram"))).alias("o"))
-    n = F.size("o")
-    prefix = ordered.select("key", n.alias("n"), F.explode(F.slice("o", 1, (n - F.ceil(n * threshold) + 1).cast("int"))).alias("x")).select("key", "n", "x.gram")
-    left, right = prefix.select(F.col("key").alias("a"), F.col("n").alias("na"), "gram"), prefix.select(F.col("key").alias("b"), F.col("n").alias("nb"), "gram")
-    cand = left.join(right, "gram").filter((F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))).select("a", "b").distinct()
-    both = cand.join(p.select(F.col("key").alias("a"), F.col("g").alias("x")), "a").join(p.select(F.col("key").alias("b"), F.col("g").alias("y")), "b")
-    return both.select("a", "b", jaccard(F.col("x"), F.col("y")).alias("similarity")).filter(F.col("similarity") >= threshold)
+    both = left.select("key", "prompt") if itself else left.select("key", "prompt").unionByName(right.select("key", "prompt"))
+    counts = both.select(trigrams(F.col("prompt")).alias("g")).select(F.explode("g").alias("gram")).groupBy("gram").count()
+    a = prefixes(left, counts, threshold).select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), "gram")
+    b = prefixes(right, counts, threshold).select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), "gram")
+    na, nb = F.col("na"), F.col("nb")
+    room = F.least(na - F.col("ia"), nb - F.col("ib")) >= F.ceil((na + nb) * (threshold / (1 + threshold)) - 1e-9)
+    fits = (F.least(na, nb) >= threshold * F.greatest(na, nb)) & room
+    if itself:
+        fits = fits & (F.col("a") < F.col("b"))
+    met = a.join(b, (a.gram == b.gram) & fits).select("a", "b").distinct()
+    x, y = left.select(F.col("key").alias("a"), trigrams(F.col("prompt")).alias("x")), right.select(F.col("key").alias("b"), trigrams(F.col("prompt")).alias("y"))
+    return met.join(x, "a").join(y, "b").select("a", "b", jaccard(F.col("x"), F.col("y")).alias("similarity")).filter(F.col("similarity") >= threshold)
+
+
+def similar_prompts(prompts: DataFrame, threshold: float = 0.55) -> DataFrame:
+    return similar_pairs(prompts, prompts, threshold, itself=True)
 
 
 @register(
@@ -51,35 +69,67 @@ def similar_prompts(prompts: DataFrame, threshold: float = 0.55) -> DataFrame:
 )
 def dup_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal prompts are one key, so that copies don't form pairs."""
-    c = cards(spark, sf_dir).groupBy("prompt").agg(F.min("stable_key").alias("key"))
+    c = cards(spark, sf_dir, "stable_key", "prompt").groupBy("prompt").agg(F.min("stable_key").alias("key"))
     return similar_prompts(c).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @register(
     """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
-    p AS (SELECT a.vec_id AS target, b.vec_id AS other, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS s FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND a.label = b.label),
+    p AS (SELECT a.vec_id AS target, b.vec_id AS other, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) AS s FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
     r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY round(s, 9) DESC, other) AS rank FROM p WHERE s >= 0.2)
     SELECT target, other, round(s, 6) AS similarity FROM r WHERE rank <= 25""",
     cards=False,
 )
 def dup_semantic_topk(spark: SparkSession, sf_dir: str, least: float = 0.2) -> DataFrame:
-    """For every vector whose id is divisible by 100, candidates of its label."""
+    """For every vector whose id is divisible by 100, candidates among all others."""
     e = table(spark, sf_dir, "embeddings")
-    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("target"), "label", F.col("embedding").alias("q"))
-    pairs = e.join(q, "label").filter("vec_id <> target").select("target", F.col("vec_id").alias("other"), cosine(F.col("q"), F.col("embedding")).alias("s")).filter(F.col("s") >= least)
+    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("v"))
+    pairs = nearest_pairs(q, e.select(F.col("vec_id").alias("other"), F.col("embedding").alias("w")), least).filter("other <> q").select(F.col("q").alias("target"), "other", F.col("similarity").alias("s"))
     w = Window.partitionBy("target").orderBy(F.desc(F.round("s", 9)), "other")
     return pairs.withColumn("rank", F.row_number().over(w)).filter("rank <= 25").select("target", "other", F.round("s", 6).alias("similarity"))
 
 
 @register(
     """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
-    p AS (SELECT a.label = b.label AS truth, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.5 AS guess FROM e a JOIN e b ON b.vec_id = a.vec_id + 1)
-    SELECT count(*) FILTER (WHERE truth AND guess) AS tp, count(*) FILTER (WHERE NOT truth AND guess) AS fp, count(*) FILTER (WHERE truth AND NOT guess) AS fn, count(*) FILTER (WHERE NOT truth AND NOT guess) AS tn FROM p""",
+    p AS (SELECT a.label = b.label AS truth, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.5 AS guess FROM e a JOIN e b ON b.vec_id = a.vec_id + 1),
+    c AS (SELECT count(*) FILTER (WHERE truth AND guess) AS tp, count(*) FILTER (WHERE NOT truth AND guess) AS fp, count(*) FILTER (WHERE truth AND NOT guess) AS fn, count(*) FILTER (WHERE NOT truth AND NOT guess) AS tn FROM p)
+    SELECT *, coalesce(tp / nullif(tp + fp, 0), 1)::DOUBLE AS precision, coalesce(tp / nullif(tp + fn, 0), 1)::DOUBLE AS recall FROM c""",
     cards=False,
 )
 def calibration_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     n = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("label").alias("l2"), F.col("embedding").alias("v2"))
-    p = e.join(n, "vec_id").select((F.col("label") == F.col("l2")).alias("t"), (cosine(F.col("embedding"), F.col("v2")) >= 0.5).alias("g"))
-    t, g = F.col("t"), F.col("g")
-    return p.agg(F.count_if(t & g).alias("tp"), F.count_if(~t & g).alias("fp"), F.count_if(t & ~g).alias("fn"), F.count_if(~t & ~g).alias("tn"))
+    return review.calibration(e.join(n, "vec_id").select((F.col("label") == F.col("l2")).alias("truth"), (cosine(F.col("embedding"), F.col("v2")) >= 0.5).alias("guess")))
+
+
+@register(
+    f""", c AS (SELECT doc_id, stable_key, prompt, sha256(prompt || chr(9) || coalesce(short_answer, '')) AS body_hash, embedding::DOUBLE[] AS v FROM cards LEFT JOIN embeddings ON vec_id = doc_id),
+    i AS (SELECT doc_id AS stage_id, * EXCLUDE (doc_id), {_GRAMS.format('prompt')} AS g FROM c WHERE doc_id % 100 = 0), o AS (SELECT *, {_GRAMS.format('prompt')} AS g FROM c),
+    p AS (SELECT stage_id, o.stable_key AS related_key, i.body_hash = o.body_hash AS same, len(list_intersect(i.g, o.g)) * 1.0::DOUBLE / nullif(len(i.g) + len(o.g) - len(list_intersect(i.g, o.g)), 0) AS lex,
+      list_dot_product(i.v, o.v) / (sqrt(list_dot_product(i.v, i.v)) * sqrt(list_dot_product(o.v, o.v))) AS sem FROM i JOIN o ON i.stable_key <> o.stable_key),
+    e AS (SELECT stage_id, related_key, 'exact_duplicate' AS candidate_type FROM p WHERE same),
+    l AS (SELECT * FROM (SELECT stage_id, related_key, lex, row_number() OVER (PARTITION BY stage_id ORDER BY lex DESC, related_key) AS r FROM p WHERE NOT same AND lex >= 0.55) WHERE r <= 25),
+    s AS (SELECT * FROM (SELECT p.stage_id, p.related_key, sem, row_number() OVER (PARTITION BY p.stage_id ORDER BY sem DESC, p.related_key) AS r FROM p LEFT JOIN l ON p.stage_id = l.stage_id AND p.related_key = l.related_key WHERE NOT same AND l.r IS NULL AND sem >= 0.4) WHERE r <= 25)
+    SELECT stage_id, related_key, candidate_type, 1.0::DOUBLE AS score FROM e UNION ALL SELECT stage_id, related_key, 'lexical_neighbor', round(lex, 6) FROM l UNION ALL SELECT stage_id, related_key, 'semantic_neighbor', round(sem, 6) FROM s /* FROM cards */"""
+)
+def import_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every card whose id is divisible by 100 comes in again; what it may repeat. The vectors of the tables are spread widely: neighbours from 0.4 on."""
+    c = cards(spark, sf_dir, "doc_id", "stable_key", "prompt", "short_answer").withColumn("body_hash", F.sha2(F.concat_ws("\t", "prompt", F.coalesce("short_answer", F.lit(""))), 256))
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    c = c.join(e, "doc_id", "left").drop("short_answer")
+    found = review.import_candidates(c.filter("doc_id % 100 = 0").withColumnRenamed("doc_id", "stage_id"), c.drop("doc_id"), similar_pairs, semantic=0.4)
+    return found.select("stage_id", "related_key", "candidate_type", F.round(F.coalesce("exact_score", "lexical_score", "semantic_score"), 6).alias("score"))
+
+
+@register(
+    """, g AS (SELECT doc_id, stable_key, lower(trim(regexp_replace(prompt, '[ \t\n\r]+', ' ', 'g'))) AS p FROM cards),
+    s AS (SELECT p, count(*) AS n, min(stable_key) AS first_key FROM g WHERE p <> '' GROUP BY p HAVING count(*) > 1),
+    d AS (SELECT a.p, count(*) AS decided FROM g a JOIN g b ON a.p = b.p AND a.stable_key < b.stable_key AND (a.doc_id + b.doc_id) % 3 = 0 WHERE a.p <> '' AND abs(a.doc_id - b.doc_id) <= 500 GROUP BY 1)
+    SELECT first_key, n, n * (n - 1) // 2 AS pairs, coalesce(decided, 0) AS decided, coalesce(decided, 0) = n * (n - 1) // 2 AS resolved FROM s LEFT JOIN d USING (p) /* FROM cards */"""
+)
+def duplicate_group_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal prompts; pairs of near ids whose sum is divisible by three stand in for decided ones."""
+    c = cards(spark, sf_dir, "doc_id", "stable_key", "prompt").select("doc_id", F.col("stable_key").alias("key"), comparable(F.col("prompt")).alias("prompt")).filter("prompt <> ''")
+    x, y = c.select("prompt", F.col("key").alias("a"), F.col("doc_id").alias("i")), c.select("prompt", F.col("key").alias("b"), F.col("doc_id").alias("j"))
+    near = x.join(y, "prompt").filter("a < b AND (i + j) % 3 = 0 AND abs(i - j) <= 500").select("a", "b", F.lit("merge").alias("decision"))
+    return review.duplicate_groups(c.select("key", "prompt"), near).select("first_key", "n", "pairs", "decided", "resolved")

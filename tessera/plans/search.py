@@ -1,84 +1,202 @@
-"""Explainable multi-stage search: exact identity, all terms and trigrams, fused by reciprocal rank.
+"""Explainable multi-stage search: exact identity, words, trigrams and vectors, fused by reciprocal rank; and nearest vectors.
 
-There is no vector stage, and the full-text stage has no score: documents that hold all terms are ranked by stable_key
-among themselves. So with many of them the order, and what passes the cutoff or the limit, is partly that of the keys.
+Words: a query is alternatives (OR) of terms, "phrases" and -exclusions; all of an alternative must hold. Their score is the density of covers: the
+sum of 1 / length over the shortest stretches of a document that hold every term (after Clarke, Cormack and Tudhope).
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import cosine, jaccard, tokens, trigrams
+from ..functions.text import dot, normalised_vector, terms, trigrams
+from ..functions.rules import ACCENTED, PLAIN
+from ..operators.review import nearest_pairs
 from ..sources.cards import cards, table
 from .registry import register
 
-K, MIN_RANK, GATE_TRIGRAM = 60, 0.02, 0.15
+K, MIN_RANK, GATE_TRIGRAM, GATE_SEMANTIC, MIN_SEMANTIC = 60, 0.02, 0.15, 0.50, 0.505
+#: A request is a bounded set of queries, which the driver parses; more are an error.
+MOST_QUERIES = 20_000
+_PLAIN = str.maketrans(ACCENTED, PLAIN) | {ord("ß"): "ss", ord("æ"): "ae", ord("œ"): "oe", ord("Æ"): "AE", ord("Œ"): "OE"}
+
+
+def words_of(text: str) -> list[str]:
+    return re.findall(r"[^\W_]+", text.translate(_PLAIN).lower())
+
+
+def parse_query(text: str) -> list[dict]:
+    """Alternatives, each with the words that it needs, its phrases (of two words or more) and its exclusions. One with nothing to look for is left out."""
+    out = [{"words": [], "phrases": [], "nots": []}]
+    for minus, quoted, bare in re.findall(r'(-?)(?:"([^"]*)"|([^\s"]+))', text):
+        if bare.lower() == "or" and not minus:
+            out.append({"words": [], "phrases": [], "nots": []})
+            continue
+        found = words_of(quoted or bare)
+        if not found:
+            continue
+        if minus:
+            out[-1]["nots"].append(" ".join(found))
+            continue
+        out[-1]["words"] += [w for w in found if w not in out[-1]["words"]]
+        if quoted and len(found) > 1:
+            out[-1]["phrases"].append(" ".join(found))
+    return [a for a in out if a["words"]]
+
 
+def cover_density(places, n_terms) -> F.Column:
+    """places: array<struct<pos, t>> in order of pos, t of 0 .. n_terms - 1. One walk along them: wherever the shortest cover that ends here begins later than the one before, it counts 1 / length."""
+    first = F.struct(F.array_repeat(F.lit(-1), n_terms.cast("int")).alias("last"), F.lit(-1).alias("begin"), F.lit(0.0).alias("score"))
 
-def search(spark: SparkSession, corpus: DataFrame, queries: DataFrame, locale: str | None = None, topic: str | None = None, level: str | None = None, limit: int = 20) -> DataFrame:
-    """corpus: doc_id, stable_key, slug, prompt, text. queries: query_id, query; a bounded set, which is small beside the corpus.
+    def step(acc, p):
+        last = F.transform(acc["last"], lambda x, i: F.when(i == p["t"], p["pos"]).otherwise(x))
+        low = F.array_min(last)
+        new = low > acc["begin"]
+        return F.struct(last.alias("last"), F.when(new, low).otherwise(acc["begin"]).alias("begin"), (acc["score"] + F.when(new, 1.0 / (p["pos"] - low + 1)).otherwise(0.0)).alias("score"))
 
-    Candidates come from an inverted term table and an inverted trigram table, so that no pair is formed that shares neither.
+    return F.aggregate(places, first, step, lambda acc: acc["score"])
+
+
+def search(
+    spark: SparkSession, corpus: DataFrame, queries: DataFrame, vectors: DataFrame | None = None, query_vectors: DataFrame | None = None, locale: str | None = None, topic: str | None = None, level: str | None = None,
+    limit: int = 20, min_rank: float = MIN_RANK, min_semantic: float = MIN_SEMANTIC,
+) -> DataFrame:
+    """corpus: stable_key, slug, prompt, text and the filtered columns; queries: query_id, query; vectors: stable_key, vector; query_vectors: query_id, vector (without both there is no
+    semantic stage). query_id, pos, stable_key, rank_score, match_stages and each stage's score.
+
+    One scan of the corpus: its words and trigrams meet those of the queries, a bounded set that goes with the tasks, before anything is shuffled.
     """
     for c, v in (("locale", locale), ("topic", topic), ("level", level)):
         if v:
             corpus = corpus.filter(F.lower(c) == v.lower())
     limit = min(max(limit, 1), 100)
-    q = queries.withColumn("terms", F.array_distinct(tokens(F.col("query")))).withColumn("qgrams", trigrams(F.col("query")))
-    d = corpus.select("stable_key", "slug", "prompt", F.array_distinct(tokens(F.col("text"))).alias("words"), trigrams(F.col("prompt")).alias("grams"))
-    wanted = q.select("query_id", F.explode("terms").alias("term"), F.size("terms").alias("n"))
-    full = d.select("stable_key", F.explode("words").alias("term")).join(wanted, "term").groupBy("query_id", "stable_key").agg(F.count(F.lit(1)).alias("hits"), F.first("n").alias("n")).filter("hits = n").select("query_id", "stable_key", F.lit(1).alias("fts"))
-    shared = d.select("stable_key", F.size("grams").alias("nd"), F.explode("grams").alias("g")).join(q.select("query_id", F.size("qgrams").alias("nq"), F.explode("qgrams").alias("g")), "g").groupBy("query_id", "stable_key").agg(F.count(F.lit(1)).alias("common"), F.first("nd").alias("nd"), F.first("nq").alias("nq"))
-    fuzzy = shared.select("query_id", "stable_key", (F.col("common") / (F.col("nd") + F.col("nq") - F.col("common"))).alias("trigram")).filter(F.col("trigram") >= GATE_TRIGRAM)
-    exact = q.select("query_id", F.lower("query").alias("name")).join(d.select("stable_key", F.explode(F.array_distinct(F.array(F.lower("stable_key"), F.lower("slug")))).alias("name")), "name").select("query_id", "stable_key", F.lit(1).alias("exact")).distinct()
+    asked = queries.select("query_id", "query").limit(MOST_QUERIES + 1).collect()
+    if len(asked) > MOST_QUERIES:
+        raise ValueError(f"more than {MOST_QUERIES} queries in a request")
+    parsed = [(r["query_id"], alt, a) for r in asked for alt, a in enumerate(parse_query(r["query"] or ""))]
+    wanted = spark.createDataFrame([(q, alt, w, t, len(a["words"])) for q, alt, a in parsed for t, w in enumerate(a["words"])], "query_id long, alt int, item string, t int, n int")
+    q = queries.withColumn("grams", trigrams(F.col("query")))
+    grams = q.select("query_id", F.lit(-1).alias("alt"), F.explode(F.transform("grams", lambda g: F.concat(F.lit("\t"), g))).alias("item"), F.lit(-1).alias("t"), F.size("grams").alias("n"))
+    # lists are made once, in a projection of their own: within the generator they would be made for each use
+    lists = corpus.select("stable_key", terms(F.col("text")).alias("words"), trigrams(F.col("prompt")).alias("grams"))
+    items = F.concat(F.transform("words", lambda w, i: F.struct(w.alias("item"), i.alias("pos"))), F.transform("grams", lambda g: F.struct(F.concat(F.lit("\t"), g).alias("item"), F.lit(-1).alias("pos"))))
+    met = lists.select("stable_key", F.size("grams").alias("nd"), F.explode(items).alias("i")).select("stable_key", "nd", "i.item", "i.pos").join(F.broadcast(wanted.union(grams)), "item")
+    found = met.groupBy("query_id", "alt", "stable_key").agg(
+        F.first("nd").alias("nd"), F.first("n").alias("n"), F.count(F.lit(1)).alias("common"), F.count_distinct("t").alias("hits"), F.collect_list(F.when(F.col("alt") >= 0, F.struct("pos", "t"))).alias("places")
+    )
+    fuzzy = found.filter("alt = -1").select("query_id", "stable_key", (F.col("common") / (F.col("nd") + F.col("n") - F.col("common"))).alias("trigram")).filter(F.col("trigram") >= GATE_TRIGRAM)
+    full = found.filter("alt >= 0 and hits = n")
+    if any(a["phrases"] or a["nots"] for _, _, a in parsed):
+        more = spark.createDataFrame([(q_, alt, a["phrases"], a["nots"]) for q_, alt, a in parsed if a["phrases"] or a["nots"]], "query_id long, alt int, phrases array<string>, nots array<string>")
+        held = full.join(F.broadcast(more), ["query_id", "alt"])
+        text = F.concat(F.lit(" "), F.array_join(terms(F.col("text")), " "), F.lit(" "))
+        whole = corpus.join(held.select("stable_key").distinct(), "stable_key", "left_semi").select("stable_key", text.alias("whole"))
+        there = lambda p: F.col("whole").contains(F.concat(F.lit(" "), p, F.lit(" ")))
+        fails = held.join(whole, "stable_key").filter(~F.forall("phrases", there) | F.exists("nots", there)).select("query_id", "alt", "stable_key")
+        full = full.join(fails, ["query_id", "alt", "stable_key"], "left_anti")
+    full = full.groupBy("query_id", "stable_key").agg(F.max(cover_density(F.array_sort("places"), F.col("n"))).alias("fts"))
+    name = queries.select("query_id", F.lower("query").alias("name"))
+    exact = name.join(corpus.select("stable_key", F.explode(F.array_distinct(F.array(F.lower("stable_key"), F.lower("slug")))).alias("name")), "name").select("query_id", "stable_key", F.lit(1.0).alias("exact")).distinct()
     both = full.join(fuzzy, ["query_id", "stable_key"], "full_outer").join(exact, ["query_id", "stable_key"], "full_outer")
-    rank = lambda c: F.when(F.col(c).isNotNull(), F.row_number().over(Window.partitionBy("query_id", F.col(c).isNull()).orderBy(F.col(c).desc(), "stable_key")))
-    ranked = both.withColumn("r_exact", rank("exact")).withColumn("r_fts", rank("fts")).withColumn("r_trigram", rank("trigram"))
-    part = lambda c: F.coalesce(1.0 / (K + F.col(c)), F.lit(0.0))
-    scored = ranked.withColumn("score", part("r_exact") + part("r_fts") + part("r_trigram")).filter((F.col("score") >= MIN_RANK) | F.col("exact").isNotNull())
-    top = scored.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "stable_key"))).filter(F.col("pos") <= limit)
-    stages = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in ("exact", "fts", "trigram")]))
-    return top.select("query_id", "pos", "stable_key", F.round("score", 6).alias("rank_score"), F.array_join(stages, ",").alias("match_stages"))
+    if vectors is not None and query_vectors is not None:
+        near = nearest_pairs(query_vectors.select(F.col("query_id").alias("q"), F.col("vector").alias("v")), vectors.join(corpus.select("stable_key"), "stable_key", "left_semi").select("stable_key", F.col("vector").alias("w")), GATE_SEMANTIC)
+        both = both.join(near.select(F.col("q").alias("query_id"), "stable_key", F.col("similarity").alias("semantic")), ["query_id", "stable_key"], "full_outer")
+    else:
+        both = both.withColumn("semantic", F.lit(None).cast("double"))
+    stages = ("exact", "fts", "trigram", "semantic")
+    rank = lambda c: F.when(F.col(c).isNotNull(), F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last(F.round(c, 9)), "stable_key")))
+    score = sum((F.coalesce(1.0 / (K + rank(c)), F.lit(0.0)) for c in stages), F.lit(0.0))
+    kept = both.withColumn("score", score).filter((F.col("score") >= min_rank) | F.col("exact").isNotNull() | (F.col("semantic") >= min_semantic))
+    top = kept.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "stable_key"))).filter(F.col("pos") <= limit)
+    told = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in stages]))
+    return top.select("query_id", "pos", "stable_key", F.round("score", 6).alias("rank_score"), F.array_join(told, ",").alias("match_stages"), *[F.round(F.coalesce(c, F.lit(0.0)), 6).alias(f"{c}_score") for c in stages])
 
 
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First four words of each benchmark item, and one exact key."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("query"))
-    return b.select(F.col("item_id").alias("query_id"), "query").union(spark.sql("SELECT -1L AS query_id, 'question.d7' AS query"))
+    """First four words of each benchmark item; of the items 0 to 2 also a phrase, alternatives and an exclusion; and one exact key."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", F.split("text", " ").alias("w"))
+    w = lambda i: F.col("w")[i]
+    out = b.select(F.col("item_id").alias("query_id"), F.array_join(F.slice("w", 1, 4), " ").alias("query"))
+    more = F.when(F.col("item_id") == 0, F.concat(F.lit('"'), w(0), F.lit(" "), w(1), F.lit('"'))).when(F.col("item_id") == 1, F.concat_ws(" ", w(0), w(1), F.lit("or"), w(2), w(3))).otherwise(F.concat(w(0), F.lit(" "), w(1), F.lit(" -"), w(2)))
+    out = out.unionByName(b.filter("item_id < 3").select((-2 - F.col("item_id")).alias("query_id"), more.alias("query")))
+    return out.union(spark.sql("SELECT -1L AS query_id, 'question.d7' AS query"))
 
 
-_GRAMS = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i::INT, 3)))))"
-_TERMS = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda w: w <> ''))"
+_GRAMS = r"list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i::INT, 3)))))"
+_WORDS = r"list_filter(regexp_split_to_array(lower(strip_accents({0})), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
 
 
 @register(
-    rf""", q0 AS (
-      SELECT item_id AS query_id, array_to_string(list_slice(string_split(text, ' '), 1, 4), ' ') AS query FROM benchmark UNION ALL SELECT -1, 'question.d7'),
-    q AS (SELECT query_id, query, {_TERMS.format('query')} AS terms, {_GRAMS.format('query')} AS qg FROM q0),
-    d AS (SELECT stable_key, slug, {_TERMS.format('text')} AS words, {_GRAMS.format('prompt')} AS g FROM cards),
-    p AS (SELECT query_id, stable_key, CASE WHEN lower(query) IN (lower(stable_key), lower(slug)) THEN 1 END AS exact,
-          CASE WHEN len(terms) > 0 AND list_has_all(words, terms) THEN 1 END AS fts,
-          len(list_intersect(g, qg)) * 1.0 / nullif(len(g) + len(qg) - len(list_intersect(g, qg)), 0) AS t FROM q, d),
-    c AS (SELECT query_id, stable_key, exact, fts, CASE WHEN t >= 0.15 THEN t END AS trigram FROM p WHERE exact = 1 OR fts = 1 OR t >= 0.15),
-    r AS (SELECT *, CASE WHEN exact IS NOT NULL THEN row_number() OVER (PARTITION BY query_id, exact IS NULL ORDER BY exact DESC, stable_key) END AS re,
-          CASE WHEN fts IS NOT NULL THEN row_number() OVER (PARTITION BY query_id, fts IS NULL ORDER BY fts DESC, stable_key) END AS rf,
-          CASE WHEN trigram IS NOT NULL THEN row_number() OVER (PARTITION BY query_id, trigram IS NULL ORDER BY trigram DESC, stable_key) END AS rt FROM c),
-    s AS (SELECT *, coalesce(1.0::DOUBLE / (60 + re), 0) + coalesce(1.0::DOUBLE / (60 + rf), 0) + coalesce(1.0::DOUBLE / (60 + rt), 0) AS score FROM r),
-    n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, stable_key) AS pos FROM s WHERE score >= 0.02 OR exact IS NOT NULL)
-    SELECT query_id, pos::INT AS pos, stable_key, round(score, 6) AS rank_score, concat_ws(',', CASE WHEN exact = 1 THEN 'exact' END, CASE WHEN fts = 1 THEN 'fts' END, CASE WHEN trigram IS NOT NULL THEN 'trigram' END) AS match_stages
-    FROM n WHERE pos <= 20 /* FROM cards */"""
+    rf""", b AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark),
+    q0 AS (SELECT item_id AS query_id, array_to_string(list_slice(w, 1, 4), ' ') AS query FROM b
+      UNION ALL SELECT 0 - 2 - item_id, CASE item_id WHEN 0 THEN '"' || w[1] || ' ' || w[2] || '"' WHEN 1 THEN w[1] || ' ' || w[2] || ' or ' || w[3] || ' ' || w[4] ELSE w[1] || ' ' || w[2] || ' -' || w[3] END FROM b WHERE item_id < 3
+      UNION ALL SELECT -1, 'question.d7'),
+    a AS (SELECT query_id, 0 AS alt, query AS need, '' AS phrase, '' AS avoid FROM q0 WHERE query_id >= -1
+      UNION ALL SELECT -2, 0, w[1] || ' ' || w[2], w[1] || ' ' || w[2], '' FROM b WHERE item_id = 0
+      UNION ALL SELECT -3, 0, w[1] || ' ' || w[2], '', '' FROM b WHERE item_id = 1
+      UNION ALL SELECT -3, 1, w[3] || ' ' || w[4], '', '' FROM b WHERE item_id = 1
+      UNION ALL SELECT -4, 0, w[1] || ' ' || w[2], '', w[3] FROM b WHERE item_id = 2),
+    alts AS (SELECT query_id, alt, list_distinct({_WORDS.format('need')}) AS need, array_to_string({_WORDS.format('phrase')}, ' ') AS phrase, array_to_string({_WORDS.format('avoid')}, ' ') AS avoid FROM a),
+    d AS (SELECT doc_id, stable_key, slug, {_WORDS.format('text')} AS words, {_GRAMS.format('prompt')} AS g FROM cards),
+    hit AS (SELECT query_id, alt, stable_key, need, words FROM alts, d WHERE len(need) > 0 AND list_has_all(words, need)
+      AND (phrase = '' OR contains(' ' || array_to_string(words, ' ') || ' ', ' ' || phrase || ' ')) AND (avoid = '' OR NOT contains(' ' || array_to_string(words, ' ') || ' ', ' ' || avoid || ' '))),
+    occ AS (SELECT * FROM (SELECT query_id, alt, stable_key, len(need) AS n, need, unnest(words) AS term, generate_subscripts(words, 1) AS pos FROM hit) WHERE list_contains(need, term)),
+    ends AS (SELECT query_id, alt, stable_key, n, pos, min(m) AS low FROM (
+      SELECT e.query_id, e.alt, e.stable_key, e.n, e.pos, o.term, max(o.pos) AS m FROM occ e JOIN occ o ON e.query_id = o.query_id AND e.alt = o.alt AND e.stable_key = o.stable_key AND o.pos <= e.pos GROUP BY ALL)
+      GROUP BY ALL HAVING count(*) = n),
+    covers AS (SELECT query_id, alt, stable_key, low, min(pos) AS pos FROM ends GROUP BY ALL),
+    f AS (SELECT query_id, stable_key, max(s) AS fts FROM (SELECT query_id, alt, stable_key, sum(1.0::DOUBLE / (pos - low + 1)) AS s FROM covers GROUP BY ALL) GROUP BY ALL),
+    t AS (SELECT * FROM (SELECT query_id, stable_key, len(list_intersect(g, qg)) * 1.0::DOUBLE / nullif(len(g) + len(qg) - len(list_intersect(g, qg)), 0) AS trigram FROM (SELECT query_id, {_GRAMS.format('query')} AS qg FROM q0), d) WHERE trigram >= 0.15),
+    x AS (SELECT query_id, stable_key, 1.0::DOUBLE AS exact FROM q0, d WHERE lower(query) IN (lower(stable_key), lower(slug))),
+    v AS (SELECT * FROM (SELECT e.vec_id AS query_id, d.stable_key, list_dot_product(e.embedding::DOUBLE[], o.embedding::DOUBLE[]) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(o.embedding::DOUBLE[], o.embedding::DOUBLE[]))) AS semantic
+      FROM embeddings e JOIN benchmark ON vec_id = item_id CROSS JOIN embeddings o JOIN d ON d.doc_id = o.vec_id) WHERE semantic >= 0.5),
+    c AS (SELECT * FROM f FULL JOIN t USING (query_id, stable_key) FULL JOIN x USING (query_id, stable_key) FULL JOIN v USING (query_id, stable_key)),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(exact, 9) DESC NULLS LAST, stable_key) AS re, row_number() OVER (PARTITION BY query_id ORDER BY round(fts, 9) DESC NULLS LAST, stable_key) AS rf,
+      row_number() OVER (PARTITION BY query_id ORDER BY round(trigram, 9) DESC NULLS LAST, stable_key) AS rt, row_number() OVER (PARTITION BY query_id ORDER BY round(semantic, 9) DESC NULLS LAST, stable_key) AS rs FROM c),
+    s AS (SELECT *, CASE WHEN exact IS NULL THEN 0 ELSE 1.0::DOUBLE / (60 + re) END + CASE WHEN fts IS NULL THEN 0 ELSE 1.0::DOUBLE / (60 + rf) END + CASE WHEN trigram IS NULL THEN 0 ELSE 1.0::DOUBLE / (60 + rt) END + CASE WHEN semantic IS NULL THEN 0 ELSE 1.0::DOUBLE / (60 + rs) END AS score FROM r),
+    n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, stable_key) AS pos FROM s WHERE score >= 0.02 OR exact IS NOT NULL OR semantic >= 0.505)
+    SELECT query_id, pos::INT AS pos, stable_key, round(score, 6) AS rank_score, concat_ws(',', CASE WHEN exact IS NOT NULL THEN 'exact' END, CASE WHEN fts IS NOT NULL THEN 'fts' END, CASE WHEN trigram IS NOT NULL THEN 'trigram' END, CASE WHEN semantic IS NOT NULL THEN 'semantic' END) AS match_stages,
+      round(coalesce(exact, 0), 6) AS exact_score, round(coalesce(fts, 0), 6) AS fts_score, round(coalesce(trigram, 0), 6) AS trigram_score, round(coalesce(semantic, 0), 6) AS semantic_score FROM n WHERE pos <= 20 /* FROM cards */"""
 )
 def search_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search(spark, cards(spark, sf_dir), benchmark_queries(spark, sf_dir))
+    """Each benchmark item asks with its words and with the vector of its number; cards have the vector of their document."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    own = e.select(F.concat(F.lit("question.d"), "vec_id").alias("stable_key"), "vector")
+    asked = e.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id")), "vec_id").select(F.col("vec_id").alias("query_id"), "vector")
+    return search(spark, cards(spark, sf_dir, "stable_key", "slug", "prompt", "text"), benchmark_queries(spark, sf_dir), own, asked)
 
 
 def nearest(queries: DataFrame, corpus: DataFrame, k: int = 10, least: float = -1.0) -> DataFrame:
-    """query_id, vec_id, similarity, rank: exact cosine top k of a bounded query set against all vectors, in one pass over the corpus; only the k best of each partition are shuffled."""
-    pairs = corpus.join(F.broadcast(queries), F.col("vec_id") != F.col("query_id"))
-    scored = pairs.select("query_id", "vec_id", cosine(F.col("q"), F.col("embedding")).alias("similarity")).filter(F.col("similarity") >= least)
+    """query_id, vec_id, similarity, rank: exact cosine top k of a query set against all vectors, each made of length 1 once; queries meet the corpus in blocks, and of each block only the k best go on."""
+    pairs = nearest_pairs(queries.select(F.col("query_id").alias("q"), F.col("q").alias("v")), corpus.select("vec_id", F.col("embedding").alias("w")), least).filter("vec_id <> q")
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return pairs.withColumnRenamed("q", "query_id").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def planes(dimensions: int, n: int, seed: int = 5) -> list[list[float]]:
+    import random
+
+    rng = random.Random(seed)
+    return [[rng.gauss(0, 1) for _ in range(dimensions)] for _ in range(n)]
+
+
+def approximate(queries: DataFrame, corpus: DataFrame, dimensions: int, k: int = 10, tables: int = 24, bits: int = 4) -> DataFrame:
+    """As ``nearest``, among vectors that fall on the same side of ``bits`` random planes as the query in one of ``tables`` tables at least: a share of the pairs that
+    falls with 2**bits. Every vector is indexed; recall is measured in the tests."""
+    drawn = planes(dimensions, tables * bits)
+
+    def codes(v):
+        side = F.array(*[(dot(v, F.array(*map(F.lit, p))) > 0).cast("int") for p in drawn])
+        return F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.concat(t.cast("string"), F.lit(":"), F.array_join(F.slice(side, t * bits + 1, bits), "")))
+
+    left = queries.withColumn("v", normalised_vector(F.col("q"))).select("query_id", "v", F.explode(codes(F.col("v"))).alias("code"))
+    right = corpus.withColumn("w", normalised_vector(F.col("embedding"))).select("vec_id", F.explode(codes(F.col("w"))).alias("code"))
+    met = left.select("query_id", "code").join(right, "code").filter("vec_id <> query_id").select("query_id", "vec_id").distinct()
+    scored = met.join(queries.select("query_id", normalised_vector(F.col("q")).alias("v")), "query_id").join(corpus.select("vec_id", normalised_vector(F.col("embedding")).alias("w")), "vec_id")
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "vec_id")
+    return scored.select("query_id", "vec_id", dot(F.col("v"), F.col("w")).alias("similarity")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 @register(
@@ -95,6 +213,16 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(q, e).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
+@register(cards=False)
+def vector_topk_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same queries by random planes, and the recall of each against the exact list."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    got = approximate(q, e, 64).select("query_id", "vec_id", F.lit(1).alias("got"))
+    both = nearest(q, e).select("query_id", "vec_id").join(got, ["query_id", "vec_id"], "left")
+    return both.groupBy("query_id").agg(F.count("got").alias("found"), F.count(F.lit(1)).alias("of"))
+
+
 @register(
     """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), x AS (SELECT * FROM e WHERE vec_id % 10 = 0),
     p AS (SELECT t.vec_id AS target, x.label AS capability, max(list_dot_product(t.v, x.v) / (sqrt(list_dot_product(t.v, t.v)) * sqrt(list_dot_product(x.v, x.v)))) AS s FROM e t JOIN x ON t.vec_id % 10 <> 0 GROUP BY ALL),
@@ -103,14 +231,10 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     cards=False,
 )
 def neighbor_topk(spark: SparkSession, sf_dir: str, least: float = 0.25) -> DataFrame:
-    """Capability proposals: the best exemplar of each capability for each target, three at most. Exemplars are broadcast only while few."""
+    """Capability proposals: the best exemplar of each capability for each target, three at most."""
     e = table(spark, sf_dir, "embeddings")
-    x = e.filter("vec_id % 10 = 0").select(F.col("label").alias("capability"), F.col("embedding").alias("x"))
-    few = x.limit(50_001).count() <= 50_000
-    pairs = e.filter("vec_id % 10 <> 0").join(F.broadcast(x) if few else x)
-    best = pairs.groupBy(F.col("vec_id").alias("target"), "capability").agg(F.max(cosine(F.col("embedding"), F.col("x"))).alias("s")).filter(F.col("s") >= least)
+    x = e.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("q"), F.col("label").alias("capability"), F.col("embedding").alias("v"))
+    pairs = nearest_pairs(x, e.filter("vec_id % 10 <> 0").select(F.col("vec_id").alias("target"), F.col("embedding").alias("w")), least)
+    best = pairs.groupBy("target", "capability").agg(F.max("similarity").alias("s"))
     w = Window.partitionBy("target").orderBy(F.desc(F.round("s", 9)), "capability")
     return best.withColumn("rank", F.row_number().over(w)).filter("rank <= 3").select("target", "capability", F.round("s", 6).alias("similarity"), "rank")
-
-
-__all__ = ["jaccard", "nearest", "search"]
