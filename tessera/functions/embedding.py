@@ -31,19 +31,21 @@ def hashed(text: Column, dimensions: int = DIMENSIONS) -> Column:
     return F.transform(F.transform(F.array(added), lambda v: F.struct(v.alias("v"), norm(v).alias("n"))), lambda p: F.transform(p["v"], lambda x: F.when(p["n"] > 0, x / p["n"]).otherwise(0.0).cast("float")))[0]
 
 
-def sparse(texts: DataFrame, key: str, text: str, dimensions: int = DIMENSIONS) -> DataFrame:
-    """key, at, x: the entries of ``hashed`` that are not zero, one word a row and summed; for long texts."""
-    h = texts.select(key, F.explode(tokens(F.col(text))).alias("w")).withColumn("h", F.sha2("w", 256))
+def sparse(texts: DataFrame, key: str, text: str, dimensions: int = DIMENSIONS, raw: bool = False) -> DataFrame:
+    """key, at, x: the entries of ``hashed`` that are not zero, one word a row and summed; for long texts. raw: before they are made of length 1."""
+    h = texts.select(key, tokens(F.col(text)).alias("w")).select(key, F.explode("w").alias("w")).withColumn("h", F.sha2("w", 256))
     part = lambda at, n: F.conv(F.substring("h", at, n), 16, 10).cast("long")
     size = 1.0 + (part(9, 2) % 7) / F.lit(7.0)
-    e = h.select(key, (part(1, 8) % dimensions).cast("int").alias("at"), F.when(part(11, 2) % 2 == 1, -size).otherwise(size).alias("x")).groupBy(key, "at").agg(F.sum("x").alias("x")).filter("x <> 0")
+    e = h.select(key, (part(1, 8) % dimensions).cast("int").alias("at"), F.when(part(11, 2) % 2 == 1, -size).otherwise(size).alias("x")).groupBy(key, "at").agg(F.sum("x").alias("x")).filter("abs(x) > 1e-12")
+    if raw:
+        return e
     norm = e.groupBy(key).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     return e.join(norm, key).select(key, "at", (F.col("x") / F.col("norm")).alias("x"))
 
 
 def one_hot(text: Column, groups: int) -> Column:
     """A vector with a one at the first number in the text, for tests."""
-    at = F.coalesce(F.regexp_extract(text, r"(\\d+)", 1).try_cast("int"), F.lit(0)) % groups
+    at = F.coalesce(F.regexp_extract(text, r"(\d+)", 1).try_cast("int"), F.lit(0)) % groups
     return F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda i: (i == at).cast("float"))
 
 

