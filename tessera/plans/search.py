@@ -66,7 +66,8 @@ def search(
     """corpus: stable_key, slug, prompt, text and the filtered columns; queries: query_id, query; vectors: stable_key, vector; query_vectors: query_id, vector (without both there is no
     semantic stage). query_id, pos, stable_key, rank_score, match_stages and each stage's score.
 
-    One scan of the corpus: its words and trigrams meet those of the queries, a bounded set that goes with the tasks, before anything is shuffled.
+    Words and trigrams of the corpus meet those of the queries, a bounded set that goes with the tasks, before anything is shuffled; of texts only those that hold all
+    words of an alternative are.
     """
     for c, v in (("locale", locale), ("topic", topic), ("level", level)):
         if v:
@@ -76,27 +77,24 @@ def search(
     if len(asked) > MOST_QUERIES:
         raise ValueError(f"more than {MOST_QUERIES} queries in a request")
     parsed = [(r["query_id"], alt, a) for r in asked for alt, a in enumerate(parse_query(r["query"] or ""))]
-    wanted = spark.createDataFrame([(q, alt, w, t, len(a["words"])) for q, alt, a in parsed for t, w in enumerate(a["words"])], "query_id long, alt int, item string, t int, n int")
+    wanted = spark.createDataFrame([(q, alt, w, len(a["words"])) for q, alt, a in parsed for w in a["words"]], "query_id long, alt int, item string, n int")
     q = queries.withColumn("grams", trigrams(F.col("query")))
-    grams = q.select("query_id", F.lit(-1).alias("alt"), F.explode(F.transform("grams", lambda g: F.concat(F.lit("\t"), g))).alias("item"), F.lit(-1).alias("t"), F.size("grams").alias("n"))
+    grams = q.select("query_id", F.size("grams").alias("n"), F.explode("grams").alias("item"))
     # lists are made once, in a projection of their own: within the generator they would be made for each use
-    lists = corpus.select("stable_key", terms(F.col("text")).alias("words"), trigrams(F.col("prompt")).alias("grams"))
-    items = F.concat(F.transform("words", lambda w, i: F.struct(w.alias("item"), i.alias("pos"))), F.transform("grams", lambda g: F.struct(F.concat(F.lit("\t"), g).alias("item"), F.lit(-1).alias("pos"))))
-    met = lists.select("stable_key", F.size("grams").alias("nd"), F.explode(items).alias("i")).select("stable_key", "nd", "i.item", "i.pos").join(F.broadcast(wanted.union(grams)), "item")
-    found = met.groupBy("query_id", "alt", "stable_key").agg(
-        F.first("nd").alias("nd"), F.first("n").alias("n"), F.count(F.lit(1)).alias("common"), F.count_distinct("t").alias("hits"), F.collect_list(F.when(F.col("alt") >= 0, F.struct("pos", "t"))).alias("places")
-    )
-    fuzzy = found.filter("alt = -1").select("query_id", "stable_key", (F.col("common") / (F.col("nd") + F.col("n") - F.col("common"))).alias("trigram")).filter(F.col("trigram") >= GATE_TRIGRAM)
-    full = found.filter("alt >= 0 and hits = n")
-    if any(a["phrases"] or a["nots"] for _, _, a in parsed):
-        more = spark.createDataFrame([(q_, alt, a["phrases"], a["nots"]) for q_, alt, a in parsed if a["phrases"] or a["nots"]], "query_id long, alt int, phrases array<string>, nots array<string>")
-        held = full.join(F.broadcast(more), ["query_id", "alt"])
-        text = F.concat(F.lit(" "), F.array_join(terms(F.col("text")), " "), F.lit(" "))
-        whole = corpus.join(held.select("stable_key").distinct(), "stable_key", "left_semi").select("stable_key", text.alias("whole"))
-        there = lambda p: F.col("whole").contains(F.concat(F.lit(" "), p, F.lit(" ")))
-        fails = held.join(whole, "stable_key").filter(~F.forall("phrases", there) | F.exists("nots", there)).select("query_id", "alt", "stable_key")
-        full = full.join(fails, ["query_id", "alt", "stable_key"], "left_anti")
-    full = full.groupBy("query_id", "stable_key").agg(F.max(cover_density(F.array_sort("places"), F.col("n"))).alias("fts"))
+    prompts = corpus.select("stable_key", trigrams(F.col("prompt")).alias("grams")).select("stable_key", F.size("grams").alias("nd"), F.explode("grams").alias("item"))
+    met = prompts.join(F.broadcast(grams), "item").groupBy("query_id", "stable_key").agg(F.count(F.lit(1)).alias("common"), F.first("nd").alias("nd"), F.first("n").alias("n"))
+    fuzzy = met.select("query_id", "stable_key", (F.col("common") / (F.col("nd") + F.col("n") - F.col("common"))).alias("trigram")).filter(F.col("trigram") >= GATE_TRIGRAM)
+    # first the documents that hold all words of an alternative; their places are looked up only then
+    distinct = corpus.select("stable_key", F.array_distinct(terms(F.col("text"))).alias("words")).select("stable_key", F.explode("words").alias("item"))
+    hits = distinct.join(F.broadcast(wanted), "item").groupBy("query_id", "alt", "stable_key").agg(F.count(F.lit(1)).alias("hits"), F.first("n").alias("n")).filter("hits = n").select("query_id", "alt", "stable_key")
+    asked_for = spark.createDataFrame([(q_, alt, a["words"], a["phrases"], a["nots"]) for q_, alt, a in parsed], "query_id long, alt int, need array<string>, phrases array<string>, nots array<string>")
+    found = corpus.select("stable_key", terms(F.col("text")).alias("words")).join(hits.join(F.broadcast(asked_for), ["query_id", "alt"]), "stable_key")
+    whole = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
+    there = lambda p: whole.contains(F.concat(F.lit(" "), p, F.lit(" ")))
+    found = found.filter(((F.size("phrases") == 0) | F.forall("phrases", there)) & ((F.size("nots") == 0) | ~F.exists("nots", there)))
+    places = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("pos"), (F.array_position("need", w) - 1).cast("int").alias("t"))), lambda x: x["t"] >= 0)
+    found = found.select("query_id", "stable_key", F.size("need").alias("n"), places.alias("places"))
+    full = found.groupBy("query_id", "stable_key").agg(F.max(cover_density(F.col("places"), F.col("n"))).alias("fts"))
     name = queries.select("query_id", F.lower("query").alias("name"))
     exact = name.join(corpus.select("stable_key", F.explode(F.array_distinct(F.array(F.lower("stable_key"), F.lower("slug")))).alias("name")), "name").select("query_id", "stable_key", F.lit(1.0).alias("exact")).distinct()
     both = full.join(fuzzy, ["query_id", "stable_key"], "full_outer").join(exact, ["query_id", "stable_key"], "full_outer")
