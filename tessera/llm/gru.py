@@ -36,15 +36,9 @@ def init(mass: np.ndarray, bounds: np.ndarray, hidden: int, seed: int = 7) -> di
     return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    np.negative(x, out=x)
-    np.exp(np.minimum(x, 30, out=x), out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
-
-
 def lay_out(docs: list[np.ndarray], end: int, lanes: int):
-    """Inputs, targets (-1: none), first steps, document and length per lane: documents dealt to the lanes that are shortest so far, longest first."""
+    """Targets, documents and first steps of all lanes, one lane behind the other, and the lanes' starts and lengths, longest first: documents dealt to the
+    lanes that are shortest so far, longest first. The room needed is that of the tokens, whatever the longest document."""
     import heapq
 
     sizes = np.array([len(d) + 1 for d in docs])
@@ -54,21 +48,14 @@ def lay_out(docs: list[np.ndarray], end: int, lanes: int):
         total, k = heapq.heappop(heap)
         lane[k].append(d)
         heapq.heappush(heap, (total + int(sizes[d]), k))
-    steps = max(t for t, _ in heap)
-    lane = [lane[k] for _, k in sorted(heap, reverse=True)]  # so that the lanes still at work are the first ones
-    x, y = np.full((steps, lanes), end, np.int32), np.full((steps, lanes), -1, np.int32)
-    fresh, owner = np.ones((steps, lanes), bool), np.zeros((steps, lanes), np.int32)
-    for k, own in enumerate(lane):
-        t = 0
-        for d in own:
-            n = sizes[d]
-            y[t : t + n - 1, k] = docs[d]
-            y[t + n - 1, k] = end
-            x[t + 1 : t + n, k] = docs[d]
-            fresh[t + 1 : t + n, k] = False
-            owner[t : t + n, k] = d
-            t += n
-    return x, y, fresh, owner
+    by_length = sorted(heap, reverse=True)  # so that the lanes still at work are the first ones
+    row = [d for _, k in by_length for d in lane[k]]
+    y = np.concatenate([x for d in row for x in (docs[d], [end])]).astype(np.int32)
+    owner = np.repeat(np.array(row, np.int32), sizes[row])
+    fresh = np.zeros(len(y), bool)
+    fresh[np.concatenate(([0], np.cumsum(sizes[row])[:-1]))] = True
+    length = np.array([n for n, _ in by_length])
+    return y, owner, fresh, np.cumsum(length) - length, length
 
 
 class Gru:
@@ -81,32 +68,43 @@ class Gru:
     def forward(self, x: np.ndarray, fresh: np.ndarray, state: np.ndarray, keep: bool):
         """States after each step; what backpropagation needs, if ``keep``."""
         p, h = self.p, self.hidden
-        gates = (p["emb"] @ p["wx"] + p["b"])[x]  # by token: inputs' part of the gates
+        self.used, self.at = np.unique(x, return_inverse=True)
+        gates = (p["emb"][self.used] @ p["wx"] + p["b"])[self.at.reshape(x.shape)]  # by token: inputs' part of the gates
         out = np.empty((*x.shape, h), np.float32)
-        kept = []
+        old, reset, new, zr = np.empty_like(out), np.empty_like(out), np.empty_like(out), np.empty((*x.shape, 2 * h), np.float32)
         live = (~fresh).astype(np.float32)[:, :, None]
-        wzr, wn = p["wh"][:, : 2 * h], p["wh"][:, 2 * h :]
+        # a sigmoid is (1 + tanh(a / 2)) / 2
+        half, wzr, wn = np.float32(0.5), p["wh"][:, : 2 * h] * np.float32(0.5), np.ascontiguousarray(p["wh"][:, 2 * h :])
+        first, last = gates[:, :, : 2 * h] * half, np.ascontiguousarray(gates[:, :, 2 * h :])
         for t in range(len(x)):
-            state = state * live[t]
-            zr = _sigmoid(gates[t, :, : 2 * h] + state @ wzr)
-            z, r = zr[:, :h], zr[:, h:]
-            reset = r * state
-            new = np.tanh(gates[t, :, 2 * h :] + reset @ wn)
-            if keep:
-                kept.append((state, z, r, reset, new))
-            state = new + z * (state - new)
-            out[t] = state
-        return out, state, kept
+            before, gate, n = old[t], zr[t], new[t]
+            np.multiply(state, live[t], out=before)
+            np.matmul(before, wzr, out=gate)
+            gate += first[t]
+            np.tanh(gate, out=gate)
+            gate *= half
+            gate += half
+            np.multiply(gate[:, h:], before, out=reset[t])
+            np.matmul(reset[t], wn, out=n)
+            n += last[t]
+            np.tanh(n, out=n)
+            state = np.subtract(before, n, out=out[t])
+            state *= gate[:, :h]
+            state += n
+        return out, out[-1].copy(), (old, zr, reset, new) if keep else None
 
     def output(self, hs: np.ndarray, ys: np.ndarray, learn: bool):
         """Natural log-probability of each target; gradients of the states and output weights, if ``learn``."""
         p, b = self.p, self.bounds
         logits = hs @ p["uc"] + p["bc"]
-        logits -= logits.max(axis=1, keepdims=True)
+        # states are within -1 .. 1, so that scores this small need no shift before exp
+        small = max(np.abs(p["uc"]).sum(axis=0).max() + np.abs(p["bc"]).max(), (np.abs(p["uw"]) @ np.ones(self.hidden, np.float32)).max() + np.abs(p["bw"]).max()) < 60
+        if not small:
+            logits -= logits.max(axis=1, keepdims=True)
         prob = np.exp(logits)
         total = prob.sum(axis=1)
         of = self.of[ys]
-        rows = np.arange(len(ys))
+        rows = rows_ = np.arange(len(ys))
         score = logits[rows, of] - np.log(total)
         grads = {}
         if learn:
@@ -115,78 +113,96 @@ class Gru:
             grads["uc"], grads["bc"] = hs.T @ prob, prob.sum(axis=0)
             dh = prob @ p["uc"].T
             grads["uw"], grads["bw"] = np.zeros_like(p["uw"]), np.zeros_like(p["bw"])
+        # the tokens of one class stand together
         order = np.argsort(of, kind="stable")
-        cut = np.searchsorted(of[order], np.arange(len(b)))
+        cut = np.searchsorted(of[order], np.arange(len(b))).tolist()
+        bounds, hs, at = b.tolist(), hs[order], (ys - b[of])[order]
+        more, back = np.zeros(len(ys), np.float32), np.zeros_like(hs)
         for c in range(len(b) - 1):
-            own = order[cut[c] : cut[c + 1]]
-            if not len(own) or b[c + 1] - b[c] == 1:
+            i, j, low, high = cut[c], cut[c + 1], bounds[c], bounds[c + 1]
+            if i == j or high - low == 1:
                 continue
-            w = p["uw"][b[c] : b[c + 1]]
-            hc = hs[own]
-            logits = hc @ w.T + p["bw"][b[c] : b[c + 1]]
-            logits -= logits.max(axis=1, keepdims=True)
-            prob = np.exp(logits)
+            w, hc, k = p["uw"][low:high], hs[i:j], at[i:j]
+            prob = hc @ w.T
+            prob += p["bw"][low:high]
+            if not small:
+                prob -= prob.max(axis=1, keepdims=True)
+            rows = rows_[: j - i]
+            own = prob[rows, k]
+            np.exp(prob, out=prob)
             total = prob.sum(axis=1)
-            rows = np.arange(len(own))
-            at = ys[own] - b[c]
-            score[own] += logits[rows, at] - np.log(total)
+            more[i:j] = own - np.log(total)
             if learn:
                 prob /= total[:, None]
-                prob[rows, at] -= 1
-                grads["uw"][b[c] : b[c + 1]], grads["bw"][b[c] : b[c + 1]] = prob.T @ hc, prob.sum(axis=0)
-                dh[own] += prob @ w
-        return (score, dh, grads) if learn else (score, None, None)
-
-    def backward(self, x: np.ndarray, fresh: np.ndarray, dout: np.ndarray, kept: list, grads: dict) -> None:
+                prob[rows, k] -= 1
+                np.matmul(prob.T, hc, out=grads["uw"][low:high])
+                prob.sum(axis=0, out=grads["bw"][low:high])
+                np.matmul(prob, w, out=back[i:j])
+        score[order] += more
+        if not learn:
+            return score, None, None
+        dh[order] += back
+        return score, dh, grads
+
+    def backward(self, x: np.ndarray, fresh: np.ndarray, dout: np.ndarray, kept: tuple, grads: dict) -> None:
         p, h = self.p, self.hidden
+        old, zr, reset, new = kept
+        z, r = zr[:, :, :h], zr[:, :, h:]
+        # what does not depend on later steps
+        to_new, to_z, to_r = (1 - z) * (1 - new * new), (old - new) * z * (1 - z), old * r * (1 - r)
         dgates = np.empty((*x.shape, 3 * h), np.float32)
         dstate = np.zeros((x.shape[1], h), np.float32)
-        wzr, wn = p["wh"][:, : 2 * h], p["wh"][:, 2 * h :]
+        wzr, wn = np.ascontiguousarray(p["wh"][:, : 2 * h].T), np.ascontiguousarray(p["wh"][:, 2 * h :].T)
         live = (~fresh).astype(np.float32)[:, :, None]
         for t in range(len(x) - 1, -1, -1):
-            state, z, r, _, new = kept[t]
-            d = dout[t] + dstate
-            dn = d * (1 - z) * (1 - new * new)
-            dreset = dn @ wn.T
-            g = dgates[t]
-            g[:, :h] = d * (state - new) * z * (1 - z)
-            g[:, h : 2 * h] = dreset * state * r * (1 - r)
-            g[:, 2 * h :] = dn
-            dstate = (d * z + dreset * r + g[:, : 2 * h] @ wzr.T) * live[t]
+            d, g = dout[t], dgates[t]
+            d += dstate
+            np.multiply(d, to_new[t], out=g[:, 2 * h :])
+            dreset = g[:, 2 * h :] @ wn
+            np.multiply(d, to_z[t], out=g[:, :h])
+            np.multiply(dreset, to_r[t], out=g[:, h : 2 * h])
+            np.matmul(g[:, : 2 * h], wzr, out=dstate)
+            d *= z[t]
+            dstate += d
+            dreset *= r[t]
+            dstate += dreset
+            dstate *= live[t]
         flat = dgates.reshape(-1, 3 * h)
-        states = np.concatenate([k[0] for k in kept])
-        resets = np.concatenate([k[3] for k in kept])
+        states, resets = old.reshape(-1, h), reset.reshape(-1, h)
         grads["wh"] = np.concatenate([states.T @ flat[:, : 2 * h], resets.T @ flat[:, 2 * h :]], axis=1)
-        # by token, then through the embedding
-        k = len(p["emb"])
-        ids = x.ravel()
-        order = np.argsort(ids, kind="stable")
-        first = np.flatnonzero(np.concatenate(([True], ids[order][1:] != ids[order][:-1])))
-        by = np.zeros((k, 3 * h), np.float32)
-        by[ids[order][first]] = np.add.reduceat(flat[order], first, axis=0)
-        grads["wx"], grads["b"], grads["emb"] = p["emb"].T @ by, by.sum(axis=0), by @ p["wx"].T
+        # by token, then through the embedding; grads["emb"] has a row for each token used
+        at = self.at.ravel()
+        order = np.argsort(at, kind="stable")
+        by = np.add.reduceat(flat[order], np.searchsorted(at[order], np.arange(len(self.used))), axis=0)
+        grads["wx"], grads["b"], grads["emb"] = p["emb"][self.used].T @ by, by.sum(axis=0), by @ p["wx"].T
 
     def run(self, docs: list[np.ndarray], end: int, lanes: int, window: int, rate: float = 0.0) -> np.ndarray:
         """Sum of natural log-probabilities of each document, its end included. rate: of Adagrad; over 0, the weights learn after each window."""
         total = np.zeros(len(docs))
         if not docs:
             return total
-        x, y, fresh, owner = lay_out(docs, end, lanes)
-        state = np.zeros((x.shape[1], self.hidden), np.float32)
-        for t in range(0, len(x), window):
-            part = slice(t, t + window)
-            live = int((y[t] >= 0).sum())
-            xs, ys, new = x[part, :live], y[part, :live], fresh[part, :live]
+        y, owner, fresh, start, length = lay_out(docs, end, lanes)
+        state = np.zeros((len(length), self.hidden), np.float32)
+        for t in range(0, int(length[0]), window):
+            live = int((length > t).sum())
+            steps = np.arange(t, min(t + window, int(length[0])))[:, None]
+            at = steps < length[:live]
+            place = np.where(at, start[:live] + steps, 0)
+            ys, new = y[place], fresh[place] | ~at
+            # the token before; at the first step of a document the end of another
+            xs = np.where(new, end, y[place - 1])
             out, state, kept = self.forward(xs, new, state[:live], rate > 0)
-            at = ys >= 0
             score, dh, grads = self.output(out[at], ys[at], rate > 0)
-            total += np.bincount(owner[part, :live][at], score, len(docs))
+            total += np.bincount(owner[place[at]], score, len(docs))
             if rate > 0:
                 dout = np.zeros_like(out)
                 dout[at] = dh
                 self.backward(xs, new, dout, kept, grads)
                 for name, g in grads.items():
                     g /= lanes * window  # so that the last steps of one long document weigh no more than they are
-                    self.grad2[name] += g * g
-                    self.p[name] -= rate * g / np.sqrt(self.grad2[name])
+                    rows = self.used if name == "emb" else slice(None)
+                    self.grad2[name][rows] += g * g
+                    g *= rate
+                    g /= np.sqrt(self.grad2[name][rows])
+                    self.p[name][rows] -= g
         return total

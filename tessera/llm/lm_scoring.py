@@ -4,11 +4,11 @@ The model's vocabulary is the most frequent training tokens, the end among them,
 ``coverage`` of the training text, so that it grows with the input (``vocabulary`` sets a number instead), and one
 token for all others, which then get their share of the additively smoothed unigram distribution: the
 model is a distribution over all texts. Every training document is learnt from: each task trains from
-the same initial weights on its own documents, and the weights are averaged by tokens.
+the same weights on its own documents of a part, the weights are averaged by tokens, and the next part goes on from there.
 
-Scale: counts of all words are gathered by 64-bit word hashes with map-side sums. The counts of the ``head`` most
+Scale: counts of all words are gathered by 64-bit word hashes with map-side sums. The counts of the some ``head`` most
 frequent (a fixed bound) go with the tasks; occurrences of all others are joined with the count table.
-Documents are scored where they are read, in memory bounded by ``flush`` tokens a task (or one document).
+Documents are scored where they are read, in memory bounded by ``flush`` tokens a task and one document.
 """
 
 from __future__ import annotations
@@ -50,6 +50,10 @@ class Vocabulary:
         self.total, self.distinct = total, distinct
         order = np.argsort(head)
         self.keys, self.counts = head[order], counts[order]
+        # hashes are spread evenly: the first bits tell where to look
+        self.bits = max(1, len(head).bit_length())
+        self.first = np.searchsorted(self.keys >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64))
+        self.tries = int(np.diff(self.first).max(initial=0))
         own = head[: size - 2]
         if END not in own.tolist():
             own = np.append(own, np.uint64(END))
@@ -68,10 +72,19 @@ class Vocabulary:
 
     def count(self, h: np.ndarray) -> np.ndarray:
         """0 beyond the head."""
-        if not len(self.keys):
-            return np.zeros(len(h), np.int64)
-        k = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        return np.where(self.keys[k] == h, self.counts[k], 0)
+        out = np.zeros(len(h), np.int64)
+        bucket = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        at, end = self.first[bucket], self.first[bucket + 1]
+        left = np.flatnonzero(at < end)
+        for _ in range(self.tries):
+            k = at[left]
+            hit = self.keys[k] == h[left]
+            out[left[hit]] = self.counts[k[hit]]
+            at[left] += 1
+            left = left[~hit & (k + 1 < end[left])]
+            if not len(left):
+                break
+        return out
 
     def unigram(self, c: np.ndarray) -> np.ndarray:
         """log10 of the smoothed probability of a token with such a count."""
@@ -82,6 +95,25 @@ class Vocabulary:
         return np.where(self.own[k] == h, self.number[k], self.other).astype(np.int32)
 
 
+def most_frequent(counts: DataFrame, head: int):
+    """h, c of the most frequent tokens, by falling count and h: at most about ``head`` rows, found by a histogram of the counts, so that no partition sends a list of its own.
+    Of the tokens with the count that does not fit as a whole, a share by their hashes."""
+    exact = 1 << 14  # higher counts fall in steps of an eightieth
+    step = F.when(F.col("c") < exact, F.col("c")).otherwise(exact + F.floor(F.log(F.col("c") / exact) * 80)).cast("long")
+    histogram = sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True)  # some 17,000 rows
+    room, least = head, None
+    for r in histogram:
+        if r["count"] > room:
+            break
+        room, least = room - r["count"], r["step"]
+    else:
+        r = None
+    some = step >= (least if least is not None else 2**62)
+    if r is not None:
+        some |= (step == r["step"]) & (F.pmod("h", F.lit(1 << 20)) < int((1 << 20) * room / r["count"]))
+    return counts.filter(some).toPandas().sort_values(["c", "h"], ascending=[False, True], ignore_index=True)
+
+
 def size_for(counts: np.ndarray, total: int, coverage: float, least: int = 1024) -> int:
     """Size of a model vocabulary that covers a share of the training tokens. counts: of the head, most frequent first."""
     words_ = int(np.searchsorted(np.cumsum(counts), coverage * total)) + 1
@@ -101,24 +133,32 @@ def _unpack(raw: bytes, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return out
 
 
-def train(docs: DataFrame, vocab: Vocabulary, hidden: int, lanes: int, window: int, rate: float, flush: int, merge: int = 8) -> dict[str, np.ndarray]:
-    start = init(vocab.mass, vocab.bounds, hidden)
-
-    def learn(batches):
-        model, seen = Gru({n: v.copy() for n, v in start.items()}, vocab.bounds), 0
-        held, size = [], 0
-        for b in batches:
-            for w in words(b.column(0), lower=True):
-                held += np.split(vocab.ids(w.hash), w.cut[1:-1])
-                size += len(w.hash) + w.n
-                if size >= flush:
-                    model.run(held, vocab.end, lanes, window, rate)
-                    seen, held, size = seen + size, [], 0
-        if held:
-            model.run(held, vocab.end, lanes, window, rate)
-            seen += size
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([_pack(model.p)], pa.binary()), pa.array([seen], pa.int64())], names=["weights", "seen"])
+def train(docs: DataFrame, vocab: Vocabulary, hidden: int, lanes: int, window: int, rate: float, flush: int, rounds: int, merge: int = 8) -> dict[str, np.ndarray]:
+    """Weights learnt from every document once, in ``rounds`` parts of them: after each part the tasks' weights, and their step sizes, are averaged by tokens and go out again."""
+    weights = init(vocab.mass, vocab.bounds, hidden)
+    slopes: dict[str, np.ndarray] | None = None
+    schema = "state binary, seen long"
+
+    def learn(weights, slopes):
+        def rows(batches):
+            model, seen = Gru({n: v.copy() for n, v in weights.items()}, vocab.bounds), 0
+            if slopes:
+                model.grad2 = {n: v.copy() for n, v in slopes.items()}
+            held, size = [], 0
+            for b in batches:
+                for w in words(b.column(0), lower=True):
+                    held += np.split(vocab.ids(w.hash), w.cut[1:-1])
+                    size += len(w.hash) + w.n
+                    if size >= flush:
+                        model.run(held, vocab.end, lanes, window, rate)
+                        seen, held, size = seen + size, [], 0
+            if held:
+                model.run(held, vocab.end, lanes, window, rate)
+                seen += size
+            if seen:
+                yield pa.RecordBatch.from_arrays([pa.array([_pack(model.p) + _pack(model.grad2)], pa.binary()), pa.array([seen], pa.int64())], names=["state", "seen"])
+
+        return rows
 
     def average(batches):
         total, seen = None, 0
@@ -127,21 +167,24 @@ def train(docs: DataFrame, vocab: Vocabulary, hidden: int, lanes: int, window: i
                 v = np.frombuffer(raw, "<f4").astype(np.float64) * n
                 total, seen = v if total is None else total + v, seen + n
         if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([(total / seen).astype("<f4").tobytes()], pa.binary()), pa.array([seen], pa.int64())], names=["weights", "seen"])
+            yield pa.RecordBatch.from_arrays([pa.array([(total / seen).astype("<f4").tobytes()], pa.binary()), pa.array([seen], pa.int64())], names=["state", "seen"])
 
-    schema = "weights binary, seen long"
-    parts = docs.select("text").mapInArrow(learn, schema).repartition(merge).mapInArrow(average, schema).collect()  # ``merge`` rows
-    if not parts:
-        return start
-    seen = sum(r["seen"] for r in parts)
-    mean = sum(np.frombuffer(r["weights"], "<f4").astype(np.float64) * (r["seen"] / seen) for r in parts)
-    return _unpack(mean.astype("<f4").tobytes(), start)
+    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds))
+    for r in range(rounds):
+        own = docs.filter(part == r).select("text")
+        parts = own.mapInArrow(learn(weights, slopes), schema).repartition(merge).mapInArrow(average, schema).collect()  # ``merge`` rows
+        if parts:
+            seen = sum(p["seen"] for p in parts)
+            mean = sum(np.frombuffer(p["state"], "<f4").astype(np.float64) * (p["seen"] / seen) for p in parts).astype("<f4").tobytes()
+            weights, slopes = _unpack(mean[: len(mean) // 2], weights), _unpack(mean[len(mean) // 2 :], weights)
+    return weights
 
 
-def score_documents(spark: SparkSession, docs: DataFrame, fold: int = 0, folds: int = 10, vocabulary: int | None = None, classes: int | None = None, coverage: float = 0.6, hidden: int = 16, head: int = 1 << 18, lanes: int = 256, window: int = 32, rate: float = 0.2, flush: int = 4_000_000) -> DataFrame:
+def score_documents(spark: SparkSession, docs: DataFrame, fold: int = 0, folds: int = 10, vocabulary: int | None = None, classes: int | None = None, coverage: float = 0.6, hidden: int = 16, head: int = 1 << 18, lanes: int = 64, window: int = 32, rate: float = 0.2, rounds: int = 2, flush: int = 2_000_000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row for each input row.
 
     Documents of the fold are not learnt from; a null doc_id is in no fold. Null and empty texts are the end alone.
+    A long text is read whole, in one lane, and takes room in proportion to its tokens. Rows that are equal are scored each, columns but doc_id and text play no part.
     An empty table gives no rows; with no training documents every token is unknown and scores are those of the smoothed unigram alone.
     """
     tune(spark, 1024)
@@ -149,12 +192,12 @@ def score_documents(spark: SparkSession, docs: DataFrame, fold: int = 0, folds:
     docs = need(docs, "doc_id", "text").withColumn("held_out", held_out(fold, folds))
     counts = scratch.write(token_counts(docs.filter("not held_out")))
     total, distinct = (x or 0 for x in counts.agg(F.sum("c"), F.count(F.lit(1))).first())
-    top = counts.orderBy(F.desc("c"), "h").limit(head).toPandas()
+    top = most_frequent(counts, head)
     c = top["c"].to_numpy(np.int64)
     vocabulary = vocabulary or size_for(c, int(total), coverage)
     classes = classes or round(vocabulary**0.5)
     vocab = Vocabulary(top["h"].to_numpy(np.int64).view(np.uint64), c, int(total), int(distinct), vocabulary, classes)
-    weights = train(docs.filter("not held_out"), vocab, hidden, lanes, window, rate, flush)
+    weights = train(docs.filter("not held_out"), vocab, hidden, lanes, window, rate, flush, rounds)
     bounds = vocab.bounds
 
     def score(batches):
@@ -163,7 +206,7 @@ def score_documents(spark: SparkSession, docs: DataFrame, fold: int = 0, folds:
         size = 0
 
         def done():
-            logs = model.run([x[0] for x in held], vocab.end, lanes, window) / np.log(10)
+            logs = model.run([x[0] for x in held], vocab.end, 4 * lanes, window) / np.log(10)
             for at in range(0, len(held), 1000):
                 part = held[at : at + 1000]
                 tails = [x[3] for x in part]
