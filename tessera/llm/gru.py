@@ -183,6 +183,7 @@ class Gru:
             return total
         y, owner, fresh, start, length = lay_out(docs, end, lanes)
         state = np.zeros((len(length), self.hidden), np.float32)
+        held, found = {}, 0
         for t in range(0, int(length[0]), window):
             live = int((length > t).sum())
             steps = np.arange(t, min(t + window, int(length[0])))[:, None]
@@ -198,11 +199,28 @@ class Gru:
                 dout = np.zeros_like(out)
                 dout[at] = dh
                 self.backward(xs, new, dout, kept, grads)
+                found += int(at.sum())
+                whole = 2 * found >= lanes * window
+                if whole and not held:
+                    self.step(grads, 1 / (lanes * window), rate, self.used)
+                    found = 0
+                    continue
+                # where few lanes are left, as in the rest of one long document, windows are gathered to a step
                 for name, g in grads.items():
-                    g /= lanes * window  # so that the last steps of one long document weigh no more than they are
-                    rows = self.used if name == "emb" else slice(None)
-                    self.grad2[name][rows] += g * g
-                    g *= rate
-                    g /= np.sqrt(self.grad2[name][rows])
-                    self.p[name][rows] -= g
+                    if name not in held:
+                        held[name] = np.zeros_like(self.p[name])
+                    held[name][self.used if name == "emb" else slice(None)] += g
+                if whole or t + window >= length[0]:
+                    self.step(held, 1 / (lanes * window), rate, slice(None))
+                    held, found = {}, 0
         return total
+
+    def step(self, grads: dict, share: float, rate: float, used) -> None:
+        """One step of Adagrad with the gradients times ``share``. used: the tokens that the rows of grads["emb"] are of."""
+        for name, g in grads.items():
+            rows = used if name == "emb" else slice(None)
+            g *= np.float32(share)
+            self.grad2[name][rows] += g * g
+            g *= np.float32(rate)
+            g /= np.sqrt(self.grad2[name][rows])
+            self.p[name][rows] -= g

@@ -3,8 +3,9 @@
 The model's vocabulary is the most frequent training tokens, the end among them, as many as cover the share
 ``coverage`` of the training text, so that it grows with the input (``vocabulary`` sets a number instead), and one
 token for all others, which then get their share of the additively smoothed unigram distribution: the
-model is a distribution over all texts. Every training document is learnt from: each task trains from
-the same weights on its own documents of a part, the weights are averaged by tokens, and the next part goes on from there.
+model is a distribution over all texts. Of the training documents one in 64 is kept back; all others are learnt from: each task trains from
+the same weights on its own documents of a part, the weights are averaged by tokens, and the next part goes on from there. Those weights stay
+that score the documents kept back best, the unigram start among them.
 
 Scale: counts of all words are gathered by 64-bit word hashes with map-side sums. The counts of the some ``head`` most
 frequent (a fixed bound) go with the tasks; occurrences of all others are joined with the count table.
@@ -133,9 +134,11 @@ def _unpack(raw: bytes, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return out
 
 
-def train(docs: DataFrame, vocab: Vocabulary, hidden: int, lanes: int, window: int, rate: float, flush: int, rounds: int, merge: int = 8) -> dict[str, np.ndarray]:
-    """Weights learnt from every document once, in ``rounds`` parts of them: after each part the tasks' weights, and their step sizes, are averaged by tokens and go out again."""
+def train(docs: DataFrame, vocab: Vocabulary, hidden: int, lanes: int, window: int, rate: float, flush: int, rounds: int, merge: int = 8, kept: int = 64) -> dict[str, np.ndarray]:
+    """Weights learnt from the documents once, in ``rounds`` parts of them: after each part the tasks' weights, and their step sizes, are averaged by tokens and go out again.
+    Of the weights at the start (the unigram distribution) and after each part, those are kept that score the documents kept back for it, one in ``kept``, best."""
     weights = init(vocab.mass, vocab.bounds, hidden)
+    tried = [weights]
     slopes: dict[str, np.ndarray] | None = None
     schema = "state binary, seen long"
 
@@ -169,15 +172,40 @@ def train(docs: DataFrame, vocab: Vocabulary, hidden: int, lanes: int, window: i
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([(total / seen).astype("<f4").tobytes()], pa.binary()), pa.array([seen], pa.int64())], names=["state", "seen"])
 
+    back = F.pmod(F.xxhash64("text"), F.lit(kept)) == 0
     part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds))
     for r in range(rounds):
-        own = docs.filter(part == r).select("text")
+        own = docs.filter(~back & (part == r)).select("text")
         parts = own.mapInArrow(learn(weights, slopes), schema).repartition(merge).mapInArrow(average, schema).collect()  # ``merge`` rows
         if parts:
             seen = sum(p["seen"] for p in parts)
             mean = sum(np.frombuffer(p["state"], "<f4").astype(np.float64) * (p["seen"] / seen) for p in parts).astype("<f4").tobytes()
             weights, slopes = _unpack(mean[: len(mean) // 2], weights), _unpack(mean[len(mean) // 2 :], weights)
-    return weights
+            tried.append(weights)
+
+    unigram = np.log(np.maximum(vocab.mass, 1) / np.maximum(vocab.mass, 1).sum())
+
+    def judge(batches):
+        models, total = [Gru(p, vocab.bounds) for p in tried[1:]], np.zeros(len(tried))
+
+        def score(held):
+            total[0] += sum(unigram[x].sum() + unigram[vocab.end] for x in held)
+            total[1:] += [m.run(held, vocab.end, 4 * lanes, window).sum() for m in models]
+
+        held, size = [], 0
+        for b in batches:
+            for w in words(b.column(0), lower=True):
+                held += np.split(vocab.ids(w.hash), w.cut[1:-1])
+                size += len(w.hash) + w.n
+                if size >= flush:
+                    score(held)
+                    held, size = [], 0
+        if held:
+            score(held)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(tried))), pa.array(total)], names=["k", "score"])
+
+    scores = docs.filter(back).select("text").mapInArrow(judge, "k long, score double").groupBy("k").agg(F.sum("score").alias("score")).collect()  # a row for each of the weights
+    return tried[max(scores, key=lambda r: (r["score"], -r["k"]))["k"]] if scores else weights
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, fold: int = 0, folds: int = 10, vocabulary: int | None = None, classes: int | None = None, coverage: float = 0.6, hidden: int = 16, head: int = 1 << 18, lanes: int = 64, window: int = 32, rate: float = 0.2, rounds: int = 2, flush: int = 2_000_000) -> DataFrame:
