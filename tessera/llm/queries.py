@@ -73,6 +73,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_report(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_schema_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .drift import drifted_clients
+
+    return drifted_clients(spark, table(spark, sf_dir, "clients"))
+
+
 def op12_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .nearest import nearest
 
@@ -87,7 +93,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_minhash, op2_decontamination, op3_lm_scoring, op4_language_id, op5_exact_dedup, op6_substring_dedup, op7_packing, op8_secret_scans, op9_toxicity, op10_suffix_dedup, op12_nearest, op13_fill_in_middle)
+    for f in (op1_minhash, op2_decontamination, op3_lm_scoring, op4_language_id, op5_exact_dedup, op6_substring_dedup, op7_packing, op8_secret_scans, op9_toxicity, op10_suffix_dedup, op11_schema_rewrite, op12_nearest, op13_fill_in_middle)
 }
 
 _SPLIT = r"list_filter(regexp_split_to_array({0}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
