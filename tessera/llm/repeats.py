@@ -24,7 +24,7 @@ NONE = -(2**63)
 
 
 def candidates(scratch: Scratch, docs: DataFrame, runs: Runs, kept: bool) -> tuple[DataFrame, int]:
-    """doc_id, text and a list of packed PLACE records, written: the runs of windows whose anchor is not alone, with the number of runs that have it; and the highest of these numbers.
+    """doc_id, key, text and a list of packed PLACE records, written: the runs of windows whose anchor is not alone, with the number of runs that have it; and the highest of these numbers.
 
     Within one run windows repeat only if the anchor is there twice (periodic texts). A task emits one row an anchor and batch, with all
     places packed. Anchors are counted with map-side sums and joined back, so that Spark can split a frequent one; only
@@ -35,7 +35,7 @@ def candidates(scratch: Scratch, docs: DataFrame, runs: Runs, kept: bool) -> tup
     def emit(places: bool, among=None):
         def rows(batches):
             for b in batches:
-                got = [x for x in runs(b.column(1)) if len(x[0])]
+                got = [x for x in runs(b.column(2)) if len(x[0])]
                 if not got:
                     continue
                 rows, anchors, start, length, twice = (np.concatenate(x) for x in zip(*got, strict=True))
@@ -49,7 +49,7 @@ def candidates(scratch: Scratch, docs: DataFrame, runs: Runs, kept: bool) -> tup
                 cols = {"anchor": pa.array(anchors[order][first].view(np.int64)), "n": pa.array(np.add.reduceat(1 + twice[order], first).astype(np.int64))}
                 if places:
                     place = np.zeros(len(order), LOCAL)
-                    place["doc"], place["start"], place["length"] = b.column(0).to_numpy()[rows[order]], start[order], length[order]
+                    place["doc"], place["key"], place["start"], place["length"] = b.column(0).to_numpy()[rows[order]], b.column(1).to_numpy()[rows[order]], start[order], length[order]
                     cols["places"] = blobs(place, first)
                 yield pa.RecordBatch.from_pydict(cols)
 
@@ -65,10 +65,10 @@ def candidates(scratch: Scratch, docs: DataFrame, runs: Runs, kept: bool) -> tup
             place = np.zeros(len(local), PLACE)
             place["start"], place["length"] = local["start"], local["length"]
             place["anchor"], place["all"] = np.repeat(b.column(0).to_numpy(), many), np.repeat(np.minimum(b.column(1).to_numpy(), 2**62), many)
-            order = np.argsort(local["doc"], kind="stable")
-            ids = local["doc"][order]
-            first, _ = runs_of(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[first]), blobs(place[order], first)], names=["doc_id", "runs"])
+            order = np.lexsort((local["key"], local["doc"]))
+            ids, keys = local["doc"][order], local["key"][order]
+            first = documents(ids, keys)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[first]), pa.array(keys[first]), blobs(place[order], first)], names=["doc_id", "key", "runs"])
 
     table = scratch.write(emit(True)) if kept else None
     counted = (table if kept else emit(False)).groupBy("anchor").agg(F.sum("n").alias("all")).filter("all > 1")
@@ -77,18 +77,18 @@ def candidates(scratch: Scratch, docs: DataFrame, runs: Runs, kept: bool) -> tup
     most = often.agg(F.max("all")).first()[0] or 0
     anchors = Bloom(often)
     found = anchors.wanted(table) if kept else emit(True, anchors.among)
-    found = found.join(often, "anchor").select("anchor", "all", "places").mapInArrow(spread, "doc_id long, runs binary")
-    found = scratch.write(found.groupBy("doc_id").agg(F.collect_list("runs").alias("runs")))
+    found = found.join(often, "anchor").select("anchor", "all", "places").mapInArrow(spread, "doc_id long, key long, runs binary")
+    found = scratch.write(found.groupBy("doc_id", "key").agg(F.collect_list("runs").alias("runs")))
     for done in (table, often) if kept else (often,):
         scratch.drop(done)
     scratch.free_shuffles()
-    some = scratch.write(Bloom(found).wanted(docs).filter("text is not null").join(found, "doc_id"))
+    some = scratch.write(Bloom(found).wanted(docs).filter("text is not null").join(found, ["doc_id", "key"]).select("doc_id", "key", "text", "runs"))
     scratch.drop(found)
     scratch.free_shuffles()
     return some, most
 
 
-LOCAL = np.dtype([("doc", "<i8"), ("start", "<i4"), ("length", "<i4")])
+LOCAL = np.dtype([("doc", "<i8"), ("key", "<i8"), ("start", "<i4"), ("length", "<i4")])
 PLACE = np.dtype([("anchor", "<i8"), ("all", "<i8"), ("start", "<i4"), ("length", "<i4")])
 
 
@@ -106,9 +106,18 @@ def held_twice(grams: np.ndarray, anchors: np.ndarray, start: np.ndarray, length
     return (np.add.reduceat(hits.astype(np.int64), np.cumsum(size) - size) > 1).astype(np.int64) if len(start) else np.zeros(0, np.int64)
 
 
+def documents(ids: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where the runs of equal pairs begin."""
+    return np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (keys[1:] != keys[:-1]))))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """A null doc_id joins as a number of its own and stands last in the order of ids no more than null does: first."""
-    return need(docs, "doc_id", "text").withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(NONE)))
+    """doc_id, key, text: what tells a document from others. A null doc_id is the smallest number. key is 0 where doc_id tells enough, else a hash of the text:
+    for null ids, and for all rows if any two share an id; rows equal in id and text are one document."""
+    docs = need(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    shared = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count()
+    key = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseOR(F.lit(1))  # never 0, the key of a document told by its id
+    return docs.select(F.coalesce("doc_id", F.lit(NONE)).alias("doc_id"), (key if shared else F.when(F.col("doc_id").isNull(), key).otherwise(F.lit(0).cast("long"))).alias("key"), "text", F.col("doc_id").alias("given"))
 
 
 def unpacked(runs: list[bytes]) -> np.ndarray:

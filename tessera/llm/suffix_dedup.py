@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .bwt import repeated
 from .common import Scratch, flat, mix, rolling, runs_of, sliding_min, tune
-from .repeats import LOCAL, NONE, blobs, candidates, held_twice, keyed, merged, unpacked
+from .repeats import LOCAL, blobs, candidates, documents, held_twice, keyed, merged, unpacked
 
 GRAM = 32
 
@@ -99,9 +99,9 @@ def hash_of(core: bytes, anchor: int, block: int) -> int:
 def segment_rows(limit: int):
     def rows(batches):
         for b in batches:
-            ids, runs = b.column(0).to_pylist(), b.column(2).to_pylist()
-            data, offsets = flat(b.column(1))
-            found: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+            ids, runs = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True), b.column(3).to_pylist()
+            data, offsets = flat(b.column(2))
+            found: dict[tuple[int, bytes], list[tuple[tuple[int, int], int]]] = {}
             for d, doc in enumerate(ids):
                 own = data[offsets[d] : offsets[d + 1]]
                 for key, start, segment in segments_of(own, unpacked(runs[d]), limit):
@@ -111,7 +111,7 @@ def segment_rows(limit: int):
             many = np.array([len(v) for v in found.values()])
             place = np.zeros(int(many.sum()), LOCAL)
             flat_ = [x for v in found.values() for x in v]
-            place["doc"], place["start"] = [x[0] for x in flat_], [x[1] for x in flat_]
+            place["doc"], place["key"], place["start"] = [x[0][0] for x in flat_], [x[0][1] for x in flat_], [x[1] for x in flat_]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary()), blobs(place, np.cumsum(many) - many)], names=["key", "segment", "places"])
 
     return rows
@@ -130,10 +130,11 @@ def expand(limit: int, size: int):
                 at[k, s] = [p]
                 groups[k] = groups.get(k, 0) + 1
         texts, weights, own = [], [], []
-        ids, pairs = [], []  # the runs of windows that repeat
+        ids, own_keys, pairs = [], [], []  # the runs of windows that repeat
 
         def mark(place: np.ndarray, begin: np.ndarray, size: np.ndarray) -> None:
             ids.append(np.repeat(place["doc"], len(begin)))
+            own_keys.append(np.repeat(place["key"], len(begin)))
             pairs.append(np.column_stack([(place["start"].astype(np.int64)[:, None] + begin).ravel(), np.tile(size, len(place))]).astype(np.int32))
 
         for (k, s), ps in at.items():
@@ -151,11 +152,11 @@ def expand(limit: int, size: int):
                     mark(place, edge[::2], edge[1::2] - edge[::2])
         if not ids:
             return None
-        docs, pair = np.concatenate(ids), np.concatenate(pairs)
-        order = np.argsort(docs, kind="stable")
-        docs, pair = docs[order], pair[order]
-        cut, _ = runs_of(docs)
-        return pa.RecordBatch.from_arrays([pa.array(docs[cut]), blobs(np.ascontiguousarray(pair).view([("a", "<i4"), ("n", "<i4")]).ravel(), cut)], names=["doc_id", "starts"])
+        docs, doc_keys, pair = np.concatenate(ids), np.concatenate(own_keys), np.concatenate(pairs)
+        order = np.lexsort((doc_keys, docs))
+        docs, doc_keys, pair = docs[order], doc_keys[order], pair[order]
+        cut = documents(docs, doc_keys)
+        return pa.RecordBatch.from_arrays([pa.array(docs[cut]), pa.array(doc_keys[cut]), blobs(np.ascontiguousarray(pair).view([("a", "<i4"), ("n", "<i4")]).ravel(), cut)], names=["doc_id", "key", "starts"])
 
     def rows(batches):
         keys: list[int] = []
@@ -179,29 +180,29 @@ def expand(limit: int, size: int):
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, limit: int = 400, size: int = 1 << 20) -> DataFrame:
-    """The documents from which something goes: doc_id, text, kept binary, begins array<int>, ends array<int> (in bytes, end exclusive).
+    """The documents from which something goes: doc_id, key (as keyed() has them), text, kept binary, begins array<int>, ends array<int> (in bytes, end exclusive).
 
-    Null and empty texts, and those shorter than ``limit`` bytes, lose nothing. Rows that share a doc_id
-    and hold the same bytes at a place are one document there, not copies of each other.
+    Null and empty texts, and those shorter than ``limit`` bytes, lose nothing. Texts that share a doc_id, or have none, are documents of their own.
+    Rows equal in doc_id and text are one document, not copies of each other.
     """
     tune(spark, 1024)
     scratch = Scratch(spark, "suffix")
-    docs = keyed(docs)
+    docs = keyed(docs).drop("given")
     some, _ = candidates(scratch, docs, byte_runs(limit), kept=True)
-    rows = some.select("doc_id", "text", "runs").mapInArrow(segment_rows(limit), "key long, segment binary, places binary")
+    rows = some.mapInArrow(segment_rows(limit), "key long, segment binary, places binary")
     rows = rows.repartition("key").sortWithinPartitions("key")
-    starts = scratch.write(rows.mapInArrow(expand(limit, size), "doc_id long, starts binary"))
+    starts = scratch.write(rows.mapInArrow(expand(limit, size), "doc_id long, key long, starts binary"))
     del rows
     scratch.free_shuffles()
-    starts = starts.groupBy("doc_id").agg(F.collect_list("starts").alias("starts"))
+    starts = starts.groupBy("doc_id", "key").agg(F.collect_list("starts").alias("starts"))
 
     def cut(batches):
         from .words import ragged
 
         for b in batches:
-            data, offsets = flat(b.column(1))
+            data, offsets = flat(b.column(2))
             kept, begins, ends = [], [], []
-            for d, packed in enumerate(b.column(2).to_pylist()):
+            for d, packed in enumerate(b.column(3).to_pylist()):
                 own = data[offsets[d] : offsets[d + 1]]
                 pair = np.frombuffer(b"".join(packed), np.int32).reshape(-1, 2).astype(np.int64)
                 s = np.unique(ragged(pair[:, 0], pair[:, 1]))
@@ -212,15 +213,15 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, limit: int = 400, size: i
                 kept.append(own[np.cumsum(cover)[:-1] == 0].tobytes())
                 begins.append(begin.astype(np.int32))
                 ends.append(end.astype(np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(kept, pa.binary()), pa.array(begins, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], names=["doc_id", "text", "kept", "begins", "ends"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(kept, pa.binary()), pa.array(begins, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], names=["doc_id", "key", "text", "kept", "begins", "ends"])
 
-    return some.select("doc_id", "text").join(starts, "doc_id").mapInArrow(cut, "doc_id long, text string, kept binary, begins array<int>, ends array<int>")
+    return some.select("doc_id", "key", "text").join(starts, ["doc_id", "key"]).mapInArrow(cut, "doc_id long, key long, text string, kept binary, begins array<int>, ends array<int>")
 
 
 def suffix_report(spark: SparkSession, docs: DataFrame, limit: int = 400) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256: one row for each input row, of which most are digested where they are read."""
-    base = keyed(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("t")).select("doc_id", F.octet_length("t").cast("long").alias("n_bytes"), F.sha2("t", 256).alias("sha"))
+    base = keyed(docs).select("doc_id", "key", "given", F.coalesce("text", F.lit("")).alias("t")).select("doc_id", "key", "given", F.octet_length("t").cast("long").alias("n_bytes"), F.sha2("t", 256).alias("sha"))
     total = F.expr("aggregate(zip_with(begins, ends, (a, b) -> cast(b - a as bigint)), 0L, (x, y) -> x + y)")
-    changed = suffix_dedup(spark, docs, limit).select("doc_id", F.sha2("text", 256).alias("sha"), total.alias("gone"), F.size("begins").cast("long").alias("spans"), F.sha2("kept", 256).alias("left_sha")).dropDuplicates(["doc_id", "sha"])
+    changed = suffix_dedup(spark, docs, limit).select("doc_id", "key", total.alias("gone"), F.size("begins").cast("long").alias("spans"), F.sha2("kept", 256).alias("left_sha")).dropDuplicates(["doc_id", "key"])
     zero = F.lit(0).cast("long")
-    return base.join(changed, ["doc_id", "sha"], "left").select(F.when(F.col("doc_id") != NONE, F.col("doc_id")).alias("doc_id"), "n_bytes", F.coalesce("gone", zero).alias("n_removed"), F.coalesce("spans", zero).alias("n_spans"), F.coalesce("left_sha", "sha").alias("kept_sha256"))
+    return base.join(changed, ["doc_id", "key"], "left").select(F.col("given").alias("doc_id"), "n_bytes", F.coalesce("gone", zero).alias("n_removed"), F.coalesce("spans", zero).alias("n_spans"), F.coalesce("left_sha", "sha").alias("kept_sha256"))
