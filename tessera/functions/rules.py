@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import variants
+
 # Fixed values of the rules.
 HEADINGS = ("c", "sql", "-", ".", ":", ";", "указатели", "jquery", "deepcopy")
 TRAILING_WORDS = (
@@ -12,10 +16,6 @@ TRAILING_WORDS = (
     "который", "которая", "которое", "которые", "если", "когда", "чтобы", "for", "to", "with", "and", "or", "that", "which", "if", "when",
 )
 TRAILING_PHRASE = " у нас"
-LAYOUT_SCOPE = "ozon"
-LAYOUT_LABELS = ("c", "sql", "bi", "java", "frontend", "backend", "product", "ds", "scala", "go", ":", "-")
-LAYOUT_PARTS = ("https://matrix.o3.ru/trials", "задачник", "go ос, сети и эксплуатация")
-LAYOUT_START = "аналитика данных "
 TASK_KINDS = ("discussion_prompt", "design_exercise", "runtime_task_reference", "historical_content")
 SEMANTIC_SHAPE = (
     "empty_prompt", "prompt_equals_answer", "prompt_matches_title", "prompt_matches_topic", "pdf_heading_prompt", "placeholder_title",
@@ -96,24 +96,30 @@ def prompt_codes(prompt: Column, answer: Column, title: Column, topic: Column) -
     return F.when(p == "", F.array(F.lit("empty_prompt"))).otherwise(gathered(rules))
 
 
-def is_layout_line(line: Column) -> Column:
+@dataclass(frozen=True)
+class Layout:
+    """What the sheets of one scope leave in extracted text: labels are whole lines, parts are found anywhere in one, starts at its begin; all in lower case."""
+
+    scope: str
+    labels: tuple[str, ...] = ()
+    parts: tuple[str, ...] = ()
+    starts: tuple[str, ...] = ()
+
+
+def is_layout_line(line: Column, layout: Layout) -> Column:
     own, v = trimmed(line), comparable(line)
-    parts = v.startswith(LAYOUT_START)
-    for part in LAYOUT_PARTS:
-        parts = parts | v.contains(part)
-    return own.startswith("GO ") | (own == "GO") | own.startswith(": :") | parts | v.rlike("^[0-9]+/[0-9]+$") | v.isin(*LAYOUT_LABELS)
+    out = own.startswith("GO ") | (own == "GO") | own.startswith(": :") | v.rlike("^[0-9]+/[0-9]+$") | v.isin(*layout.labels)
+    for part in layout.parts:
+        out = out | v.contains(part)
+    for start in layout.starts:
+        out = out | v.startswith(start)
+    return out
 
 
-def has_layout_artifact(scope: Column, text: Column) -> Column:
+def has_layout_artifact(scope: Column, text: Column, layout: Layout) -> Column:
     """Footers and sidebar marks of one scope's extracted sheets; authored text elsewhere may hold the same words."""
     lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n", "\n"), "\n")
-    return F.coalesce(F.lower(trimmed(scope)) == LAYOUT_SCOPE, F.lit(False)) & F.exists(lines, is_layout_line)
-
-
-def json_strings(payload: Column) -> Column:
-    """All string values, at any depth, of a JSON text: quoted runs that no colon follows, decoded."""
-    quoted = F.regexp_extract_all(F.coalesce(payload, F.lit("")), F.lit(r'"((?:[^"\\]|\\.)*)"\s*(?!\s*:)(?=[,\]}\s]|$)'), F.lit(1))
-    return F.transform(quoted, lambda s: F.from_json(F.concat(F.lit('{"v":"'), s, F.lit('"}')), "v string")["v"])
+    return F.coalesce(F.lower(trimmed(scope)) == layout.scope, F.lit(False)) & F.exists(lines, lambda line: is_layout_line(line, layout))
 
 
 def title_codes(title: Column) -> Column:
@@ -126,9 +132,9 @@ def card_codes(title: Column, topic: Column, scope: Column, en: tuple[Column, Co
     bad = F.filter(sections, lambda s: has_artifact(s["title"]) | has_artifact(s["body"]) | has_layout_artifact(scope, s["body"]))
     first = F.try_element_at(bad, F.lit(1))
     section = F.when(F.size(bad) > 0, F.array(F.when(has_artifact(first["title"]) | has_artifact(first["body"]), F.lit("pdf_artifact")).otherwise("pdf_layout_artifact"))).otherwise(none)
-    strings = json_strings(payload)
+    strings = variants.strings(payload)
     parts = F.array(*[F.get_json_object(payload, f"$.{k}") for k in ("question", "sections", "task", "rubric", "choices")])
-    told = F.flatten(F.transform(F.array_compact(parts), lambda p: F.when(p.rlike(r"^\s*[\[{]"), json_strings(p)).otherwise(F.array(p))))
+    told = F.flatten(F.transform(F.array_compact(parts), lambda p: F.when(p.rlike(r"^\s*[\[{]"), variants.strings(p)).otherwise(F.array(p))))
     whole = gathered([(F.exists(strings, has_artifact), "pdf_artifact"), (F.exists(told, lambda s: has_layout_artifact(scope, s)), "pdf_layout_artifact")])
     russian = F.when(~blank(ru[0]) | ~blank(ru[1]), prompt_codes(*ru, title, topic)).otherwise(none)
     return F.array_distinct(F.concat(title_codes(title), prompt_codes(*en, title, topic), russian, section, F.coalesce(whole, none)))

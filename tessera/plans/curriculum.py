@@ -58,12 +58,13 @@ _TITLES = "(SELECT unnest([" + ", ".join("'" + t.replace("'", "''") + "'" for t
 
 
 @register(
-    f"""SELECT 'topic' AS kind, 'topic.' || trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-') AS key, title FROM {_TITLES}
-    UNION ALL SELECT 'program', '{taxonomy.PROGRAM}', '{taxonomy.PROGRAM_TITLE}' UNION ALL SELECT 'path', col0, col1 FROM {_values(taxonomy.PATHS)} UNION ALL SELECT 'domain', col0, col1 FROM {_values(taxonomy.DOMAINS)}""",
+    f"""SELECT t.*, (SELECT count(*) FROM documents d WHERE 'topic.' || lower(d.source) = t.key) AS cards FROM (SELECT 'topic' AS kind, 'topic.' || trim(regexp_replace(lower(title), '[^a-z0-9]+', '-', 'g'), '-') AS key, title FROM {_TITLES}
+    UNION ALL SELECT 'program', '{taxonomy.PROGRAM}', '{taxonomy.PROGRAM_TITLE}' UNION ALL SELECT 'path', col0, col1 FROM {_values(taxonomy.PATHS)} UNION ALL SELECT 'domain', col0, col1 FROM {_values(taxonomy.DOMAINS)}) t""",
     cards=False,
 )
 def taxonomy_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return taxonomy.registry(spark)
+    cards_ = cards(spark, sf_dir, "doc_id", "topic").groupBy(F.col("topic").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    return taxonomy.registry(spark).join(cards_, "key", "left").select("kind", "key", "title", F.coalesce("n", F.lit(0)).alias("cards"))
 
 
 _UUID = "substr(content_hash, 1, 8) || '-' || substr(content_hash, 9, 4) || '-' || substr(content_hash, 13, 4) || '-' || substr(content_hash, 17, 4) || '-' || substr(content_hash, 21, 12)"
@@ -161,7 +162,7 @@ _STATUS = "CASE WHEN id % 4 = 0 THEN 'accepted' ELSE 'proposed' END"
 
 
 @register(
-    f"""WITH RECURSIVE {_PROPOSED}, k AS (SELECT *, {_STATUS} AS status FROM e WHERE id < 2000 AND kind IN ('related', 'prerequisite', 'follow_up')),
+    f"""WITH RECURSIVE {_PROPOSED}, k AS (SELECT *, {_STATUS} AS status FROM e WHERE kind IN ('related', 'prerequisite', 'follow_up')),
     a AS (SELECT DISTINCT src, dst FROM k WHERE status = 'accepted' AND kind = 'prerequisite'), w AS (SELECT DISTINCT src, dst FROM k WHERE id % 3 = 0 AND kind = 'prerequisite' AND status <> 'accepted'),
     r AS (SELECT w.dst AS start, a.dst AS node FROM w JOIN a ON a.src = w.dst UNION SELECT r.start, a.dst FROM r JOIN a ON a.src = r.node),
     d AS (SELECT k.*, CASE WHEN k.id % 3 = 0 THEN CASE WHEN status = 'accepted' THEN 'noop' WHEN confidence = 1 AND rationale = '' AND k.id % 6 <> 0 THEN 'needs_evidence' WHEN rationale = '' AND k.id % 6 <> 0 THEN 'needs_rationale'
@@ -170,19 +171,20 @@ _STATUS = "CASE WHEN id % 4 = 0 THEN 'accepted' ELSE 'proposed' END"
     cards=False,
 )
 def edge_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every third proposal of the first two thousand is accepted, with a reviewer's rationale for every sixth."""
+    """Every third proposal is accepted, with a reviewer's rationale for every sixth."""
     from .lifecycle import with_checkpoints
 
     with_checkpoints(spark)
-    p = proposed(spark, sf_dir).filter((F.col("id") < 2000) & F.col("kind").isin("related", "prerequisite", "follow_up")).withColumn("status", F.expr(_STATUS))
+    p = proposed(spark, sf_dir).filter(F.col("kind").isin("related", "prerequisite", "follow_up")).withColumn("status", F.expr(_STATUS))
     d = p.filter("id % 3 = 0").select("id", F.lit("accepted").alias("decision"), F.when(F.col("id") % 6 == 0, "seen").otherwise("").alias("reviewer_rationale"))
     return graph.decided_edges(p, d).select("id", "result", "status")
 
 
 @register(
-    f"""WITH {_PROPOSED}, a AS (SELECT * FROM e WHERE kind IN ('related', 'follow_up') AND id % 4 = 0), j AS (SELECT a.*, src::INT % 10 AS s, dst::INT % 10 AS d FROM a)
+    f"""WITH RECURSIVE {_PROPOSED}, a AS (SELECT * FROM e WHERE kind IN ('related', 'follow_up', 'prerequisite') AND {_STATUS} = 'accepted'),
+    r AS (SELECT DISTINCT src, dst FROM a WHERE kind = 'prerequisite' UNION SELECT r.src, p.dst FROM r JOIN a p ON p.src = r.dst AND p.kind = 'prerequisite'), y AS (SELECT count(DISTINCT src) AS cycles FROM r WHERE src = dst), j AS (SELECT a.*, src::INT % 10 AS s, dst::INT % 10 AS d FROM a)
     SELECT count(*) AS accepted, count(*) FILTER (WHERE s = 3 OR d = 3 OR src::INT > 5000) AS stale, count(*) FILTER (WHERE s = 1 OR d = 1) AS archived_targets, count(*) FILTER (WHERE s IN (1, 2) OR d IN (1, 2)) AS invalid_targets,
-      coalesce(sum((rationale = '')::INT + (confidence = 1 AND rationale = '')::INT), 0)::BIGINT AS evidence_gaps, count(*) FILTER (WHERE contains(lower(source), 'smoke')) AS test_provenance FROM j""",
+      coalesce(sum((rationale = '')::INT + (confidence = 1 AND rationale = '')::INT), 0)::BIGINT AS evidence_gaps, count(*) FILTER (WHERE contains(lower(source), 'smoke')) AS test_provenance, (SELECT cycles FROM y) AS cycles, count(*) FILTER (WHERE s IN (1, 2, 3) OR d IN (1, 2, 3) OR src::INT > 5000 OR rationale = '' OR contains(lower(source), 'smoke')) > 0 OR (SELECT cycles FROM y) > 0 AS blocked FROM j""",
     cards=False,
 )
 def graph_release_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,12 +192,12 @@ def graph_release_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lifecycle import with_checkpoints
 
     with_checkpoints(spark)
-    p = proposed(spark, sf_dir).filter(F.col("kind").isin("related", "follow_up") & (F.col("id") % 4 == 0))
-    p = p.select("*", F.lit("accepted").alias("status"), F.lit("r1").alias("src_revision"), F.lit("r1").alias("dst_revision"), F.lit("editor").alias("decided_by"))
+    p = proposed(spark, sf_dir).filter(F.col("kind").isin("related", "follow_up", "prerequisite")).withColumn("status", F.expr(_STATUS))
+    p = p.select("*", F.lit("r1").alias("src_revision"), F.lit("r1").alias("dst_revision"), F.lit("editor").alias("decided_by"))
     keys = p.select(F.col("src").alias("key")).union(p.select("dst")).distinct()
     d = F.col("key").cast("int") % 10
     cards_ = keys.select("key", F.when(d == 1, "archived").when(d == 2, "draft").otherwise("published").alias("status"), F.when((d == 3) | (F.col("key").cast("int") > 5000), "r2").otherwise("r1").alias("revision"))
-    return graph.release_gates(p, cards_).select("accepted", "stale", "archived_targets", "invalid_targets", "evidence_gaps", "test_provenance")
+    return graph.release_gates(p, cards_).select("accepted", "stale", "archived_targets", "invalid_targets", "evidence_gaps", "test_provenance", "cycles", "blocked")
 
 
 @register(

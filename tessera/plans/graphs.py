@@ -28,17 +28,18 @@ def graph_neighborhood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(
-    """WITH RECURSIVE e AS (SELECT DISTINCT user_id AS src, (event_id * 7) % 1000 AS dst FROM events WHERE user_id < 1000 AND event_id % 3 = 0),
+    """WITH RECURSIVE e AS (SELECT DISTINCT a.user_id AS src, b.user_id AS dst FROM events a JOIN events b ON b.event_id = a.event_id + 1 AND a.event_type = 'purchase' AND b.event_type = 'purchase'),
     r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON r.dst = e.src) SELECT DISTINCT src AS node FROM r WHERE src = dst""",
     cards=False,
 )
 def graph_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Users on a cycle of the edges that every third event of the first thousand users stands for."""
+    """Users on a cycle of purchases: an edge leads from the user of one to that of the next event, if it is a purchase too."""
     from .lifecycle import with_checkpoints
 
     with_checkpoints(spark)
-    e = table(spark, sf_dir, "events").filter("user_id < 1000 AND event_id % 3 = 0")
-    return cyclic_nodes(e.select(F.col("user_id").alias("src"), ((F.col("event_id") * 7) % 1000).alias("dst")))
+    e = table(spark, sf_dir, "events").filter("event_type = 'purchase'")
+    after = e.select((F.col("event_id") - 1).alias("event_id"), F.col("user_id").alias("dst"))
+    return cyclic_nodes(e.select("event_id", F.col("user_id").alias("src")).join(after, "event_id").select("src", "dst"))
 
 
 #: How the events of the tables stand for edges: their types are kinds, their values confidences.

@@ -26,6 +26,3 @@ def register(oracle: str | None = None, cards: bool = True):
         return f
 
     return add
-
-
-from . import catalog, graphs, lifecycle, review, search, curriculum  # noqa: E402, F401  each registers its queries

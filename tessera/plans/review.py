@@ -10,7 +10,7 @@ from ..sources.cards import cards, table
 from ..operators import review
 from ..operators.review import nearest_pairs
 from .registry import register
-from .search import _GRAMS
+from .sql import GRAMS
 
 
 @register("SELECT 'prompt-' || substr(sha256(p), 1, 16) AS group_id, count(*) AS n, min(stable_key) AS first_key FROM (SELECT stable_key, lower(trim(regexp_replace(prompt, '[ \\t\\n\\r]+', ' ', 'g'))) AS p FROM cards) WHERE p <> '' GROUP BY p HAVING count(*) >= 2")
@@ -73,7 +73,7 @@ def similar_prompts(prompts: DataFrame, threshold: float = 0.55) -> DataFrame:
 
 
 @register(
-    f""", p AS (SELECT min(stable_key) AS k, {_GRAMS.format('prompt')} AS g FROM cards GROUP BY prompt),
+    f""", p AS (SELECT min(stable_key) AS k, {GRAMS.format('prompt')} AS g FROM cards GROUP BY prompt),
     s AS (SELECT a.k AS a, b.k AS b, len(list_intersect(a.g, b.g)) * 1.0 / nullif(len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)), 0) AS s FROM p a JOIN p b ON a.k < b.k)
     SELECT a, b, round(s, 6) AS similarity FROM s WHERE s >= 0.55 /* FROM cards */"""
 )
@@ -114,7 +114,7 @@ def calibration_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     f""", c AS (SELECT doc_id, stable_key, prompt, sha256(prompt || chr(9) || coalesce(short_answer, '')) AS body_hash, embedding::DOUBLE[] AS v FROM cards LEFT JOIN embeddings ON vec_id = doc_id),
-    i AS (SELECT doc_id AS stage_id, * EXCLUDE (doc_id), {_GRAMS.format('prompt')} AS g FROM c WHERE doc_id % 100 = 0), o AS (SELECT *, {_GRAMS.format('prompt')} AS g FROM c),
+    i AS (SELECT doc_id AS stage_id, * EXCLUDE (doc_id), {GRAMS.format('prompt')} AS g FROM c WHERE doc_id % 100 = 0), o AS (SELECT *, {GRAMS.format('prompt')} AS g FROM c),
     p AS (SELECT stage_id, o.stable_key AS related_key, i.body_hash = o.body_hash AS same, len(list_intersect(i.g, o.g)) * 1.0::DOUBLE / nullif(len(i.g) + len(o.g) - len(list_intersect(i.g, o.g)), 0) AS lex,
       list_dot_product(i.v, o.v) / (sqrt(list_dot_product(i.v, i.v)) * sqrt(list_dot_product(o.v, o.v))) AS sem FROM i JOIN o ON i.stable_key <> o.stable_key),
     e AS (SELECT stage_id, related_key, 'exact_duplicate' AS candidate_type FROM p WHERE same),

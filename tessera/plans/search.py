@@ -16,6 +16,7 @@ from ..functions.rules import ACCENTED, PLAIN
 from ..operators.review import nearest_pairs
 from ..sources.cards import cards, table
 from .registry import register
+from .sql import GRAMS
 
 K, MIN_RANK, GATE_TRIGRAM, GATE_SEMANTIC, MIN_SEMANTIC = 60, 0.02, 0.15, 0.50, 0.505
 #: A request is a bounded set of queries, which the driver parses; more are an error.
@@ -122,7 +123,6 @@ def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.union(spark.sql("SELECT -1L AS query_id, 'question.d7' AS query"))
 
 
-_GRAMS = r"list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i::INT, 3)))))"
 _WORDS = r"list_filter(regexp_split_to_array(lower(strip_accents({0})), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')"
 
 
@@ -137,7 +137,7 @@ _WORDS = r"list_filter(regexp_split_to_array(lower(strip_accents({0})), '[^\p{{L
       UNION ALL SELECT -3, 1, w[3] || ' ' || w[4], '', '' FROM b WHERE item_id = 1
       UNION ALL SELECT -4, 0, w[1] || ' ' || w[2], '', w[3] FROM b WHERE item_id = 2),
     alts AS (SELECT query_id, alt, list_distinct({_WORDS.format('need')}) AS need, array_to_string({_WORDS.format('phrase')}, ' ') AS phrase, array_to_string({_WORDS.format('avoid')}, ' ') AS avoid FROM a),
-    d AS (SELECT doc_id, stable_key, slug, {_WORDS.format('text')} AS words, {_GRAMS.format('prompt')} AS g FROM cards),
+    d AS (SELECT doc_id, stable_key, slug, {_WORDS.format('text')} AS words, {GRAMS.format('prompt')} AS g FROM cards),
     hit AS (SELECT query_id, alt, stable_key, need, words FROM alts, d WHERE len(need) > 0 AND list_has_all(words, need)
       AND (phrase = '' OR contains(' ' || array_to_string(words, ' ') || ' ', ' ' || phrase || ' ')) AND (avoid = '' OR NOT contains(' ' || array_to_string(words, ' ') || ' ', ' ' || avoid || ' '))),
     occ AS (SELECT * FROM (SELECT query_id, alt, stable_key, len(need) AS n, need, unnest(words) AS term, generate_subscripts(words, 1) AS pos FROM hit) WHERE list_contains(need, term)),
@@ -146,7 +146,7 @@ _WORDS = r"list_filter(regexp_split_to_array(lower(strip_accents({0})), '[^\p{{L
       GROUP BY ALL HAVING count(*) = n),
     covers AS (SELECT query_id, alt, stable_key, low, min(pos) AS pos FROM ends GROUP BY ALL),
     f AS (SELECT query_id, stable_key, max(s) AS fts FROM (SELECT query_id, alt, stable_key, sum(1.0::DOUBLE / (pos - low + 1)) AS s FROM covers GROUP BY ALL) GROUP BY ALL),
-    t AS (SELECT * FROM (SELECT query_id, stable_key, len(list_intersect(g, qg)) * 1.0::DOUBLE / nullif(len(g) + len(qg) - len(list_intersect(g, qg)), 0) AS trigram FROM (SELECT query_id, {_GRAMS.format('query')} AS qg FROM q0), d) WHERE trigram >= 0.15),
+    t AS (SELECT * FROM (SELECT query_id, stable_key, len(list_intersect(g, qg)) * 1.0::DOUBLE / nullif(len(g) + len(qg) - len(list_intersect(g, qg)), 0) AS trigram FROM (SELECT query_id, {GRAMS.format('query')} AS qg FROM q0), d) WHERE trigram >= 0.15),
     x AS (SELECT query_id, stable_key, 1.0::DOUBLE AS exact FROM q0, d WHERE lower(query) IN (lower(stable_key), lower(slug))),
     v AS (SELECT * FROM (SELECT e.vec_id AS query_id, d.stable_key, list_dot_product(e.embedding::DOUBLE[], o.embedding::DOUBLE[]) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(o.embedding::DOUBLE[], o.embedding::DOUBLE[]))) AS semantic
       FROM embeddings e JOIN benchmark ON vec_id = item_id CROSS JOIN embeddings o JOIN d ON d.doc_id = o.vec_id) WHERE semantic >= 0.5),
@@ -173,30 +173,6 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = 10, least: float = -
     return pairs.withColumnRenamed("q", "query_id").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def planes(dimensions: int, n: int, seed: int = 5) -> list[list[float]]:
-    import random
-
-    rng = random.Random(seed)
-    return [[rng.gauss(0, 1) for _ in range(dimensions)] for _ in range(n)]
-
-
-def approximate(queries: DataFrame, corpus: DataFrame, dimensions: int, k: int = 10, tables: int = 24, bits: int = 4) -> DataFrame:
-    """As ``nearest``, among vectors that fall on the same side of ``bits`` random planes as the query in one of ``tables`` tables at least: a share of the pairs that
-    falls with 2**bits. Every vector is indexed; recall is measured in the tests."""
-    drawn = planes(dimensions, tables * bits)
-
-    def codes(v):
-        side = F.array(*[(dot(v, F.array(*map(F.lit, p))) > 0).cast("int") for p in drawn])
-        return F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.concat(t.cast("string"), F.lit(":"), F.array_join(F.slice(side, t * bits + 1, bits), "")))
-
-    left = queries.withColumn("v", normalised_vector(F.col("q"))).select("query_id", "v", F.explode(codes(F.col("v"))).alias("code"))
-    right = corpus.withColumn("w", normalised_vector(F.col("embedding"))).select("vec_id", F.explode(codes(F.col("w"))).alias("code"))
-    met = left.select("query_id", "code").join(right, "code").filter("vec_id <> query_id").select("query_id", "vec_id").distinct()
-    scored = met.join(queries.select("query_id", normalised_vector(F.col("q")).alias("v")), "query_id").join(corpus.select("vec_id", normalised_vector(F.col("embedding")).alias("w")), "vec_id")
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "vec_id")
-    return scored.select("query_id", "vec_id", dot(F.col("v"), F.col("w")).alias("similarity")).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
 @register(
     """WITH p AS (SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_dot_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_dot_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[]))) AS s
       FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
@@ -211,16 +187,6 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(q, e).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
-@register(cards=False)
-def vector_topk_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same queries by random planes, and the recall of each against the exact list."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    q = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    got = approximate(q, e, 64).select("query_id", "vec_id", F.lit(1).alias("got"))
-    both = nearest(q, e).select("query_id", "vec_id").join(got, ["query_id", "vec_id"], "left")
-    return both.groupBy("query_id").agg(F.count("got").alias("found"), F.count(F.lit(1)).alias("of"))
-
-
 @register(
     """WITH e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), x AS (SELECT * FROM e WHERE vec_id % 10 = 0),
     p AS (SELECT t.vec_id AS target, x.label AS capability, max(list_dot_product(t.v, x.v) / (sqrt(list_dot_product(t.v, t.v)) * sqrt(list_dot_product(x.v, x.v)))) AS s FROM e t JOIN x ON t.vec_id % 10 <> 0 GROUP BY ALL),

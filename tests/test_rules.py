@@ -37,9 +37,10 @@ def test_prompts_to_keep(spark):
 
 
 def test_layout_and_titles(spark):
-    d = spark.createDataFrame([(0, "Ozon", "text\nGO Backend\nmore"), (1, " ozon", "a\n12/40\nb"), (2, "Ozon", "go func() {}"), (3, "Other", "GO x\n1/2"), (4, "OZON", ": : x"), (5, None, "sql")], "n int, scope string, t string")
-    got = [r.x for r in d.select("n", rules.has_layout_artifact(C("scope"), C("t")).alias("x")).orderBy("n").collect()]
-    assert got == [True, True, False, False, True, False]
+    layout = rules.Layout("sheets", ("sql",), ("workbook",), ("data analysis ",))
+    d = spark.createDataFrame([(0, "Sheets", "text\nGO Backend\nmore"), (1, " sheets", "a\n12/40\nb"), (2, "Sheets", "go func() {}"), (3, "Other", "GO x\n1/2"), (4, "SHEETS", ": : x"), (5, None, "sql"), (6, "sheets", "SQL"), (7, "sheets", "see the Workbook here"), (8, "sheets", "Data analysis 2"), (9, "sheets", "of data analysis")], "n int, scope string, t string")
+    got = [r.x for r in d.select("n", rules.has_layout_artifact(C("scope"), C("t"), layout).alias("x")).orderBy("n").collect()]
+    assert got == [True, True, False, False, True, False, True, True, True, False]
     d = spark.createDataFrame([(0, "x := 1"), (1, "func main(a)"), (2, "map[string]int"), (3, "{a = b}"), (4, "How maps work"), (5, "—"), (6, "")], "n int, t string")
     got = [r.x for r in d.select("n", rules.title_codes(C("t")).alias("x")).orderBy("n").collect()]
     assert got == [["code_fragment_title"]] * 4 + [[], ["placeholder_title"], ["placeholder_title"]]
