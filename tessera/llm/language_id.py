@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import need, tune
@@ -132,9 +132,10 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], labels: int, epochs: int
     return w, min(np.geomspace(0.05, 20, 121), key=loss)
 
 
-def identify(spark: SparkSession, docs: DataFrame, fold: int = 2, folds: int = 4, sample: int = 3000, epochs: int = 3, scale: float = 30.0) -> DataFrame:
+def identify(spark: SparkSession, docs: DataFrame, fold: int = 2, folds: int = 4, sample: int = 3000, least: int = 100, epochs: int = 3, scale: float = 30.0) -> DataFrame:
     """doc_id, held_out, lang_pred, score: one row for each input row.
 
+    The classifier is fitted on ``sample`` documents: ``least`` of each language first, where there are so many, and others by a hash of their ids.
     Documents of the fold teach nothing, nor do those with a null text, lang or doc_id. A text that is null or has no letter is
     ``und`` with score 0, as is every text if there is nothing to learn from.
     """
@@ -158,7 +159,10 @@ def identify(spark: SparkSession, docs: DataFrame, fold: int = 2, folds: int = 4
                 values.append((v / max(v.sum(), 1e-9)).astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(values, pa.binary()), b.column(1), pa.array(has)], names=["k", "v", "lang", "has"])
 
-    picked = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("text", "lang")
+    own = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
+    own = own.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("r") <= sample)  # Spark trims each task's rows first
+    ids = own.orderBy(F.col("r") > least, "h", "doc_id").limit(sample).select("doc_id")
+    picked = known.join(F.broadcast(ids), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("text", "lang")  # at most ``sample`` ids are broadcast
     rows = picked.mapInArrow(counted, "k binary, v binary, lang string, has boolean").filter("has").collect()  # at most ``sample`` rows
     names = sorted({r["lang"] for r in rows})
     if rows:

@@ -250,6 +250,19 @@ def test_language(spark, empty):
     assert identify(spark, spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
 
 
+def test_rare_language_is_learnt(spark):
+    from tessera.llm.language_id import identify
+
+    words = {"en": ["the", "thing", "ering"], "xx": ["qoz", "qazq", "zuqo"]}
+    data = [(k, " ".join(random.choices(words["xx" if k % 200 == 7 else "en"], k=30)), "xx" if k % 200 == 7 else "en") for k in range(2000)]
+    data += [(5000 + k, t, x) for k, (_, t, x) in enumerate(data[:50])] + data[:20]  # equal texts, repeated rows
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string").selectExpr("*", "'x' AS score", "1 AS held_out")
+    got = identify(spark, df, sample=120, least=5).collect()
+    want = {k: x for k, _, x in data}
+    assert len(got) == len(data) and all(r.lang_pred == want[r.doc_id] for r in got)
+    assert [r.held_out for r in got] == [zlib.crc32(str(r.doc_id).encode()) % 4 == 2 for r in got]
+
+
 def test_toxic(spark, empty):
     from tessera.llm.toxicity import not_toxic, severity
 
@@ -276,6 +289,46 @@ def test_leaks(spark, docs, empty):
     assert leaks(spark, empty, items).count() == 0
 
 
+def test_leaks_of_items_with_one_id(spark):
+    from tessera.llm.decontamination import clean, leaks
+
+    rng = random.Random(8)
+    p, q, other = (" ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(40)) for _ in range(3))
+    items = spark.createDataFrame([(1, p), (1, q), (1, q), (2, p)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, f"{other} {p}"), (2, q), (3, other), (4, None)], "doc_id long, text string")
+    for block in (5000, 1):
+        assert sorted((r.doc_id, r.item_id) for r in leaks(spark, docs, items, block=block).collect()) == [(1, 1), (1, 2), (2, 1)]
+        assert sorted(r.doc_id for r in clean(spark, docs, items, block=block).collect()) == [3, 4]
+
+
+def test_reworded_copies_against_all_pairs(spark):
+    """Of copies with 10 to 38 % of their words replaced, at least nine of ten that the check of common subsequences passes are found by the cosine search."""
+    from tessera.llm.decontamination import leaks
+
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choices("abcdefghijklm", k=rng.randrange(3, 9))) for _ in range(800)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = {i: text(rng.randrange(15, 60)) for i in range(30)}
+    docs = {}
+    for k in range(120):
+        copy = [rng.choice(vocabulary) if rng.random() < rng.uniform(0.1, 0.38) else w for w in items[k % 30]] if k % 2 else []
+        docs[k] = text(rng.randrange(0, 80)) + copy + text(rng.randrange(0, 80))
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    # windows of the widths that a passing copy can have, all of them
+    want = {(d, i) for d, t in docs.items() for i, m in items.items() if any(common(m, t[a : a + 2 * len(m)]) >= 0.6 * len(m) for a in range(0, max(1, len(t) - len(m)), max(1, len(m) // 4)))}
+    got = {(r.doc_id, r.item_id) for r in leaks(spark, spark.createDataFrame([(d, " ".join(t)) for d, t in docs.items()], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(m)) for i, m in items.items()], "item_id long, text string")).collect()}
+    assert len(want) >= 40 and len(got & want) >= 0.9 * len(want)
+    assert all(common(items[i], docs[d]) >= 0.6 * len(items[i]) for d, i in got)
+
+
 def test_leaks_of_long_items(spark):
     """Items of more than four times the widest basic window, copied verbatim."""
     from tessera.llm.decontamination import clean, leaks
