@@ -250,13 +250,14 @@ def finder(spark: SparkSession, docs: DataFrame, items: list[tuple[int, np.ndarr
 
 
 def _blocks(benchmark: DataFrame, block: int):
-    """The items by blocks of at most ``block``, in order of item_id: word hashes of text and answer."""
+    """The items by blocks of at most ``block``, in order of item_id and a hash of their text and answer: word hashes of both. Items that share an id are items of their own."""
     answered = "answer" in benchmark.columns
     own = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text", (F.col("answer") if answered else F.lit(None)).cast("string").alias("answer"))
-    own = own.filter("item_id is not null and text is not null").dropDuplicates(["item_id"])
+    own = own.filter("item_id is not null and text is not null").distinct().withColumn("key", F.xxhash64("text", "answer"))
     last = None
     while True:
-        part = (own if last is None else own.filter(F.col("item_id") > last)).orderBy("item_id").limit(block)
+        rest = own if last is None else own.filter((F.col("item_id") > last[0]) | ((F.col("item_id") == last[0]) & (F.col("key") > last[1])))
+        part = rest.orderBy("item_id", "key").limit(block)
         rows = part.collect()
         if not rows:
             return
@@ -268,14 +269,14 @@ def _blocks(benchmark: DataFrame, block: int):
                 items.append((r["item_id"], h, a))
         if items:
             yield items, part
-        last = rows[-1]["item_id"]
+        last = rows[-1]["item_id"], rows[-1]["key"]
 
 
 def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, rank: int = 96, cosine: float = 0.35, share: float = 0.6, answer_share: float = 0.5, block: int = 5000) -> DataFrame:
     """doc_id, item_id, first_word, cosine, lcs_share, answer_share: a row for each document and item that it leaks; clean documents have none.
 
-    ``answer`` of the benchmark is the item's answer; without it answer_share is null and the passage alone decides. Items with a null or
-    repeated item_id, null text or fewer than four words are left out. Null and empty documents are clean. Repeated rows are found each.
+    ``answer`` of the benchmark is the item's answer; without it answer_share is null and the passage alone decides. Items with a null
+    item_id, null text or fewer than four words are left out; different items that share an item_id are each looked for, equal ones once. Null and empty documents are clean. Repeated rows are found each.
     """
     tune(spark, 1024)
     docs = need(docs, "doc_id", "text")
@@ -300,8 +301,9 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, rank: int
 def clean(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, rank: int = 96, cosine: float = 0.35, share: float = 0.6, answer_share: float = 0.5, block: int = 5000) -> DataFrame:
     """The documents without a leak, with all their columns, in one map over each block of the benchmark."""
     tune(spark, 1024)
+    whole = docs  # frequencies are those of all documents, whatever earlier blocks took away
     for items, part in _blocks(benchmark, block):
-        find = finder(spark, docs, items, part, rank, cosine, share, answer_share)
+        find = finder(spark, whole, items, part, rank, cosine, share, answer_share)
         at = docs.columns.index("text")
 
         def keep(batches, find=find, at=at):
