@@ -1,3 +1,3 @@
 """Registered queries: each module registers its own when the package is imported."""
 
-from . import catalog, curriculum, graphs, guards, index, lifecycle, payloads, registry, review, search, sheets, streams  # noqa: F401
+from . import catalog, crosswalks, curriculum, graphs, guards, index, lifecycle, payloads, registry, review, search, sheets, streams  # noqa: F401
