@@ -5,7 +5,7 @@ vectors are dealt to cells by a hash, and queries go to all cells of their lists
 them meet in one shuffle; a cell compares by one product of matrices and sends its best for each query.
 
 What a search compares is the sum of the lists it probes and the centroids, told with the result: the share falls with more lists, and the recall with fewer probes. Where vectors
-have no clusters no choice of lists helps: there a recall of 0.9 takes about half of all pairs.
+have no clusters no choice of lists helps: there a recall of 0.9 takes more than half of all pairs.
 """
 
 from __future__ import annotations
@@ -41,7 +41,9 @@ class InvertedLists:
 
         own = vectors.select("id", normalised_vector(F.col("v")).alias("v"))
         some = own.orderBy(F.xxhash64("id"), "id").limit(sample).select(array_to_vector("v").alias("features"))
-        model = KMeans(k=lists, seed=seed, distanceMeasure="cosine", maxIter=8).fit(some.repartition(8).cache())
+        some = some.repartition(8).cache()
+        model = KMeans(k=lists, seed=seed, distanceMeasure="cosine", maxIter=8).fit(some)
+        some.unpersist()
         centroids = np.array(model.clusterCenters())
         centroids /= np.maximum(np.linalg.norm(centroids, axis=1, keepdims=True), 1e-12)
 

@@ -3,29 +3,22 @@
 from __future__ import annotations
 
 import math
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.inverted import InvertedLists, recall
 from ..sources.cards import table
-from ..sources.scratch import shared_dir
+from ..sources.scratch import Scratch
 from .registry import register
 from .search import nearest
 
 
-def _searched(spark: SparkSession, sf_dir: str, probed: float = 0.5) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+def _searched(spark: SparkSession, sf_dir: str, probed: float = 0.7) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     """(what the index finds, the exact ranks, lists and their sizes, number of vectors) for every vector whose id is divisible by 100; about sqrt(n) lists, of which the share ``probed`` is looked
-    through. The vectors of the tables have no clusters, so that a recall of 0.9 takes half of them."""
+    through. The vectors of the tables have no clusters, so that a recall of 0.9 takes most of them."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
-    folder = f"{shared_dir(spark)}/lists-{uuid.uuid4().hex[:12]}"
-    tables = iter(range(100))
-
-    def write(df: DataFrame) -> DataFrame:
-        df.write.parquet(path := f"{folder}/{next(tables)}")
-        return spark.read.schema(df.schema).parquet(path)
-
+    write = Scratch(spark, "lists").write
     n = e.count()
     lists = max(1, math.isqrt(n))
     index = InvertedLists.build(e, lists, write=write)

@@ -113,7 +113,7 @@ def outbox_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("SELECT min(event_id) AS event_id, user_id, event_type FROM events GROUP BY user_id, event_type", cards=False)
 def outbox_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One event an idempotency key, the first."""
-    return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+    return outbox.idempotent(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type"), ["user_id", "event_type"], "event_id")
 
 
 @register("SELECT date_trunc('hour', ts)::VARCHAR AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL", cards=False)

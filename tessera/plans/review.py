@@ -140,6 +140,9 @@ def import_review(spark: SparkSession, sf_dir: str) -> DataFrame:
 def duplicate_group_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal prompts; pairs of near ids whose sum is divisible by three stand in for decided ones."""
     c = cards(spark, sf_dir, "doc_id", "stable_key", "prompt").select("doc_id", F.col("stable_key").alias("key"), comparable(F.col("prompt")).alias("prompt")).filter("prompt <> ''")
-    x, y = c.select("prompt", F.col("key").alias("a"), F.col("doc_id").alias("i")), c.select("prompt", F.col("key").alias("b"), F.col("doc_id").alias("j"))
-    near = x.join(y, "prompt").filter("a < b AND (i + j) % 3 = 0 AND abs(i - j) <= 500").select("a", "b", F.lit("merge").alias("decision"))
+    # ids at most 500 apart lie in the same stretch of 500 or in neighbouring ones, so that no prompt pairs all of its cards
+    stretch = F.floor(F.col("doc_id") / 500)
+    x = c.select("prompt", F.col("key").alias("a"), F.col("doc_id").alias("i"), stretch.alias("at"))
+    y = c.select("prompt", F.col("key").alias("b"), F.col("doc_id").alias("j"), F.explode(F.array(stretch - 1, stretch, stretch + 1)).alias("at"))
+    near = x.join(y, ["prompt", "at"]).filter("a < b AND (i + j) % 3 = 0 AND abs(i - j) <= 500").select("a", "b", F.lit("merge").alias("decision"))
     return review.duplicate_groups(c.select("key", "prompt"), near).select("first_key", "n", "pairs", "decided", "resolved")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -16,3 +17,16 @@ def shared_dir(spark: SparkSession) -> str:
         named = getattr(spark.sparkContext, "_tessera_shared", None) or tempfile.mkdtemp(prefix="tessera_")
         spark.sparkContext._tessera_shared = named
     return named.rstrip("/")
+
+
+class Scratch:
+    """Tables in a folder of their own below the shared one, to be read more than once or to end a long lineage; they survive the loss of executors and stay there."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.folder, self.n = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0
+
+    def write(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.folder}/{self.n}"
+        df.write.parquet(path)
+        return df.sparkSession.read.schema(df.schema).parquet(path)

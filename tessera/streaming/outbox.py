@@ -29,9 +29,13 @@ def acknowledge(claimed: DataFrame, as_of: str) -> DataFrame:
     return claimed.withColumn("published_at", F.to_timestamp(F.lit(as_of))).withColumn("claimed_at", F.lit(None).cast("timestamp"))
 
 
-def idempotent(events: DataFrame, key: str, at: str, delay: str = "10 minutes") -> DataFrame:
-    """First event of each key; on a stream, with state bounded by the watermark."""
-    return events.withWatermark(at, delay).dropDuplicatesWithinWatermark([key]) if events.isStreaming else events.dropDuplicates([key])
+def idempotent(events: DataFrame, key: str | list[str], at: str, delay: str = "10 minutes") -> DataFrame:
+    """One event of each key: the first by ``at``, of those at one time the least in its other columns; on a stream the first that comes, with state bounded by the watermark."""
+    keys = [key] if isinstance(key, str) else key
+    if events.isStreaming:
+        return events.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)
+    rest = [at, *[c for c in events.columns if c not in (at, *keys)]]
+    return events.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("x")).select(*keys, "x.*").select(*events.columns)
 
 
 def drain(events: DataFrame, sink, checkpoint: str):
