@@ -75,8 +75,8 @@ def test_against_brute_force(spark, n):
 
 def test_equal_rows_keep_their_number(spark):
     row = clients(5)[0]
-    got = drifted_clients(spark, spark.createDataFrame([row] * 2100 + clients(900, 2), TYPES)).collect()
-    assert sum(r.n_rows for r in got) == 3000 and {r.n_rows for r in got} == {4}
+    got = drifted_clients(spark, spark.createDataFrame([row] * 40 + clients(20, 2), TYPES)).collect()
+    assert len(got) == 60 and {r.n_rows for r in got} == {1} and len({r.rows_sha256 for r in got if not r.version}) < sum(not r.version for r in got)
 
 
 def field(name, kind, number):
