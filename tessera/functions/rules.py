@@ -116,8 +116,10 @@ def is_layout_line(line: Column, layout: Layout) -> Column:
     return out
 
 
-def has_layout_artifact(scope: Column, text: Column, layout: Layout) -> Column:
-    """Footers and sidebar marks of one scope's extracted sheets; authored text elsewhere may hold the same words."""
+def has_layout_artifact(scope: Column, text: Column, layout: Layout | None) -> Column:
+    """Footers and sidebar marks of one scope's extracted sheets; authored text elsewhere may hold the same words. Without a layout there are none."""
+    if layout is None:
+        return F.lit(False)
     lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n", "\n"), "\n")
     return F.coalesce(F.lower(trimmed(scope)) == layout.scope, F.lit(False)) & F.exists(lines, lambda line: is_layout_line(line, layout))
 
@@ -126,16 +128,16 @@ def title_codes(title: Column) -> Column:
     return gathered([(is_heading(title), "placeholder_title"), (is_code_fragment(title), "code_fragment_title")])
 
 
-def card_codes(title: Column, topic: Column, scope: Column, en: tuple[Column, Column], ru: tuple[Column, Column], sections: Column, payload: Column) -> Column:
+def card_codes(title: Column, topic: Column, scope: Column, en: tuple[Column, Column], ru: tuple[Column, Column], sections: Column, payload: Column, layout: Layout | None = None) -> Column:
     """The gate of a card. en, ru: prompt and answer; sections: array<struct<title, body>>; payload: JSON text or null. The first section that fails decides which of its two codes is given."""
     none = F.array().cast("array<string>")
-    bad = F.filter(sections, lambda s: has_artifact(s["title"]) | has_artifact(s["body"]) | has_layout_artifact(scope, s["body"]))
+    bad = F.filter(sections, lambda s: has_artifact(s["title"]) | has_artifact(s["body"]) | has_layout_artifact(scope, s["body"], layout))
     first = F.try_element_at(bad, F.lit(1))
     section = F.when(F.size(bad) > 0, F.array(F.when(has_artifact(first["title"]) | has_artifact(first["body"]), F.lit("pdf_artifact")).otherwise("pdf_layout_artifact"))).otherwise(none)
     strings = variants.strings(payload)
     parts = F.array(*[F.get_json_object(payload, f"$.{k}") for k in ("question", "sections", "task", "rubric", "choices")])
     told = F.flatten(F.transform(F.array_compact(parts), lambda p: F.when(p.rlike(r"^\s*[\[{]"), variants.strings(p)).otherwise(F.array(p))))
-    whole = gathered([(F.exists(strings, has_artifact), "pdf_artifact"), (F.exists(told, lambda s: has_layout_artifact(scope, s)), "pdf_layout_artifact")])
+    whole = gathered([(F.exists(strings, has_artifact), "pdf_artifact"), (F.exists(told, lambda s: has_layout_artifact(scope, s, layout)), "pdf_layout_artifact")])
     russian = F.when(~blank(ru[0]) | ~blank(ru[1]), prompt_codes(*ru, title, topic)).otherwise(none)
     return F.array_distinct(F.concat(title_codes(title), prompt_codes(*en, title, topic), russian, section, F.coalesce(whole, none)))
 
