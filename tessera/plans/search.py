@@ -7,18 +7,22 @@ sum of 1 / length over the shortest stretches of a document that hold every term
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import dot, normalised_vector, terms, trigrams
 from ..functions.rules import ACCENTED, PLAIN
+from ..operators.ranks import ranked
 from ..operators.review import nearest_pairs
 from ..sources.cards import cards, table
+from ..sources.scratch import Scratch
 from .registry import register
 from .sql import GRAMS
 
 K, MIN_RANK, GATE_TRIGRAM, GATE_SEMANTIC, MIN_SEMANTIC = 60, 0.02, 0.15, 0.50, 0.505
+STAGES = ("exact", "fts", "trigram", "semantic")
 #: A request is a bounded set of queries, which the driver parses; more are an error.
 MOST_QUERIES = 20_000
 _PLAIN = str.maketrans(ACCENTED, PLAIN) | {ord("ß"): "ss", ord("æ"): "ae", ord("œ"): "oe", ord("Æ"): "AE", ord("Œ"): "OE"}
@@ -68,7 +72,7 @@ def search(
     semantic stage). query_id, pos, stable_key, rank_score, match_stages and each stage's score.
 
     Words and trigrams of the corpus meet those of the queries, a bounded set that goes with the tasks, before anything is shuffled; of texts only those that hold all
-    words of an alternative are.
+    words of an alternative are. Hits are ranked over many tasks, however many a query has; of the last order only ``limit`` rows a query leave a task.
     """
     for c, v in (("locale", locale), ("topic", topic), ("level", level)):
         if v:
@@ -98,19 +102,20 @@ def search(
     full = found.groupBy("query_id", "stable_key").agg(F.max(cover_density(F.col("places"), F.col("n"))).alias("fts"))
     name = queries.select("query_id", F.lower("query").alias("name"))
     exact = name.join(corpus.select("stable_key", F.explode(F.array_distinct(F.array(F.lower("stable_key"), F.lower("slug")))).alias("name")), "name").select("query_id", "stable_key", F.lit(1.0).alias("exact")).distinct()
-    both = full.join(fuzzy, ["query_id", "stable_key"], "full_outer").join(exact, ["query_id", "stable_key"], "full_outer")
+    hits = [exact, full, fuzzy]
     if vectors is not None and query_vectors is not None:
         near = nearest_pairs(query_vectors.select(F.col("query_id").alias("q"), F.col("vector").alias("v")), vectors.join(corpus.select("stable_key"), "stable_key", "left_semi").select("stable_key", F.col("vector").alias("w")), GATE_SEMANTIC)
-        both = both.join(near.select(F.col("q").alias("query_id"), "stable_key", F.col("similarity").alias("semantic")), ["query_id", "stable_key"], "full_outer")
-    else:
-        both = both.withColumn("semantic", F.lit(None).cast("double"))
-    stages = ("exact", "fts", "trigram", "semantic")
-    rank = lambda c: F.when(F.col(c).isNotNull(), F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last(F.round(c, 9)), "stable_key")))
-    score = sum((F.coalesce(1.0 / (K + rank(c)), F.lit(0.0)) for c in stages), F.lit(0.0))
+        hits.append(near.select(F.col("q").alias("query_id"), "stable_key", F.col("similarity").alias("semantic")))
+    # one row a hit of a stage, so that all stages are ranked together and meet in one grouping
+    hits = [h.select(F.lit(i).alias("stage"), "query_id", "stable_key", F.col(STAGES[i]).alias("found")) for i, h in enumerate(hits)]
+    places = ranked(reduce(DataFrame.unionByName, hits), ["query_id", "stage"], [F.desc(F.round("found", 9)), F.col("stable_key")], Scratch(spark, "search"))
+    of = lambda c, i: F.max(F.when(F.col("stage") == i, F.col(c)))
+    both = places.groupBy("query_id", "stable_key").agg(*[of("found", i).alias(c) for i, c in enumerate(STAGES)], *[of("rank", i).alias(f"{c}_rank") for i, c in enumerate(STAGES)])
+    score = sum((F.coalesce(1.0 / (K + F.col(f"{c}_rank")), F.lit(0.0)) for c in STAGES), F.lit(0.0))
     kept = both.withColumn("score", score).filter((F.col("score") >= min_rank) | F.col("exact").isNotNull() | (F.col("semantic") >= min_semantic))
     top = kept.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "stable_key"))).filter(F.col("pos") <= limit)
-    told = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in stages]))
-    return top.select("query_id", "pos", "stable_key", F.round("score", 6).alias("rank_score"), F.array_join(told, ",").alias("match_stages"), *[F.round(F.coalesce(c, F.lit(0.0)), 6).alias(f"{c}_score") for c in stages])
+    told = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in STAGES]))
+    return top.select("query_id", "pos", "stable_key", F.round("score", 6).alias("rank_score"), F.array_join(told, ",").alias("match_stages"), *[F.round(F.coalesce(c, F.lit(0.0)), 6).alias(f"{c}_score") for c in STAGES])
 
 
 def benchmark_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
