@@ -52,9 +52,18 @@ def has_artifact(c: Column) -> Column:
     return F.coalesce(c.rlike(ARTIFACT), F.lit(False))
 
 
+def bound(value: Column, body) -> Column:
+    """body(value), with ``value`` made once a row: an expression that several branches of a condition use is otherwise made in each."""
+    return F.transform(F.array(value), body)[0]
+
+
 def is_heading(c: Column) -> Column:
     """Blank, ends in a dash, is punctuation alone, or is one of the known headings."""
-    v = comparable(c)
+    return heading_like(comparable(c))
+
+
+def heading_like(v: Column) -> Column:
+    """As is_heading() of what comparable() gave."""
     return (v == "") | v.endswith("—") | v.rlike("^[ .,:;—-]+$") | v.isin(*HEADINGS)
 
 
@@ -66,10 +75,14 @@ def is_code_fragment(c: Column) -> Column:
 def is_fragment(c: Column) -> Column:
     """The prompt ends like half a sentence."""
     v = trimmed(F.coalesce(c, F.lit("")))
-    words = fields(v)
+    return cut_off(v, fields(v), asks(v))
+
+
+def cut_off(v: Column, words: Column, question: Column) -> Column:
+    """As is_fragment() of a trimmed text, its words, and whether it asks."""
     last = F.regexp_replace(F.lower(F.try_element_at(words, F.lit(-1))), r"^[ \t\r\n.,!?;:()\[\]{}\"'«»`]+|[ \t\r\n.,!?;:()\[\]{}\"'«»`]+$", "")
     cut = (F.size(words) >= 2) & ~v.rlike("[.!?。！？]$") & (last.isin(*TRAILING_WORDS) | F.lower(v).endswith(TRAILING_PHRASE))
-    return (v != "") & ~asks(v) & (v.rlike("[,:;—-]$") | F.coalesce(cut, F.lit(False)))
+    return (v != "") & ~question & (v.rlike("[,:;—-]$") | F.coalesce(cut, F.lit(False)))
 
 
 def gathered(rules: list[tuple[Column, str]]) -> Column:
@@ -79,21 +92,27 @@ def gathered(rules: list[tuple[Column, str]]) -> Column:
 
 def prompt_codes(prompt: Column, answer: Column, title: Column, topic: Column) -> Column:
     """Codes of one locale; an empty prompt has that code alone."""
-    p = trimmed(F.coalesce(prompt, F.lit("")))
-    same = lambda other: (comparable(other) != "") & (comparable(p) == comparable(other))
-    n = F.size(fields(p))
-    label, bare = (n <= 2) & ~asks(p), ~asks(p) & ~p.rlike(r"[\p{P}\p{S}]")
-    rules = [
-        (same(answer), "prompt_equals_answer"),
-        (same(title) & label, "prompt_matches_title"),
-        (same(topic) & label, "prompt_matches_topic"),
-        (is_heading(p), "pdf_heading_prompt"),
-        (has_artifact(p), "pdf_artifact"),
-        (is_fragment(p), "fragment_prompt"),
-        ((n == 1) & bare, "single_token_prompt"),
-        ((n == 2) & (F.length(p) < 20) & bare, "short_label_prompt"),
-    ]
-    return F.when(p == "", F.array(F.lit("empty_prompt"))).otherwise(gathered(rules))
+
+    def codes(x: Column, v: Column) -> Column:
+        p, words, question = x["p"], x["words"], x["asks"]
+        same = lambda other: (x[other] != "") & (v == x[other])
+        n = F.size(words)
+        label, bare = (n <= 2) & ~question, ~question & ~x["marks"]
+        return gathered([
+            (same("answer"), "prompt_equals_answer"),
+            (same("title") & label, "prompt_matches_title"),
+            (same("topic") & label, "prompt_matches_topic"),
+            (heading_like(v), "pdf_heading_prompt"),
+            (has_artifact(p), "pdf_artifact"),
+            (cut_off(p, words, question), "fragment_prompt"),
+            ((n == 1) & bare, "single_token_prompt"),
+            ((n == 2) & (F.length(p) < 20) & bare, "short_label_prompt"),
+        ])
+
+    others = [comparable(c).alias(name) for c, name in ((answer, "answer"), (title, "title"), (topic, "topic"))]
+    made = lambda p: F.struct(p.alias("p"), fields(p).alias("words"), asks(p).alias("asks"), p.rlike(r"[\p{P}\p{S}]").alias("marks"), *others)
+    rest = lambda p: bound(made(p), lambda x: bound(F.lower(F.array_join(x["words"], " ")), lambda v: codes(x, v)))
+    return bound(trimmed(F.coalesce(prompt, F.lit(""))), lambda p: F.when(p == "", F.array(F.lit("empty_prompt"))).otherwise(rest(p)))
 
 
 @dataclass(frozen=True)
