@@ -1,3 +1,3 @@
 """Registered queries: each module registers its own when the package is imported."""
 
-from . import catalog, crosswalks, curriculum, graphs, guards, imports, index, lifecycle, payloads, quality, queues, reads, registry, review, search, sheets, streams  # noqa: F401
+from . import acceptance, catalog, crosswalks, curriculum, graphs, guards, imports, index, lifecycle, payloads, quality, queues, reads, registry, review, search, sheets, streams  # noqa: F401
