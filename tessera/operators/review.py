@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import dot, normalised_vector
+from .blocks import nearest_pairs
 
 LEXICAL, SEMANTIC, MOST = 0.55, 0.80, 25
 TYPES = ("exact_duplicate", "lexical_neighbor", "semantic_neighbor")
@@ -23,20 +21,26 @@ def import_candidates(cards: DataFrame, current: DataFrame, similar, lexical: fl
     """stage_id, related_key, candidate_type, exact_score, lexical_score, semantic_score: what each imported card may repeat.
 
     cards: stage_id, stable_key, body_hash (of the payload without its identity), prompt, vector; current: stable_key, body_hash, prompt, vector of the published production
-    cards. A pair is exact before lexical before semantic. ``similar(left, right, threshold)`` gives a, b, similarity of prompts. Vectors are compared in
-    blocks of the cards of the import, which are few beside the current ones.
+    cards. A pair is exact before lexical before semantic. ``similar(left, right, threshold)`` gives a, b, similarity of prompts.
     """
     none = F.lit(None).cast("double")
     pair = ["stage_id", "related_key"]
     exact = cards.alias("a").join(current.alias("b"), (F.col("a.body_hash") == F.col("b.body_hash")) & (F.col("a.stable_key") != F.col("b.stable_key")))
     exact = exact.select("stage_id", F.col("b.stable_key").alias("related_key"), F.lit(1.0).alias("exact_score"))
-    words = similar(cards.select(F.col("stage_id").alias("key"), "prompt"), current.select(F.col("stable_key").alias("key"), "prompt"), lexical)
-    words = words.select(F.col("a").alias("stage_id"), F.col("b").alias("related_key"), F.col("similarity").alias("lexical_score")).join(cards.select("stage_id", "stable_key"), "stage_id")
-    words = words.filter("stable_key <> related_key").drop("stable_key").join(exact, pair, "left_anti")
-    words = best(words, "lexical_score", most)
-    near = nearest_pairs(cards.select(F.col("stage_id").alias("q"), F.col("stable_key").alias("own"), F.col("vector").alias("v")), current.select(F.col("stable_key").alias("related_key"), F.col("vector").alias("w")), semantic)
-    near = near.filter("own <> related_key").select(F.col("q").alias("stage_id"), "related_key", F.col("similarity").alias("semantic_score"))
-    near = best(near.join(exact, pair, "left_anti").join(words, pair, "left_anti"), "semantic_score", most)
+    other = (F.col("own") != F.col("related_key")) & ~F.coalesce(F.col("own_body") == F.col("body"), F.lit(False))
+    mine = cards.select("stage_id", F.col("stable_key").alias("own"), F.col("body_hash").alias("own_body"), "prompt", "vector")
+    theirs = current.select(F.col("stable_key").alias("related_key"), F.col("body_hash").alias("body"), "prompt", "vector")
+    # prompts meet once, however many cards have them; of the cards of a prompt those with the smallest keys can be chosen, and as many more as a stage's own card and body may take away
+    asked = cards.groupBy("prompt").agg(F.min("stage_id").alias("key"))
+    held = theirs.groupBy("prompt").agg(F.min("related_key").alias("key"))
+    first = lambda by, n: F.row_number().over(Window.partitionBy(*by).orderBy("related_key")) <= n
+    few = theirs.select("related_key", "body", "prompt").withColumn("one", first(["prompt", "body"], most + 1)).filter("one")
+    few = few.withColumn("one", first(["prompt"], 2 * (most + 1))).filter("one").join(held, "prompt").select("related_key", "body", F.col("key").alias("b"))
+    words = similar(asked, held, lexical).join(mine.select("stage_id", "own", "own_body", "prompt").join(asked, "prompt").select("stage_id", "own", "own_body", F.col("key").alias("a")), "a")
+    words = best(words.join(few, "b").filter(other).select(*pair, F.col("similarity").alias("lexical_score")), "lexical_score", most)
+    near = nearest_pairs(mine.select("stage_id", "own", "own_body", F.col("vector").alias("v")), theirs.select("related_key", "body", F.col("vector").alias("w")), semantic)
+    near = near.filter(other).select(*pair, F.col("similarity").alias("semantic_score"))
+    near = best(near.join(words, pair, "left_anti"), "semantic_score", most)
     return (
         exact.select(*pair, F.lit(TYPES[0]).alias("candidate_type"), "exact_score", none.alias("lexical_score"), none.alias("semantic_score"))
         .unionByName(words.select(*pair, F.lit(TYPES[1]).alias("candidate_type"), none.alias("exact_score"), "lexical_score", none.alias("semantic_score")))
@@ -44,18 +48,6 @@ def import_candidates(cards: DataFrame, current: DataFrame, similar, lexical: fl
     )
 
 
-def nearest_pairs(queries: DataFrame, corpus: DataFrame, least: float, chunk: int = 20_000) -> DataFrame:
-    """queries: q, v and more; corpus: w and more. All pairs of a cosine of ``least`` or more, with it as ``similarity``.
-
-    Vectors are made of length 1 once. Queries go with the tasks in blocks of about ``chunk``, a size that is counted first; each block is one pass over the corpus, which is never shuffled.
-    """
-    left, right = queries.withColumn("v", normalised_vector(F.col("v"))), corpus.withColumn("w", normalised_vector(F.col("w")))
-    blocks = max(1, -(-queries.count() // chunk))
-    part = lambda b: left.filter(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b) if blocks > 1 else left
-    pairs = [right.crossJoin(F.broadcast(part(b))) for b in range(blocks)]
-    return reduce(DataFrame.unionByName, pairs).withColumn("similarity", dot(F.col("v"), F.col("w"))).filter(F.col("similarity") >= least).drop("v", "w")
-
-
 def merged_candidates(old: DataFrame, new: DataFrame) -> DataFrame:
     """Candidates found again keep their decision and the scores that the new look did not give."""
     key = ["stage_id", "related_key", "candidate_type"]

@@ -36,3 +36,25 @@ def test_batch(spark):
 def test_empty_batch(spark):
     r = accepted(spark, [])
     assert r["failed"] == ["exact", "semantic", "open_stages"] and (r["precision"], r["recall"], r["first_files"]) == (1.0, 1.0, 0)
+
+
+def test_candidates_of_prompts_with_many_copies(spark):
+    """Of 60 published cards of one prompt the 25 with the smallest keys are candidates, whatever the stage's own card and body take away; prompts meet once."""
+    from tessera.operators import review
+
+    card = lambda i: (f"k{i:02}", "same" if i < 10 else f"b{i}", "one prompt of many cards", [1.0, 0.0])
+    current = spark.createDataFrame([card(i) for i in range(60)], "stable_key string, body_hash string, prompt string, vector array<double>")
+    stages = spark.createDataFrame([(1, "k03", "same", "one prompt of many cards", None), (2, "k20", "new", "one prompt of many cards", None)], "stage_id long, " + "stable_key string, body_hash string, prompt string, vector array<double>")
+    asked = []
+
+    def similar(left, right, threshold):
+        asked.append((left.count(), right.count()))
+        return similar_pairs(left, right, threshold)
+
+    got = {}
+    for r in review.import_candidates(stages, current, similar).collect():
+        got.setdefault((r.stage_id, r.candidate_type), set()).add(r.related_key)
+    assert asked == [(1, 1)]
+    assert got[1, "exact_duplicate"] == {f"k{i:02}" for i in range(10) if i != 3}
+    assert got[1, "lexical_neighbor"] == {f"k{i:02}" for i in range(10, 35)}
+    assert got[2, "lexical_neighbor"] == {f"k{i:02}" for i in range(26) if i != 20}
