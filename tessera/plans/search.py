@@ -12,10 +12,10 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import dot, normalised_vector, terms, trigrams
+from ..functions.text import terms, trigrams
 from ..functions.rules import ACCENTED, PLAIN
+from ..operators.blocks import nearest_of_groups, nearest_pairs
 from ..operators.ranks import ranked
-from ..operators.review import nearest_pairs
 from ..sources.cards import cards, table
 from ..sources.scratch import Scratch
 from .registry import register
@@ -173,7 +173,7 @@ def search_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def nearest(queries: DataFrame, corpus: DataFrame, k: int = 10, least: float = -1.0) -> DataFrame:
     """query_id, vec_id, similarity, rank: exact cosine top k of a query set against all vectors, each made of length 1 once; queries meet the corpus in blocks, and of each block only the k best go on."""
-    pairs = nearest_pairs(queries.select(F.col("query_id").alias("q"), F.col("q").alias("v")), corpus.select("vec_id", F.col("embedding").alias("w")), least).filter("vec_id <> q")
+    pairs = nearest_pairs(queries.select(F.col("query_id").alias("q"), F.col("q").alias("v")), corpus.select("vec_id", F.col("embedding").alias("w")), least, ("q", "vec_id"), k, "vec_id")
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 9)), "vec_id")
     return pairs.withColumnRenamed("q", "query_id").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -202,8 +202,8 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def neighbor_topk(spark: SparkSession, sf_dir: str, least: float = 0.25) -> DataFrame:
     """Capability proposals: the best exemplar of each capability for each target, three at most."""
     e = table(spark, sf_dir, "embeddings")
-    x = e.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("q"), F.col("label").alias("capability"), F.col("embedding").alias("v"))
-    pairs = nearest_pairs(x, e.filter("vec_id % 10 <> 0").select(F.col("vec_id").alias("target"), F.col("embedding").alias("w")), least)
+    x = e.filter("vec_id % 10 = 0").select(F.col("label").alias("capability"), F.col("embedding").alias("v"))
+    pairs = nearest_of_groups(x, e.filter("vec_id % 10 <> 0").select(F.col("vec_id").alias("target"), F.col("embedding").alias("w")), "capability", least)
     best = pairs.groupBy("target", "capability").agg(F.max("similarity").alias("s"))
     w = Window.partitionBy("target").orderBy(F.desc(F.round("s", 9)), "capability")
     return best.withColumn("rank", F.row_number().over(w)).filter("rank <= 3").select("target", "capability", F.round("s", 6).alias("similarity"), "rank")
