@@ -35,8 +35,12 @@ def words_of(text: str) -> list[str]:
 def parse_query(text: str) -> list[dict]:
     """Alternatives, each with the words that it needs, its phrases (of two words or more) and its exclusions. One with nothing to look for is left out."""
     out = [{"words": [], "phrases": [], "nots": []}]
-    for minus, quoted, bare in re.findall(r'(-?)(?:"([^"]*)"|([^\s"]+))', text):
-        if bare.lower() == "or" and not minus:
+    parts, after = re.findall(r'(-?)(?:"([^"]*)"|([^\s"]+))', text), False
+    for at, (minus, quoted, bare) in enumerate(parts):
+        # as in websearch_to_tsquery, an OR stands between two others; at an end or behind another OR it is a word
+        operator, after = bare.lower() == "or" and not minus and after and at + 1 < len(parts), True
+        if operator:
+            after = False
             out.append({"words": [], "phrases": [], "nots": []})
             continue
         found = words_of(quoted or bare)
@@ -136,7 +140,10 @@ _WORDS = r"list_filter(regexp_split_to_array(lower(strip_accents({0})), '[^\p{{L
     q0 AS (SELECT item_id AS query_id, array_to_string(list_slice(w, 1, 4), ' ') AS query FROM b
       UNION ALL SELECT 0 - 2 - item_id, CASE item_id WHEN 0 THEN '"' || w[1] || ' ' || w[2] || '"' WHEN 1 THEN w[1] || ' ' || w[2] || ' or ' || w[3] || ' ' || w[4] ELSE w[1] || ' ' || w[2] || ' -' || w[3] END FROM b WHERE item_id < 3
       UNION ALL SELECT -1, 'question.d7'),
-    a AS (SELECT query_id, 0 AS alt, query AS need, '' AS phrase, '' AS avoid FROM q0 WHERE query_id >= -1
+    cut AS (SELECT item_id, w, CASE WHEN lower(w[2]) = 'or' AND len(w) >= 3 THEN 2 WHEN lower(w[3]) = 'or' AND len(w) >= 4 THEN 3 END AS o FROM b),
+    a AS (SELECT item_id AS query_id, 0 AS alt, array_to_string(list_slice(w, 1, coalesce(o - 1, 4)), ' ') AS need, '' AS phrase, '' AS avoid FROM cut
+      UNION ALL SELECT item_id, 1, array_to_string(list_slice(w, o + 1, 4), ' '), '', '' FROM cut WHERE o IS NOT NULL
+      UNION ALL SELECT -1, 0, 'question.d7', '', ''
       UNION ALL SELECT -2, 0, w[1] || ' ' || w[2], w[1] || ' ' || w[2], '' FROM b WHERE item_id = 0
       UNION ALL SELECT -3, 0, w[1] || ' ' || w[2], '', '' FROM b WHERE item_id = 1
       UNION ALL SELECT -3, 1, w[3] || ' ' || w[4], '', '' FROM b WHERE item_id = 1
