@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ DEPTH = 100
 SCALARS = {"STRING": "string", "BOOLEAN": "boolean", "VOID": "null"}
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is made once, however often ``then`` names it: a lambda makes what it names again each time."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def type_name(v: Column) -> Column:
     """object, array, string, number, boolean or null."""
     kind = F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
@@ -21,12 +28,21 @@ def _node(path: Column, v: Column) -> Column:
     return F.struct(path.alias("path"), v.alias("v"))
 
 
-def _children(node: Column) -> Column:
+def _opened(node: Column) -> Column:
+    """A value with its fields, if it is an object, its entries, if it is an array, and its type."""
+    fields, entries = F.map_entries(F.try_variant_get(node["v"], "$", "map<string,variant>")), F.try_variant_get(node["v"], "$", "array<variant>")
+    both = let(F.struct(fields.alias("fields"), entries.alias("entries")), lambda x: F.struct(
+        x["fields"].alias("fields"), x["entries"].alias("entries"),
+        F.when(x["fields"].isNotNull(), "object").when(x["entries"].isNotNull(), "array").otherwise(type_name(node["v"])).alias("type"),
+    ))
+    return F.struct(node["path"].alias("path"), node["v"].alias("v"), both.alias("x"))
+
+
+def _children(opened: Column) -> Column:
     """The values within a value, with their paths; none of a scalar."""
-    fields = F.map_entries(F.try_variant_get(node["v"], "$", "map<string,variant>"))
-    entries = F.try_variant_get(node["v"], "$", "array<variant>")
-    named = F.transform(fields, lambda e: _node(F.concat(node["path"], F.lit("."), e["key"]), e["value"]))
-    numbered = F.transform(entries, lambda e: _node(F.concat(node["path"], F.lit("[]")), e))
+    path, x = opened["path"], opened["x"]
+    named = F.transform(x["fields"], lambda e: _node(F.concat(path, F.lit("."), e["key"]), e["value"]))
+    numbered = F.transform(x["entries"], lambda e: _node(F.concat(path, F.lit("[]")), e))
     return F.coalesce(named, numbered, F.array().cast("array<struct<path:string,v:variant>>"))
 
 
@@ -35,12 +51,12 @@ def walk(payload: Column, depth: int = DEPTH) -> Column:
 
     Names follow a dot, entries of an array are ``[]``. Null for a text that is no JSON, or names a field of an object twice.
     """
-    told = lambda n: F.struct(n["path"].alias("path"), type_name(n["v"]).alias("type"), F.when(~type_name(n["v"]).isin("object", "array"), F.try_variant_get(n["v"], "$", "string")).alias("text"))
-    start = F.struct(F.array(_node(F.lit("$"), F.try_parse_json(payload))).alias("front"), F.array().cast("array<struct<path:string,type:string,text:string>>").alias("out"))
+    told = lambda o: F.struct(o["path"].alias("path"), o["x"]["type"].alias("type"), F.when(~o["x"]["type"].isin("object", "array"), F.try_variant_get(o["v"], "$", "string")).alias("text"))
+    start = lambda v: F.struct(F.array(_node(F.lit("$"), v)).alias("front"), F.array().cast("array<struct<path:string,type:string,text:string>>").alias("out"))
     levels = F.least(F.lit(depth), F.regexp_count(payload, F.lit("[\\[{]")) + 1)  # brackets bound the depth
-    step = lambda acc, _: F.struct(F.flatten(F.transform(acc["front"], _children)).alias("front"), F.concat(acc["out"], F.transform(acc["front"], told)).alias("out"))
+    step = lambda acc, _: let(F.transform(acc["front"], _opened), lambda o: F.struct(F.flatten(F.transform(o, _children)).alias("front"), F.concat(acc["out"], F.transform(o, told)).alias("out")))
     end = lambda acc: F.when(F.size(acc["front"]) > 0, F.raise_error(F.lit(f"JSON nested deeper than {depth}"))).otherwise(acc["out"])
-    return F.when(F.try_parse_json(payload).isNotNull(), F.aggregate(F.sequence(F.lit(1), levels), start, step, end))
+    return let(F.try_parse_json(payload), lambda v: F.when(v.isNotNull(), F.aggregate(F.sequence(F.lit(1), levels), start(v), step, end)))
 
 
 def strings(payload: Column) -> Column:

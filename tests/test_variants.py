@@ -47,3 +47,25 @@ def test_too_deep(spark):
 
 def test_layout_is_an_argument():
     assert rules.Layout("x").parts == ()
+
+
+def test_census_walks_equal_texts_once(spark, tmp_path):
+    """Values and rows of payloads that come again and hold a path twice; only distinct texts are walked."""
+    from tessera.plans import payloads
+
+    rows = [('{"a": [1, 2, {"b": "y"}], "c": "x"}',)] * 3 + [('{"a": [3]}',), ("no json",), (None,), ('{"a": [{"b": "q"}, {"b": null}]}',)]
+    for name in ("clicks", "events"):
+        spark.createDataFrame(rows, "props string").write.parquet(f"{tmp_path}/{name}.parquet")
+    out = payloads.json_census(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [props") == 2 and "monotonically_increasing_id" not in plan
+    got = {(r.path, r.type): (r.n, r.rows, r.least_text) for r in out.filter("source = 'clicks'").collect()}
+    assert got == {
+        ("$", "object"): (5, 5, None),
+        ("$.a", "array"): (5, 5, None),
+        ("$.a[]", "number"): (7, 4, None),
+        ("$.a[]", "object"): (5, 4, None),
+        ("$.a[].b", "string"): (4, 4, "q"),
+        ("$.a[].b", "null"): (1, 1, None),
+        ("$.c", "string"): (3, 3, "x"),
+    }
