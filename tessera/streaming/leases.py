@@ -1,6 +1,6 @@
 """The outbox as a stream: keyed state with timers for leases that run out and events that may be tried again.
 
-Commands (key, id, at, kind) come in any order within the watermark's delay. They wait in the state of their key until the watermark has passed them and are then
+Commands (key, id, at, kind) come in any order within the watermark's delay. They wait in the state of their bucket of keys until the watermark has passed them and are then
 applied by time, so that the outcome doesn't depend on the batches they came in: it is the fold of all commands before the watermark.
 
     emit   opens an event, or the next one of its key once the one before is published
@@ -14,23 +14,39 @@ A lease that is neither acknowledged nor failed in time expires. A command that
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import astuple, dataclass, replace
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Row
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 KINDS = ("emit", "claim", "ack", "fail")
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: What a transition tells: the state of the key after it. Times are microseconds since 1970.
 TRANSITIONS = "key long, seq long, at long, action string, round int, status string, attempts int, available_at long, lease_until long, claims int, published int, expired int, refused int"
-Told = Row(*[c.split()[0] for c in TRANSITIONS.split(", ")])
+STATUSES = ("none", "pending", "leased", "published")
+ACTIONS = ("emitted", "claimed", "published", "failed", "expired", "refused")
 MOST_ATTEMPTS_SQUARED = 300
+#: Columns whose values are packed as places.
+NAMED = {"action": ACTIONS, "status": STATUSES}
 
 
-@dataclass(frozen=True)
-class Item:
+def record(columns: str) -> np.dtype:
+    """The packed form of rows; names are places in ``NAMED``."""
+    return np.dtype([(n, "i1" if n in NAMED else "<i8" if t == "long" else "<i4") for n, t in (c.split() for c in columns.split(", "))])
+
+
+TOLD = record(TRANSITIONS)
+ITEM = record("key long, seq long, round int, status string, attempts int, available_at long, lease_until long, claims int, published int, expired int, refused int")
+COMMAND = np.dtype([("key", "<i8"), ("at", "<i8"), ("id", "<i8"), ("kind", "i1")])  # kind: its place in sorted KINDS
+NO_ID = 2**63 - 1  # a command without an id comes last of its time
+AT_ONCE = 10_000
+
+
+class Item(NamedTuple):
     """The state of a key."""
 
     seq: int = 0
@@ -45,87 +61,94 @@ class Item:
     refused: int = 0
 
     def lapsed(self) -> Item:
-        return replace(self, seq=self.seq + 1, status="pending", available_at=self.lease_until, expired=self.expired + 1)
+        return self._replace(seq=self.seq + 1, status="pending", available_at=self.lease_until, expired=self.expired + 1)
 
     def told(self, kind: str, at: int, lease: int, unit: int) -> tuple[str, Item]:
         """(what was done, the state after it) for a command at a time when no lease has run out unseen."""
-        new = replace(self, seq=self.seq + 1)
+        seq = self.seq + 1
         if kind == "emit" and self.status in ("none", "published"):
-            return "emitted", replace(new, round=self.round + 1, status="pending", attempts=0, available_at=at)
+            return "emitted", self._replace(seq=seq, round=self.round + 1, status="pending", attempts=0, available_at=at)
         if kind == "claim" and self.status == "pending" and self.available_at <= at:
-            return "claimed", replace(new, status="leased", attempts=self.attempts + 1, lease_until=at + lease, claims=self.claims + 1)
+            return "claimed", self._replace(seq=seq, status="leased", attempts=self.attempts + 1, lease_until=at + lease, claims=self.claims + 1)
         if kind == "ack" and self.status == "leased":
-            return "published", replace(new, status="published", published=self.published + 1)
+            return "published", self._replace(seq=seq, status="published", published=self.published + 1)
         if kind == "fail" and self.status == "leased":
-            return "failed", replace(new, status="pending", available_at=at + min(self.attempts * self.attempts, MOST_ATTEMPTS_SQUARED) * unit)
-        return "refused", replace(new, refused=self.refused + 1)
-
-
-class Leases(StatefulProcessor):
-    """One timer a key: the time of its first waiting command, or of the end of its lease."""
-
-    def __init__(self, lease_seconds: int, unit_seconds: int):
-        self.lease, self.unit = lease_seconds * 1_000_000, unit_seconds * 1_000_000
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.item = handle.getValueState("item", "seq long, round int, status string, attempts int, available_at long, lease_until long, claims int, published int, expired int, refused int")
-        self.waiting = handle.getListState("waiting", "at long, id long, kind string")
-        self.timer = handle.getValueState("timer", "at long")
-
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        self.waiting.appendList(new := [(r["micros"], r["id"], r["kind"]) for r in rows])
-        self._wake(min(at for at, _, _ in new) // 1000)
-        return iter(())
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = timerValues.getCurrentWatermarkInMs()
-        all_ = sorted(tuple(x) for x in self.waiting.get())
-        due = [x for x in all_ if x[0] // 1000 < now]
-        item, out = Item(*self.item.get()) if self.item.exists() else Item(), []
-
-        def tell(action: str, at: int) -> None:
-            out.append(Told(key[0], item.seq, at, action, item.round, item.status, item.attempts, item.available_at, item.lease_until, item.claims, item.published, item.expired, item.refused))
-
-        for at, _, kind in due:
-            if item.status == "leased" and item.lease_until <= at:
-                item = item.lapsed()
-                tell("expired", item.lease_until)
-            action, item = item.told(kind, at, self.lease, self.unit)
-            tell(action, at)
-        if item.status == "leased" and item.lease_until // 1000 < now:
-            item = item.lapsed()
-            tell("expired", item.lease_until)
-        self.item.update(astuple(item))
-        if left := all_[len(due) :]:
-            self.waiting.put(left)
-        else:
-            self.waiting.clear()
-        self.timer.clear()  # the one that fired is gone
-        times = [x[0] for x in left] + ([item.lease_until] if item.status == "leased" else [])
-        if times:
-            self._wake(min(times) // 1000)
-        return iter(out)
-
-    def _wake(self, at: int) -> None:
-        """See to it that the key's timer fires at ``at`` (milliseconds) or before."""
-        if self.timer.exists():
-            (set_,) = self.timer.get()
-            if set_ <= at:
-                return
-            self.handle.deleteTimer(set_)
-        self.handle.registerTimer(at)
-        self.timer.update((at,))
-
-    def close(self) -> None:
-        pass
-
-
-def transitions(commands: DataFrame, delay: str, lease_seconds: int = 300, unit_seconds: int = 1) -> DataFrame:
-    """The stream of transitions of a stream of commands: key long, id long, at timestamp, kind. Rows without a key, time or known kind are left out; commands later than ``delay`` are dropped, as with any watermark."""
+            return "failed", self._replace(seq=seq, status="pending", available_at=at + min(self.attempts * self.attempts, MOST_ATTEMPTS_SQUARED) * unit)
+        return "refused", self._replace(seq=seq, refused=self.refused + 1)
+
+
+def leases(lease_seconds: int, unit_seconds: int):
+    """What is done for a bucket of keys with new commands, or whose time has come: of each key, the commands before the watermark in their order. One timer a bucket: the time of its first waiting command, or of the first end of a lease."""
+    lease, unit = lease_seconds * 1_000_000, unit_seconds * 1_000_000
+    kinds = sorted(KINDS)
+
+    def step(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        items, waiting = state.get if state.exists else (b"", b"")
+        of = {key: Item(seq, round_, STATUSES[status], *more) for key, seq, round_, status, *more in np.frombuffer(items, ITEM).tolist()}
+        now, out = state.getCurrentWatermarkMs(), []
+        parts = [np.frombuffer(waiting, COMMAND)]
+        for f in () if state.hasTimedOut else frames:
+            new = np.empty(len(f), COMMAND)
+            new["key"], new["at"], new["id"], new["kind"] = f["key"], f["micros"], f["id"], f["kind"]
+            parts.append(new)
+        all_ = np.concatenate(parts)
+        before = all_["at"] < now * 1000  # earlier than the watermark's millisecond
+        due, left = all_[before], all_[~before]
+        due = due[np.lexsort((due["kind"], due["id"], due["at"], due["key"]))]
+
+        def tell(key: int, action: str, at: int, item: Item) -> None:
+            out.append((key, item.seq, at, ACTIONS.index(action), item.round, STATUSES.index(item.status), *item[3:]))
+            of[key] = item
+
+        def packed() -> pd.DataFrame:
+            rows = np.array(out, TOLD).tobytes()
+            out.clear()
+            return pd.DataFrame({"told": [rows]})
+
+        for a in range(0, len(due), AT_ONCE):
+            for key, at, _id, kind in due[a : a + AT_ONCE].tolist():
+                item = of.get(key) or Item()
+                if item.status == "leased" and item.lease_until <= at:
+                    item = item.lapsed()
+                    tell(key, "expired", item.lease_until, item)
+                action, item = item.told(kinds[kind], at, lease, unit)
+                tell(key, action, at, item)
+            yield packed()
+        for key, item in of.items():
+            if item.status == "leased" and item.lease_until // 1000 < now:
+                tell(key, "expired", item.lease_until, item.lapsed())
+        if out:
+            yield packed()
+        rows = np.array([(k, i.seq, i.round, STATUSES.index(i.status), *i[3:]) for k, i in of.items()], ITEM)
+        state.update((rows.tobytes(), left.tobytes()))
+        times = np.concatenate((left["at"], rows["lease_until"][rows["status"] == STATUSES.index("leased")]))
+        if len(times):
+            state.setTimeoutTimestamp(max(1, int(times.min()) // 1000))
+
+    return step
+
+
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each transition."""
+    for b in batches:
+        for packed in b.column(0):
+            rows, out = np.frombuffer(packed.as_py(), TOLD), {}
+            for n in TOLD.names:
+                own = pa.array(np.ascontiguousarray(rows[n]))
+                out[n] = pa.DictionaryArray.from_arrays(own, pa.array(NAMED[n])).cast(pa.string()) if n in NAMED else own
+            yield pa.RecordBatch.from_pydict(out)
+
+
+def transitions(commands: DataFrame, delay: str, lease_seconds: int = 300, unit_seconds: int = 1, buckets: int = 1024) -> DataFrame:
+    """The stream of transitions of a stream of commands: key long, id long, at timestamp, kind. Rows without a key, time or known kind are left out; commands later than ``delay`` are dropped, as with any watermark.
+
+    A call of Python and of the state store costs milliseconds, so that it is made for a bucket of keys and not for each key. As with the shuffle partitions of a stream, ``buckets`` stays what it was when a checkpoint began.
+    """
     known = commands.filter(F.col("key").isNotNull() & F.col("at").isNotNull() & F.col("kind").isin(*KINDS))
-    own = known.select("key", "id", "at", "kind", F.unix_micros("at").alias("micros")).withWatermark("at", delay)
-    return own.groupBy("key").transformWithState(Leases(lease_seconds, unit_seconds), StructType.fromDDL(TRANSITIONS), "Append", "EventTime")
+    place = F.array_position(F.array(*[F.lit(k) for k in sorted(KINDS)]), F.col("kind")) - 1
+    own = known.select("key", F.coalesce("id", F.lit(NO_ID)).alias("id"), "at", place.alias("kind"), F.unix_micros("at").alias("micros"), F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket")).withWatermark("at", delay)
+    told = own.groupBy("bucket").applyInPandasWithState(leases(lease_seconds, unit_seconds), "told binary", "items binary, waiting binary", "append", GroupStateTimeout.EventTimeTimeout)
+    return told.mapInArrow(unpacked, TRANSITIONS)
 
 
 def run(commands: DataFrame, out: str, checkpoint: str, delay: str, lease_seconds: int = 300, unit_seconds: int = 1) -> None:
