@@ -44,20 +44,23 @@ def empty(spark: SparkSession) -> dict[str, DataFrame]:
     return {n: spark.createDataFrame([], s) for n, s in TABLES.items()}
 
 
-def gated(cards: DataFrame) -> DataFrame:
-    """cards with their problems and, of cards that share a stable_key, that of all but the first source_ref. The first is told by a minimum, so that a key of many files is no group of rows."""
-    first = cards.filter(F.size("problems") == 0).groupBy("stable_key").agg(F.min("source_ref").alias("__first"))
-    j = cards.join(first, "stable_key", "left")
-    again = (F.size("problems") == 0) & (F.col("source_ref") != F.col("__first"))
+def gated(cards: DataFrame, settled: Settled = lambda df: df) -> DataFrame:
+    """cards with their problems and, of cards that share a stable_key, that of all but the first source_ref. The first is told by a minimum, so that a key of many files is no group of rows.
+    Only keys of more than one card are joined back: where they are few and ``settled``, Spark sends them to the cards, whose texts stay where they are."""
+    sound = F.size("problems") == 0
+    several = cards.filter(sound).groupBy("stable_key").agg(F.min("source_ref").alias("__first"), F.count(F.lit(1)).alias("n"))
+    j = cards.join(settled(several.filter("n > 1").select("stable_key", "__first")), "stable_key", "left")
+    again = sound & (F.col("source_ref") != F.col("__first"))
     return j.withColumn("problems", F.when(again, F.array(F.lit(DUPLICATE))).otherwise(F.col("problems"))).select(*cards.columns)
 
 
 def run(tables: dict[str, DataFrame], cards: DataFrame, publish: bool, archive: bool = False, settled: Settled = lambda df: df) -> Run:
     """Cards without problems are written, as drafts or published; with ``archive`` published questions without a card in this run are archived. A source whose card has problems neither writes nor keeps its question from being archived.
 
-    ``settled(df)`` ends a lineage by writing a table: all tables of a run come from the gated cards, what was written of them and their revisions, which are then made once and not again for each table.
+    ``settled(df)`` ends a lineage by writing a table: all tables of a run come from the cards, what was written of them and their revisions, which are then made once and not again for each table. The cards
+    themselves are read for each table, of the columns that it needs: they should be stored ones.
     """
-    cards = settled(gated(cards))
+    cards = gated(cards, settled)
     sound = cards.filter(F.size("problems") == 0)
     written, revisions = state.write_cards(tables["questions"], tables["revisions"], sound.select("stable_key", "content_hash", F.lit(publish).alias("publish")), settled)
     written = settled(written)

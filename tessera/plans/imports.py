@@ -42,7 +42,7 @@ def import_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three runs on each other's tables: drafts, published with changes, published without them; what becomes of each question, and its outbox events."""
     scratch = Scratch(spark, "import_runs")
     docs = sources(spark, sf_dir, scratch)
-    settled = lambda done: {**done.tables, **{n: scratch.write(done.tables[n]) for n in ("questions", "revisions", "outbox")}}
+    settled = lambda done: {**done.tables, **scratch.write_all({n: done.tables[n] for n in ("questions", "revisions", "outbox")})}
     one = settled(imports.drafts(imports.empty(spark), incoming(docs, "doc_id % 5 <> 0"), scratch.write))
     two = settled(imports.published(one, incoming(docs, "doc_id % 3 <> 0", changed=True), scratch.write))
     three = imports.published(two, incoming(docs, "doc_id % 4 <> 0"), scratch.write)

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -19,6 +22,13 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def together(spark: SparkSession, call: Callable, items: Iterable) -> list:
+    """What ``call`` gives for each item, with its Spark jobs beside those of the others."""
+    items = list(items)
+    with ThreadPoolExecutor(max(1, len(items))) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(call), items))
+
+
 class Scratch:
     """Tables in a folder of their own below the shared one, to be read more than once or to end a long lineage; they survive the loss of executors and stay there."""
 
@@ -30,3 +40,11 @@ class Scratch:
         path = f"{self.folder}/{self.n}"
         df.write.parquet(path)
         return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def write_all(self, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        """The same for tables that don't come from each other."""
+        paths = {name: f"{self.folder}/{self.n + i}" for i, name in enumerate(tables, 1)}
+        self.n += len(tables)
+        spark = next(iter(tables.values())).sparkSession
+        together(spark, lambda name: tables[name].write.parquet(paths[name]), tables)
+        return {name: spark.read.schema(df.schema).parquet(paths[name]) for name, df in tables.items()}
