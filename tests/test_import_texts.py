@@ -30,3 +30,13 @@ def test_nothing_is_published_where_a_table_fails(spark, tmp_path):
     assert store.head() is None
     store.publish("r", {"good": good, "more": good}, "x", "t1")
     assert store.read("more").count() == 3
+
+
+def test_tables_written_together(spark, tmp_path):
+    from tessera.sources.scratch import Scratch
+
+    scratch = Scratch(spark, "together")
+    first = scratch.write(spark.range(2))
+    both = scratch.write_all({"a": spark.range(3), "b": spark.range(4).select(F.col("id").alias("x"))})
+    last = scratch.write(spark.range(5))
+    assert [df.count() for df in (first, both["a"], both["b"], last)] == [2, 3, 4, 5] and both["b"].columns == ["x"]
