@@ -62,142 +62,172 @@ class Gru:
     def __init__(self, params: dict[str, np.ndarray], bounds: np.ndarray):
         self.p, self.bounds = params, bounds
         self.hidden = params["wh"].shape[0]
-        self.of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+        self.of = of.astype(np.uint16) if len(bounds) <= 1 << 16 else of  # short numbers are sorted faster
         self.grad2 = {n: np.full_like(v, 1e-3) for n, v in params.items()}
 
     def forward(self, x: np.ndarray, fresh: np.ndarray, state: np.ndarray, keep: bool):
-        """States after each step; what backpropagation needs, if ``keep``."""
+        """States after each step; what backpropagation needs, if ``keep``. Inside, the lanes of one unit stand together, so that each gate is one piece of memory."""
         p, h = self.p, self.hidden
-        self.used, self.at = np.unique(x, return_inverse=True)
-        gates = (p["emb"][self.used] @ p["wx"] + p["b"])[self.at.reshape(x.shape)]  # by token: inputs' part of the gates
-        out = np.empty((*x.shape, h), np.float32)
-        old, reset, new, zr = np.empty_like(out), np.empty_like(out), np.empty_like(out), np.empty((*x.shape, 2 * h), np.float32)
-        live = (~fresh).astype(np.float32)[:, :, None]
-        # a sigmoid is (1 + tanh(a / 2)) / 2
-        half, wzr, wn = np.float32(0.5), p["wh"][:, : 2 * h] * np.float32(0.5), np.ascontiguousarray(p["wh"][:, 2 * h :])
-        first, last = gates[:, :, : 2 * h] * half, np.ascontiguousarray(gates[:, :, 2 * h :])
-        for t in range(len(x)):
-            before, gate, n = old[t], zr[t], new[t]
-            np.multiply(state, live[t], out=before)
-            np.matmul(before, wzr, out=gate)
-            gate += first[t]
-            np.tanh(gate, out=gate)
-            gate *= half
-            gate += half
-            np.multiply(gate[:, h:], before, out=reset[t])
-            np.matmul(reset[t], wn, out=n)
-            n += last[t]
-            np.tanh(n, out=n)
-            state = np.subtract(before, n, out=out[t])
-            state *= gate[:, :h]
-            state += n
-        return out, out[-1].copy(), (old, zr, reset, new) if keep else None
-
-    def output(self, hs: np.ndarray, ys: np.ndarray, learn: bool):
-        """Natural log-probability of each target; gradients of the states and output weights, if ``learn``."""
-        p, b = self.p, self.bounds
-        logits = hs @ p["uc"] + p["bc"]
+        there = np.zeros(len(p["emb"]), bool)
+        there[x] = True
+        self.used = np.flatnonzero(there)
+        number = np.empty(len(there), np.int32)
+        number[self.used] = np.arange(len(self.used))
+        self.at = number[x]
+        # a sigmoid is 1 / (1 + exp(-a)), of which an overflow makes the 0 that it should be
+        one = np.float32(1)
+        gates = p["emb"][self.used] @ p["wx"] + p["b"]  # by token: inputs' part of the gates
+        np.negative(gates[:, : 2 * h], out=gates[:, : 2 * h])
+        gates = np.ascontiguousarray(gates[self.at].transpose(0, 2, 1))
+        wzr, wn = -np.ascontiguousarray(p["wh"][:, : 2 * h].T), np.ascontiguousarray(p["wh"][:, 2 * h :].T)
+        out = np.empty((len(x), h, x.shape[1]), np.float32)
+        reset, new, zr = np.empty_like(out), np.empty_like(out), np.empty((len(x), 2 * h, x.shape[1]), np.float32)
+        live = (~fresh).astype(np.float32)
+        state = begin = np.ascontiguousarray(state.T)
+        with np.errstate(over="ignore"):
+            for row, begins, now, gate, z, r, n, reset_, zr_in, n_in in zip(live, fresh.any(axis=1).tolist(), out, zr, zr[:, :h], zr[:, h:], new, reset, gates[:, : 2 * h], gates[:, 2 * h :], strict=True):
+                before = state * row if begins else state
+                np.dot(wzr, before, out=gate)
+                gate += zr_in
+                np.exp(gate, out=gate)
+                gate += one
+                np.divide(one, gate, out=gate)
+                np.multiply(r, before, out=reset_)
+                np.dot(wn, reset_, out=n)
+                n += n_in
+                np.tanh(n, out=n)
+                state = np.subtract(before, n, out=now)
+                state *= z
+                state += n
+        if not keep:
+            return out.transpose(0, 2, 1), state.T.copy(), None
+        old = np.concatenate([begin[None], out[:-1]])
+        old *= live[:, None, :]
+        return out.transpose(0, 2, 1), state.T.copy(), (old, zr, reset, new)
+
+    def output(self, hs: np.ndarray, ys: np.ndarray, learn: bool, room: int = 1 << 16):
+        """Natural log-probability of each target; gradients of the states and output weights, if ``learn``. Scores of some ``room`` words at a time are made, class by class, and go through each further step as one array."""
+        p, b, h = self.p, self.bounds, self.hidden
         # states are within -1 .. 1, so that scores this small need no shift before exp
-        small = max(np.abs(p["uc"]).sum(axis=0).max() + np.abs(p["bc"]).max(), (np.abs(p["uw"]) @ np.ones(self.hidden, np.float32)).max() + np.abs(p["bw"]).max()) < 60
-        if not small:
-            logits -= logits.max(axis=1, keepdims=True)
-        prob = np.exp(logits)
-        total = prob.sum(axis=1)
+        small = max(np.abs(p["uc"]).sum(axis=0).max() + np.abs(p["bc"]).max(), (np.abs(p["uw"]) @ np.ones(h, np.float32)).max() + np.abs(p["bw"]).max()) < 60
         of = self.of[ys]
-        rows = rows_ = np.arange(len(ys))
-        score = logits[rows, of] - np.log(total)
-        grads = {}
+        order = np.argsort(of, kind="stable")  # the tokens of one class stand together
+        of = of[order]
+        rows, hs = np.arange(len(ys)), np.concatenate([hs[order], np.ones((len(ys), 1), np.float32)], axis=1)  # the last column is that of the biases
+        prob = hs @ np.concatenate([p["uc"], p["bc"][None]])
+        if not small:
+            prob -= prob.max(axis=1, keepdims=True)
+        found = prob[rows, of]
+        np.exp(prob, out=prob)
+        total = prob @ np.ones(len(b) - 1, np.float32)
+        found -= np.log(total)
         if learn:
-            prob /= total[:, None]
-            prob[rows, of] -= 1
-            grads["uc"], grads["bc"] = hs.T @ prob, prob.sum(axis=0)
-            dh = prob @ p["uc"].T
-            grads["uw"], grads["bw"] = np.zeros_like(p["uw"]), np.zeros_like(p["bw"])
-        # the tokens of one class stand together
-        order = np.argsort(of, kind="stable")
-        cut = np.searchsorted(of[order], np.arange(len(b))).tolist()
-        bounds, hs, at = b.tolist(), hs[order], (ys - b[of])[order]
-        more, back = np.zeros(len(ys), np.float32), np.zeros_like(hs)
-        for c in range(len(b) - 1):
-            i, j, low, high = cut[c], cut[c + 1], bounds[c], bounds[c + 1]
-            if i == j or high - low == 1:
-                continue
-            w, hc, k = p["uw"][low:high], hs[i:j], at[i:j]
-            prob = hc @ w.T
-            prob += p["bw"][low:high]
+            # what is divided by the sums are the narrow factors of the products, not the scores
+            prob[rows, of] -= total
+            g = (hs / total[:, None]).T @ prob
+            back = prob @ p["uc"].T
+            back /= total[:, None]
+            grads, words_ = {"uc": g[:h], "bc": g[h]}, np.zeros((len(p["uw"]), h + 1), np.float32)
+        w = np.concatenate([p["uw"], p["bw"][:, None]], axis=1)
+        wide = np.diff(b)[of]
+        end = np.cumsum(wide)
+        start, target = end - wide, ys[order] - b[of]
+        classes = np.flatnonzero(np.bincount(of, minlength=len(b) - 1))
+        cut = np.append(np.searchsorted(of, classes), len(ys))
+        low, high, first = b[classes].tolist(), b[classes + 1].tolist(), np.append(start, end[-1])[cut]
+        k = 0
+        while k < len(classes):
+            z = max(k + 1, int(np.searchsorted(first, first[k] + room, side="right")) - 1)
+            i, j = cut[k], cut[z]
+            scores = np.empty(first[z] - first[k], np.float32)
+            parts = [(scores[s:e].reshape(n, -1), u, v, c, d) for s, e, n, u, v, c, d in zip((first[k:z] - first[k]).tolist(), (first[k + 1 : z + 1] - first[k]).tolist(), np.diff(cut[k : z + 1]).tolist(), cut[k:z].tolist(), cut[k + 1 : z + 1].tolist(), low[k:z], high[k:z], strict=True)]
+            for part, u, v, c, d in parts:
+                np.dot(hs[u:v], w[c:d].T, out=part)
+            at = start[i:j] - first[k]
             if not small:
-                prob -= prob.max(axis=1, keepdims=True)
-            rows = rows_[: j - i]
-            own = prob[rows, k]
-            np.exp(prob, out=prob)
-            total = prob.sum(axis=1)
-            more[i:j] = own - np.log(total)
+                scores -= np.repeat(np.maximum.reduceat(scores, at), wide[i:j])
+            own = at + target[i:j]
+            found[i:j] += scores[own]
+            np.exp(scores, out=scores)
+            total = np.add.reduceat(scores, at)
+            found[i:j] -= np.log(total)
             if learn:
-                prob /= total[:, None]
-                prob[rows, k] -= 1
-                np.matmul(prob.T, hc, out=grads["uw"][low:high])
-                prob.sum(axis=0, out=grads["bw"][low:high])
-                np.matmul(prob, w, out=back[i:j])
-        score[order] += more
+                scores[own] -= total
+                share = hs[i:j] / total[:, None]
+                more = np.empty((j - i, h), np.float32)
+                for part, u, v, c, d in parts:
+                    np.dot(part.T, share[u - i : v - i], out=words_[c:d])
+                    np.dot(part, p["uw"][c:d], out=more[u - i : v - i])
+                more /= total[:, None]
+                back[i:j] += more
+            k = z
+        score = np.empty_like(found)
+        score[order] = found
         if not learn:
             return score, None, None
-        dh[order] += back
-        return score, dh, grads
+        dh = np.empty_like(back)
+        dh[order] = back
+        return score, dh, {**grads, "uw": words_[:, :h].copy(), "bw": words_[:, h].copy()}
 
     def backward(self, x: np.ndarray, fresh: np.ndarray, dout: np.ndarray, kept: tuple, grads: dict) -> None:
         p, h = self.p, self.hidden
         old, zr, reset, new = kept
-        z, r = zr[:, :, :h], zr[:, :, h:]
+        z, r = zr[:, :h], zr[:, h:]
         # what does not depend on later steps
-        to_new, to_z, to_r = (1 - z) * (1 - new * new), (old - new) * z * (1 - z), old * r * (1 - r)
-        dgates = np.empty((*x.shape, 3 * h), np.float32)
-        dstate = np.zeros((x.shape[1], h), np.float32)
-        wzr, wn = np.ascontiguousarray(p["wh"][:, : 2 * h].T), np.ascontiguousarray(p["wh"][:, 2 * h :].T)
-        live = (~fresh).astype(np.float32)[:, :, None]
-        for t in range(len(x) - 1, -1, -1):
-            d, g = dout[t], dgates[t]
-            d += dstate
-            np.multiply(d, to_new[t], out=g[:, 2 * h :])
-            dreset = g[:, 2 * h :] @ wn
-            np.multiply(d, to_z[t], out=g[:, :h])
-            np.multiply(dreset, to_r[t], out=g[:, h : 2 * h])
-            np.matmul(g[:, : 2 * h], wzr, out=dstate)
-            d *= z[t]
+        to_new, to_zr = (1 - z) * (1 - new * new), zr * (1 - zr)
+        to_zr[:, :h] *= old - new
+        to_zr[:, h:] *= old
+        dgates = np.empty((len(x), 3 * h, x.shape[1]), np.float32)
+        dout = np.ascontiguousarray(dout.transpose(0, 2, 1))
+        dstate, both = np.zeros(dout.shape[1:], np.float32), np.empty(zr.shape[1:], np.float32)
+        d, dreset = both[:h], both[h:]
+        wzr, wn = np.ascontiguousarray(p["wh"][:, : 2 * h]), np.ascontiguousarray(p["wh"][:, 2 * h :])
+        live = (~fresh).astype(np.float32)
+        for row, begins, more, by_new, by_zr, gate, to_n, to_gate in zip(*(a[::-1] for a in (live, fresh.any(axis=1), dout, to_new, to_zr, zr, dgates[:, 2 * h :], dgates[:, : 2 * h])), strict=True):
+            np.add(dstate, more, out=d)
+            np.multiply(d, by_new, out=to_n)
+            np.dot(wn, to_n, out=dreset)
+            np.multiply(both, by_zr, out=to_gate)
+            np.dot(wzr, to_gate, out=dstate)
+            both *= gate
             dstate += d
-            dreset *= r[t]
             dstate += dreset
-            dstate *= live[t]
-        flat = dgates.reshape(-1, 3 * h)
-        states, resets = old.reshape(-1, h), reset.reshape(-1, h)
+            if begins:
+                dstate *= row
+        flat, states, resets = (np.ascontiguousarray(a.transpose(0, 2, 1)).reshape(-1, a.shape[1]) for a in (dgates, old, reset))
         grads["wh"] = np.concatenate([states.T @ flat[:, : 2 * h], resets.T @ flat[:, 2 * h :]], axis=1)
         # by token, then through the embedding; grads["emb"] has a row for each token used
         at = self.at.ravel()
-        order = np.argsort(at, kind="stable")
+        order = np.argsort(at.astype(np.uint16) if len(self.used) <= 1 << 16 else at, kind="stable")
         by = np.add.reduceat(flat[order], np.searchsorted(at[order], np.arange(len(self.used))), axis=0)
         grads["wx"], grads["b"], grads["emb"] = p["emb"][self.used].T @ by, by.sum(axis=0), by @ p["wx"].T
 
     def run(self, docs: list[np.ndarray], end: int, lanes: int, window: int, rate: float = 0.0) -> np.ndarray:
         """Sum of natural log-probabilities of each document, its end included. rate: of Adagrad; over 0, the weights learn after each window."""
-        total = np.zeros(len(docs))
         if not docs:
-            return total
+            return np.zeros(0)
         y, owner, fresh, start, length = lay_out(docs, end, lanes)
+        scores = np.empty(len(y), np.float32)
         state = np.zeros((len(length), self.hidden), np.float32)
         held, found = {}, 0
         for t in range(0, int(length[0]), window):
             live = int((length > t).sum())
             steps = np.arange(t, min(t + window, int(length[0])))[:, None]
-            at = steps < length[:live]
-            place = np.where(at, start[:live] + steps, 0)
+            at, place = steps < length[:live], start[:live] + steps
+            full = bool(at[-1].all())
+            if not full:
+                place = np.where(at, place, 0)
             ys, new = y[place], fresh[place] | ~at
             # the token before; at the first step of a document the end of another
             xs = np.where(new, end, y[place - 1])
             out, state, kept = self.forward(xs, new, state[:live], rate > 0)
-            score, dh, grads = self.output(out[at], ys[at], rate > 0)
-            total += np.bincount(owner[place[at]], score, len(docs))
+            some = slice(None) if full else np.flatnonzero(at)
+            score, dh, grads = self.output(out.reshape(-1, self.hidden)[some], ys.ravel()[some], rate > 0)
+            scores[place.ravel()[some]] = score
             if rate > 0:
-                dout = np.zeros_like(out)
-                dout[at] = dh
+                dout = np.zeros(out.shape, np.float32)
+                dout.reshape(-1, self.hidden)[some] = dh
                 self.backward(xs, new, dout, kept, grads)
                 found += int(at.sum())
                 whole = 2 * found >= lanes * window
@@ -213,14 +243,20 @@ class Gru:
                 if whole or t + window >= length[0]:
                     self.step(held, 1 / (lanes * window), rate, slice(None))
                     held, found = {}, 0
-        return total
+        return np.bincount(owner, scores, len(docs))
 
     def step(self, grads: dict, share: float, rate: float, used) -> None:
         """One step of Adagrad with the gradients times ``share``. used: the tokens that the rows of grads["emb"] are of."""
         for name, g in grads.items():
-            rows = used if name == "emb" else slice(None)
+            p, seen = self.p[name], self.grad2[name]
+            some = name == "emb" and not isinstance(used, slice)
             g *= np.float32(share)
-            self.grad2[name][rows] += g * g
+            now = seen[used] if some else seen
+            now += g * g
             g *= np.float32(rate)
-            g /= np.sqrt(self.grad2[name][rows])
-            self.p[name][rows] -= g
+            g /= np.sqrt(now)
+            if some:
+                seen[used] = now
+                p[used] -= g
+            else:
+                p -= g

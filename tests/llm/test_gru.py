@@ -96,3 +96,44 @@ def test_learning_lowers_the_loss(model):
     for _ in range(20):
         model.run(docs, END, 2, 8, rate=0.1)
     assert model.run(docs, END, 2, 8).sum() > before
+
+
+@pytest.mark.parametrize("scale", [1, 60])  # at 60 scores are shifted before exp
+def test_scores_by_blocks_of_classes(model, scale):
+    """Scores and gradients of the output, however many classes are worked off at once."""
+    model.p = {n: v * np.float32(scale) if n in ("uc", "uw") else v for n, v in model.p.items()}
+    states = np.random.default_rng(3).uniform(-1, 1, (40, model.hidden)).astype(np.float32)
+    y = np.arange(40) % int(model.bounds[-1])
+    want = [distribution(double(model), model.bounds, s.astype(float))[k] for s, k in zip(states, y, strict=True)]
+    whole = model.output(states, y, True)
+    for room in (1, 30, 1 << 16):
+        score, dh, grads = model.output(states, y, True, room)
+        assert np.allclose(score, want, rtol=1e-4, atol=1e-4)
+        assert np.allclose(dh, whole[1], rtol=1e-4, atol=1e-4)
+        assert all(np.allclose(g, whole[2][n], rtol=1e-4, atol=1e-4) for n, g in grads.items())
+    for k in range(0, 40, 7):  # the gradient of a state against differences
+        for i in range(model.hidden):
+            up, down = states[k].astype(float), states[k].astype(float)
+            up[i] += 1e-5
+            down[i] -= 1e-5
+            slope = (distribution(double(model), model.bounds, up)[y[k]] - distribution(double(model), model.bounds, down)[y[k]]) / 2e-5
+            assert abs(-slope - whole[1][k, i]) < 1e-3 * scale
+
+
+def test_classes_share_their_passes(monkeypatch):
+    """The number of exponentials that are called for does not grow with the classes."""
+    k, calls = 400, []
+    bounds = np.arange(0, k + 1, 4)
+    m = gru.Gru(gru.init(np.ones(k), bounds, 4), bounds)
+    exp = np.exp
+    monkeypatch.setattr(gru.np, "exp", lambda *a, **more: calls.append(1) or exp(*a, **more))
+    m.output(np.zeros((k, 4), np.float32), np.arange(k), True)
+    assert len(calls) == 2
+
+
+def test_gates_far_out(model):
+    """A gate whose exponential overflows is 0, without a warning."""
+    model.p["b"] = np.full_like(model.p["b"], -200)
+    with np.errstate(all="raise", under="ignore"):
+        got = model.run([np.array(d, np.int64) for d in DOCS], END, 2, 8)
+    assert np.isfinite(got).all()
