@@ -82,23 +82,26 @@ class Gru:
         gates = np.ascontiguousarray(gates[self.at].transpose(0, 2, 1))
         wzr, wn = -np.ascontiguousarray(p["wh"][:, : 2 * h].T), np.ascontiguousarray(p["wh"][:, 2 * h :].T)
         out = np.empty((len(x), h, x.shape[1]), np.float32)
-        reset, new, zr = np.empty_like(out), np.empty_like(out), np.empty((len(x), 2 * h, x.shape[1]), np.float32)
+        # one place for all steps, where nothing is kept
+        reset, new, zr = (np.empty((len(x) if keep else 1, k * h, x.shape[1]), np.float32) for k in (1, 1, 2))
+        place = range(len(x)) if keep else [0] * len(x)
         live = (~fresh).astype(np.float32)
         state = begin = np.ascontiguousarray(state.T)
         with np.errstate(over="ignore"):
-            for row, begins, now, gate, z, r, n, reset_, zr_in, n_in in zip(live, fresh.any(axis=1).tolist(), out, zr, zr[:, :h], zr[:, h:], new, reset, gates[:, : 2 * h], gates[:, 2 * h :], strict=True):
+            for row, begins, now, k, zr_in, n_in in zip(live, fresh.any(axis=1).tolist(), out, place, gates[:, : 2 * h], gates[:, 2 * h :], strict=True):
                 before = state * row if begins else state
+                gate, n, reset_ = zr[k], new[k], reset[k]
                 np.dot(wzr, before, out=gate)
                 gate += zr_in
                 np.exp(gate, out=gate)
                 gate += one
                 np.divide(one, gate, out=gate)
-                np.multiply(r, before, out=reset_)
+                np.multiply(gate[h:], before, out=reset_)
                 np.dot(wn, reset_, out=n)
                 n += n_in
                 np.tanh(n, out=n)
                 state = np.subtract(before, n, out=now)
-                state *= z
+                state *= gate[:h]
                 state += n
         if not keep:
             return out.transpose(0, 2, 1), state.T.copy(), None
@@ -210,10 +213,12 @@ class Gru:
         y, owner, fresh, start, length = lay_out(docs, end, lanes)
         scores = np.empty(len(y), np.float32)
         state = np.zeros((len(length), self.hidden), np.float32)
-        held, found = {}, 0
-        for t in range(0, int(length[0]), window):
+        held, found, to = {}, 0, 0
+        while (t := to) < length[0]:
             live = int((length > t).sum())
-            steps = np.arange(t, min(t + window, int(length[0])))[:, None]
+            # where nothing is learnt, windows do not matter: with few lanes left they are longer
+            to = min(t + (window if rate > 0 else max(window, window * lanes // live)), int(length[0]))
+            steps = np.arange(t, to)[:, None]
             at, place = steps < length[:live], start[:live] + steps
             full = bool(at[-1].all())
             if not full:
@@ -240,7 +245,7 @@ class Gru:
                     if name not in held:
                         held[name] = np.zeros_like(self.p[name])
                     held[name][self.used if name == "emb" else slice(None)] += g
-                if whole or t + window >= length[0]:
+                if whole or to == length[0]:
                     self.step(held, 1 / (lanes * window), rate, slice(None))
                     held, found = {}, 0
         return np.bincount(owner, scores, len(docs))

@@ -137,3 +137,15 @@ def test_gates_far_out(model):
     with np.errstate(all="raise", under="ignore"):
         got = model.run([np.array(d, np.int64) for d in DOCS], END, 2, 8)
     assert np.isfinite(got).all()
+
+
+def test_few_lanes_take_long_windows(model, monkeypatch):
+    """The rest of a long document, in a lane of its own, is scored in few windows, and as by short ones; learning keeps its windows."""
+    docs, widths, forward = [np.arange(1000) % 7, *(np.array(d, np.int64) for d in DOCS)], [], gru.Gru.forward
+    monkeypatch.setattr(gru.Gru, "forward", lambda self, x, *more: widths.append(len(x)) or forward(self, x, *more))
+    got = model.run(docs, END, 6, 4)
+    assert sum(widths) == 1001 and len(widths) < 60
+    assert np.allclose(got, [plain(double(model), model.bounds, d)[0] for d in docs], rtol=1e-4, atol=1e-3)
+    widths.clear()
+    model.run(docs, END, 6, 4, rate=0.1)
+    assert max(widths) == 4
